@@ -66,3 +66,42 @@ def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     """
     n = n or partitions(df.sparkSession)
     return cut(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+
+
+def bitset(df: DataFrame, column: str, log2: int = 26):
+    """A fixed-size bit table (numpy uint8, 2^log2 bits) of the hashes of a long column.
+
+    Its size does not depend on the data, so it can be collected and broadcast;
+    a fuller table lets more through, and every use checks exactly afterwards.
+    """
+    import zlib
+
+    import numpy as np
+
+    def fill(batches):
+        import pyarrow as pa
+
+        bits = np.zeros(1 << log2, bool)
+        for b in batches:
+            if b.num_rows:
+                bits[bit_of(b.column(0).to_numpy(zero_copy_only=False), log2)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
+
+    out = np.zeros(1 << (log2 - 3), np.uint8)
+    rows = df.select(column).repartition(4).mapInArrow(fill, "bits binary").toLocalIterator()
+    for row in rows:  # four rows of at most 2^(log2 - 3) bytes each
+        out |= np.frombuffer(zlib.decompress(bytes(row[0])), np.uint8)
+    return out
+
+
+def bit_of(values, log2: int):
+    import numpy as np
+
+    from .hashing import mix
+
+    return (mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def bit_test(bits, values, log2: int = 26):
+    at = bit_of(values, log2)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(bits.dtype)) & 1 == 1

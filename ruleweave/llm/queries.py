@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, secrets, shard
+from . import lines, secrets, shard, substrings
 from .common import read
 
 
@@ -31,4 +31,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings}

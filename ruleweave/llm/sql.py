@@ -41,4 +41,23 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"op2_secrets": OP2, "op4_line_dedup": OP4}
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM s) WHERE n > 1),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+c AS (
+  SELECT t.doc_id, t.pos, t.word, max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS last_start
+  FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.pos),
+k AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM c WHERE last_start IS NULL OR last_start + 34 < pos GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+SQL = {"op10_substrings": OP10, "op2_secrets": OP2, "op4_line_dedup": OP4}
