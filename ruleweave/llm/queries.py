@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, secrets, shard, substrings
+from . import jaccard, lines, secrets, shard, substrings
 from .common import read
 
 
@@ -35,4 +35,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings}
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(read(spark, sf_dir, "documents")).drop("_rid")
+
+
+QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op6_jaccard": op6_jaccard}
