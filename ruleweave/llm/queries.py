@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, secrets, shard, substrings
+from . import jaccard, lines, neighbours, packing, secrets, shard, substrings
 from .common import read
 
 
@@ -39,4 +39,26 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(read(spark, sf_dir, "documents")).drop("_rid")
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op6_jaccard": op6_jaccard}
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = packing.bpe_encoder(_vocabulary("byte_bpe_50k.json"), _pattern())
+    return packing.pack(read(spark, sf_dir, "documents"), encoder, end_id=1, capacity=2048)
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op9_neighbours": op9_neighbours}

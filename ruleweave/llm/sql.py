@@ -78,4 +78,16 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.low) AS compon
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
 
-SQL = {"op6_jaccard": OP6, "op10_substrings": OP10, "op2_secrets": OP2, "op4_line_dedup": OP4}
+OP9 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+SQL = {"op9_neighbours": OP9, "op6_jaccard": OP6, "op10_substrings": OP10, "op2_secrets": OP2, "op4_line_dedup": OP4}
