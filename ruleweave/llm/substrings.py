@@ -10,10 +10,12 @@ than 2^ROUNDS - 1 words to either side, and equal windows hold equal symbols
 except near their ends.  A run of equal symbols lies in one class and stays as
 it is: naming it by its length would tie its name to words outside the window.
 
-1. Each 35-word window takes the least name among the interior symbols that
-   every occurrence of it must share; the names so taken are counted globally.
+1. Each 35-word window chooses the least name among the interior symbols that
+   every occurrence of it must share.  The 22 words about that symbol lie in every
+   window that chooses it; they are its high-level name, counted globally.
 2. Windows whose name occurs twice or more are candidates.  Their word sequences
-   are hashed (96 bits beside the name's own) and counted globally: this verifies them.
+   are hashed (96 bits) and met in one shuffle, with whole documents that repeat
+   as one each: this verifies them.
 3. Words that a window with two or more starts covers are removed.
 
 Nulls and texts of fewer than 35 words keep all words.  Words are runs of
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bit_test, bitset, cut, with_rid
+from .common import bit_test, bitset, partitions, with_rid
 
 WIDTH = 35
 ROUNDS = 3
 MARGIN = 2**ROUNDS - 1
 #: Starts of symbols that lie, with all that they depend on, inside a window: MARGIN to WIDTH - MARGIN - 2^ROUNDS.
 REACH = WIDTH - 2 * MARGIN - 2**ROUNDS + 1
+#: Words about a symbol that lie in each window which chooses it.
+SPAN = WIDTH - REACH + 1
 assert REACH >= 2**ROUNDS, "every window must hold the start of a symbol"
 NONE = np.uint64(2**64 - 1)
 
@@ -61,49 +65,43 @@ def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[
     return name, at
 
 
-def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of each ``width`` consecutive entries, by doubling."""
-    best = np.minimum if least else np.maximum
+def _rolling(h: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A polynomial hash of each ``width`` consecutive entries."""
+    up, down = H._power(f"u{salt}", H.BASE ^ (salt << 8), len(h)), H._power(f"d{salt}", pow(H.BASE ^ (salt << 8), -1, 2**64), len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(H.mix(h + H.CHAIN[salt]) * up, out=total[1:])
+    return H.mix((total[width:] - total[:-width]) * down[: len(h) - width + 1])
+
+
+def _least_at(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least entry of each ``width`` consecutive ones, by doubling."""
+    at = np.arange(len(x))
     have = 1
     while have < width:
         step = min(have, width - have)
-        x = best(x[:-step], x[step:])
+        left, right = x[:-step], x[step:]
+        at = np.where(left <= right, at[:-step], at[step:])
+        x = np.minimum(left, right)
         have += step
-    return x
+    return at
 
 
 def window_names(h: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of windows, each window's name, the taken names, once for each place)."""
+    """(starts of windows, each window's name, the names once for each place that gave one)."""
     n = len(h)
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    name, at = recompress(h, first)
-    value = np.full(n, NONE)
-    value[at] = name
-    least = _slide(value[MARGIN : n - width + MARGIN + REACH], REACH, True)  # one for each start 0 .. n - width
-    valid = np.zeros(n - width + 1, bool)
-    sizes = np.diff(first)
     mark = np.zeros(n + 1, np.int64)
-    long = sizes >= width
+    long = np.diff(first) >= width
     np.add.at(mark, first[:-1][long], 1)
     np.add.at(mark, (first[1:] - width + 1)[long], -1)
-    valid = np.cumsum(mark)[: n - width + 1] > 0
-    shown = np.where(valid, least, np.uint64(0))
-    padded = np.zeros(len(shown) + 2 * (REACH - 1), np.uint64)
-    padded[REACH - 1 : REACH - 1 + len(shown)] = shown
-    top = _slide(padded, REACH, False)  # entry j: greatest of windows j - REACH + 1 .. j
-    place = np.arange(len(top)) + MARGIN
-    taken = top == value[place]
-    starts = np.flatnonzero(valid)
-    return starts, least[starts], top[taken]
-
-
-def _rolling(h: np.ndarray, width: int, salt: int) -> np.ndarray:
-    """A polynomial hash of each ``width`` consecutive entries."""
-    up, down = H._power(f"u{salt}", H.BASE ^ (salt << 8), len(h)), H._power(f"d{salt}", pow(H.BASE ^ (salt << 8), -1, 2**64), len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(H.mix(h + H.CHAIN[salt]) * up, out=total[1:])
-    return H.mix((total[width:] - total[:-width]) * down[: len(h) - width + 1])
+    starts = np.flatnonzero(np.cumsum(mark[:n]) > 0)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    name, at = recompress(h, first)
+    value = np.full(n, NONE)
+    value[at] = name
+    chosen = _least_at(value[MARGIN : n - width + MARGIN + REACH], REACH)[starts]
+    around = _rolling(h, SPAN, 3)  # entry i: the SPAN words from i, that is, about the symbol at i + MARGIN
+    return starts, around[chosen], around[np.unique(chosen)]
 
 
 def _each(column: pa.Array):
@@ -113,38 +111,163 @@ def _each(column: pa.Array):
         yield a, b, h, first
 
 
+def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document 96 bits of its word sequence."""
+    place = (np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    out = []
+    for salt in (24, 25):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(H.mix(h + (place + np.uint64(1)) * H.CHAIN[salt]), out=total[1:])
+        out.append(H.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
+    return out[0], out[1] >> np.uint64(32)
+
+
 def _names(batches):
+    """High-level names and whole documents' digests, with their numbers in the batch."""
     for batch in batches:
         for *_, h, first in _each(batch.column(0)):
             _, _, taken = window_names(h, first)
-            got, n = np.unique(taken, return_counts=True)
+            whole = _digests(h, first)[0][np.diff(first) >= WIDTH]
+            got, n = np.unique(np.concatenate([taken, whole]), return_counts=True)
             if len(got):
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["name", "n"])
 
 
+#: A window, or (n = 0) a found place that only passes on.  Row id -1: a window without a place to report.
+ROW = "h1 long, h2 int, _rid long, at int, n int"
+WHOLE = -1
+
+
+def _rows(h1, h2, rid, at, n) -> pa.RecordBatch:
+    cols = [h1.view(np.int64), h2.astype(np.uint32).view(np.int32), rid, at.astype(np.int32), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["h1", "h2", "_rid", "at", "n"])
+
+
+def _windows(bits, h, first, rid, starts, name):
+    """Rows of the candidate windows at ``starts``; windows that repeat in the slice are found already."""
+    at = starts[bit_test(bits, name.view(np.int64))]
+    h1, h2 = _rolling(h, WIDTH, 1)[at], _rolling(h, WIDTH, 2)[at] >> np.uint64(32)
+    doc = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((h2, h1))
+    h1, h2, rid, at = h1[order], h2[order], rid[doc][order], (at - first[doc])[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    run = np.cumsum(new) - 1
+    many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+    lead = many & new
+    yield _rows(h1, h2, rid, at, np.where(many, 0, 1))
+    if lead.any():
+        k = int(lead.sum())
+        yield _rows(h1[lead], h2[lead], np.full(k, -1), np.zeros(k), np.full(k, 2))
+
+
 def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(_rid, at): every start of a window whose word sequence also starts elsewhere."""
+    """(_rid, at): every start of a window whose word sequence also starts elsewhere.
+
+    Where a whole document of 35 words or more repeats, at = WHOLE stands for all
+    its windows, and one copy's windows stand for all copies'.
+    """
     spark = docs.sparkSession
     names = docs.select(text).mapInArrow(_names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(bitset(names, "name"))
+    n_parts = partitions(spark)
 
-    def windows(batches):
+    def split(batch):
+        """(h, first, rids, which documents may be copies) of each slice."""
+        rid = batch.column(0).to_numpy()
+        for a, b, h, first in _each(batch.column(1)):
+            d1, d2 = _digests(h, first)
+            yield a, h, first, rid[a:b], d1, d2, (np.diff(first) >= WIDTH) & bit_test(bits.value, d1.view(np.int64))
+
+    def single(batches):
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for a, b, h, first in _each(batch.column(1)):
+            for _, h, first, rid, *_, copy in split(batch):
                 starts, name, _ = window_names(h, first)
-                hit = bit_test(bits.value, name.view(np.int64)) if len(name) else np.zeros(0, bool)
-                at = starts[hit]
-                if not len(at):
+                mine = ~copy[np.searchsorted(first, starts, "right") - 1]
+                if mine.any():
+                    yield from _windows(bits.value, h, first, rid, starts[mine], name[mine])
+
+    def copies(batches):
+        """Rows of the documents that may be copies: of equal ones in a slice only the first has its text."""
+        for batch in batches:
+            for a, _, _, rid, d1, d2, copy in split(batch):
+                at = np.flatnonzero(copy)
+                if len(at):
+                    lead = at[np.unique(np.stack([d1[at], d2[at]], 1), axis=0, return_index=True)[1]]
+                    texts = pa.array([batch.column(1)[a + int(i)].as_py() if i in set(lead.tolist()) else None for i in at], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(d1[at].view(np.int64)), pa.array(d2[at].astype(np.uint32).view(np.int32)), pa.array(rid[at]), texts], ["h1", "h2", "_rid", "_text"])
+
+    def classes(batches):
+        """Rows by digest, texts first: windows of each class's first text, and WHOLE for its documents."""
+
+        def flush(key, n, rid, body):
+            h, first = H.words(*H.buffers(pa.array([body])))
+            starts, name, _ = window_names(h, first)
+            for rows in _windows(bits.value, h, first, np.array([rid]), starts, name):
+                if n == 1:
+                    yield rows
+                else:  # the class's own documents are reported as a whole
+                    m = rows.num_rows
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(m, -1)), rows.column(3), pa.array(np.full(m, 2, np.int32))], rows.schema.names)
+
+        def whole(rids):
+            k = len(rids)
+            r = np.array(rids, np.int64)
+            return _rows(H.mix(r.view(np.uint64)), np.zeros(k), r, np.full(k, WHOLE), np.zeros(k))
+
+        key, n, head, body = None, 0, 0, ""
+        for batch in batches:
+            found = []
+            for h1, h2, rid, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (h1, h2) != key:
+                    if n:
+                        yield from flush(key, n, head, body)
+                    key, n, head, body = (h1, h2), 1, rid, text
                     continue
-                doc = np.searchsorted(first, at, "right") - 1
-                h1, h2 = _rolling(h, WIDTH, 1)[at], _rolling(h, WIDTH, 2)[at] >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(rid[a + doc]), pa.array((at - first[doc]).astype(np.int32))], ["h1", "h2", "_rid", "at"])
+                n += 1
+                found += [head, rid] if n == 2 else [rid]
+            if found:
+                yield whole(found)
+        if n:
+            yield from flush(key, n, head, body)
+
+    pair = docs.select("_rid", F.col(text).alias("_text"))
+    same = pair.mapInArrow(copies, "h1 long, h2 int, _rid long, _text string").repartition(n_parts, "h1", "h2")
+    same = same.sortWithinPartitions("h1", "h2", F.col("_text").isNull(), "_rid").mapInArrow(classes, ROW)
+    rows = pair.mapInArrow(single, ROW).unionByName(same).repartition(n_parts, "h1", "h2")
+    return rows.sortWithinPartitions("h1", "h2").mapInArrow(_runs, "_rid long, at int")
+
 
-    found = docs.select("_rid", text).mapInArrow(windows, "h1 long, h2 int, _rid long, at int")
-    # Counts are combined before the shuffle; the join splits a hot window's rows, as the other side has one.
-    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return found.join(twice, ["h1", "h2"]).select("_rid", "at")
+def _runs(batches):
+    """Rows by (h1, h2): the places of windows that are there twice or more.
+
+    Between batches only one row is kept: the only row of the last run so far, or
+    one that says that the run repeats.
+    """
+    carry = None
+    for batch in batches:
+        cols = [batch.column(i).to_numpy() for i in range(5)]
+        found = cols[4] == 0
+        out = [(cols[2][found], cols[3][found])]
+        cols = [c[~found] for c in cols]
+        if carry is not None:
+            cols = [np.concatenate([k, c]) for k, c in zip(carry, cols)]
+        h1, h2, rid, at, n = cols
+        if len(h1):
+            new = np.ones(len(h1), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            opens = np.flatnonzero(new)
+            total = np.add.reduceat(n.astype(np.int64), opens)
+            hit = (total > 1)[np.cumsum(new) - 1]
+            keep = hit & (rid >= 0)
+            out.append((rid[keep], at[keep]))
+            last = slice(opens[-1], opens[-1] + 1)
+            carry = [c[last].copy() for c in cols]
+            if total[-1] > 1:
+                carry[2][:], carry[4][:] = -1, 2
+        r, a = (np.concatenate(x) for x in zip(*out))
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a)], ["_rid", "at"])
 
 
 def _strip(batches):
@@ -158,8 +281,11 @@ def _strip(batches):
             if ats[i].is_valid:
                 mark = np.zeros(len(w) + 1, np.int32)
                 a = ats[i].values.to_numpy()
-                np.add.at(mark, a, 1)
-                np.add.at(mark, a + WIDTH, -1)
+                if (a == WHOLE).any():
+                    mark[0] = 1
+                else:
+                    np.add.at(mark, a, 1)
+                    np.add.at(mark, a + WIDTH, -1)
                 w = [x for x, c in zip(w, np.cumsum(mark[:-1])) if not c]
             n_removed.append(n_words[-1] - len(w))
             body = b" ".join(w)
@@ -171,7 +297,7 @@ def _strip(batches):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): each row of ``docs`` without its repeated words."""
     docs = with_rid(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
-    hits = cut(repeated_windows(docs, "_text"))
+    hits = repeated_windows(docs, "_text")
     # One document's windows: bounded by its own words.
     per = hits.groupBy("_rid").agg(F.collect_list("at").alias("_ats"))
     kind = docs.schema["_key"].dataType.simpleString()
