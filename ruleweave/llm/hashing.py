@@ -22,7 +22,7 @@ CHAIN = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | U(1)
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes handled at once; a longer text is still handled whole, alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -72,12 +72,12 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, split: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each document the index of its first word (n + 1)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    white = WHITE[data]
+    white = split[data]
     before = np.ones(n, bool)
     before[1:] = white[:-1]
     inner = offsets[:-1][offsets[:-1] < n]

@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bit_test, bitset, cut, drop_cut, with_rid
+from .common import bit_test, bitset, cut, drop_cut, partitions, with_rid
 from .components import components
 
 WORDS = 5
-SKETCH_LOG2 = 22
+SKETCH_LOG2 = 24
 BLOCK = 1 << 16
 #: Classes seen of late by a task; forgetting them costs repeated rows, not results.
 SEEN = 1 << 18
 #: Bytes of sets that one task takes at once; larger regions are split.
-REGION_BYTES = 64 << 20
+REGION_BYTES = 16 << 20
 #: 100 * intersection >= 75 * union
 NUM, DEN = 75, 100
 
@@ -69,29 +69,47 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[order[:k]]
 
 
+def reach(n: int, places: np.ndarray) -> np.ndarray:
+    """The largest size of a partner whose first shared shingle is at this place of the sorted prefix.
+
+    From there on n - place shingles can be shared, and a linked pair of sizes n
+    and m shares NUM / (NUM + DEN) of n + m.  Below n: only smaller partners.
+    """
+    return np.maximum((n - places) * (NUM + DEN) // NUM - n, n - 1)
+
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
+
+
 def _profile(batches):
     """For each document its digest; for each task its shingle counts, in blocks."""
-    counts = np.zeros(1 << SKETCH_LOG2, np.int64)
+    counts = np.zeros(1 << SKETCH_LOG2, np.uint16)
     kind = None
+
+    def add(sets: list[np.ndarray]) -> None:
+        at, n = np.unique(_slot(np.concatenate(sets)), return_counts=True)
+        counts[at] = np.minimum(counts[at] + n, 65535)
+
     for batch in batches:
         kind = batch.schema.field(1).type
-        ds, ns = [], []
-        many = []
+        ds, ns, many, held = [], [], [], 0
         for s in H.shingle_sets(batch.column(2), WORDS):
             ds.append(digest(s))
             ns.append(len(s))
             many.append(s)
-            if len(many) == 512:
-                counts += np.bincount((np.concatenate(many) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64), minlength=len(counts))
-                many = []
+            held += len(s)
+            if held > 1 << 18:
+                add(many)
+                many, held = [], 0
         if many:
-            counts += np.bincount((np.concatenate(many) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64), minlength=len(counts))
+            add(many)
         n = len(ns)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
     if kind is not None:
         blocks = range(len(counts) // BLOCK)
         none = pa.nulls(len(blocks), pa.int64())
-        packed = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].astype(np.int32).tobytes(), 1) for i in blocks]
+        packed = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
         yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), kind), none, none, none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], PROFILE)
 
 
@@ -103,19 +121,52 @@ def _add(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(zlib.decompress(c.as_buffer()), np.int32).astype(np.int64)
-            total[b] = total[b] + x if b in total else x
+            x = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint16)
+            if b in total:
+                total[b] += x
+            else:
+                total[b] = x.astype(np.int64)
     for b, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**31 - 1).astype(np.int32).tobytes(), 1)])], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(x.sum())]), pa.array([zlib.compress(x.tobytes(), 1)])], ["block", "n", "counts"])
+
+
+def _table(spark, profile: DataFrame) -> np.ndarray:
+    """The counts in one byte each: exact when few, else in eighths of the mean, so that hot ones stand out at any size."""
+    n_blocks = (1 << SKETCH_LOG2) // BLOCK
+    sums = cut(profile.where("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_add, "block int, n long, counts binary"))
+    mean = (sums.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_LOG2)
+    table = np.zeros((n_blocks, BLOCK), np.uint8)
+    for r in sums.select("block", "counts").toLocalIterator():
+        x = np.frombuffer(zlib.decompress(bytes(r[1])), np.int64)
+        table[r[0]] = np.minimum(x // max(1.0, mean / 8), 255)
+    drop_cut(sums)
+    return table.reshape(-1)
+
+
+def sweep(k: np.ndarray, span: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by (k, span), span = least size << 32 | largest partner.
+
+    Rows of a shingle whose size intervals overlap form a segment: only there can
+    sizes and places admit a link.  Gives for each row whether it opens a segment,
+    the place of its segment's first row, and the largest partner so far.
+    """
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    run = np.cumsum(new).astype(np.int64) << 32
+    top = np.maximum.accumulate(run + (span & 0xFFFFFFFF))
+    opens = new.copy()
+    opens[1:] |= (span[1:] >> 32) + run[1:] > top[:-1]
+    first = np.maximum.accumulate(np.where(opens, np.arange(len(k)), 0))
+    return opens, first, top - run
 
 
 def _prefixes(counts):
-    """Per batch: prefix shingles, each with one class of the batch that has it, and edges to the others'."""
+    """Per batch and shingle: a row (k, span, a) for each segment of sizes, and edges (k = b, span = -1, a) to its classes."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes = [], []
+            keys, spans, nodes = [], [], []
             for s in H.shingle_sets(batch.column(0), WORDS):
                 if not len(s) or (d := digest(s)[0]) in seen:
                     continue
@@ -124,80 +175,96 @@ def _prefixes(counts):
                 seen.add(d)
                 p = prefix(s, counts.value)
                 keys.append(p)
+                spans.append((len(s) << 32) + reach(len(s), np.arange(len(p))))
                 nodes.append(np.full(len(p), d, np.int64))
             if not keys:
                 continue
-            k, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-            order = np.lexsort((node, k))
-            k, node = k[order], node[order]
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(node[new]), pa.nulls(int(new.sum()), pa.int64())], ["k", "a", "b"])
-            pairs = np.unique(np.stack([lead, node], 1)[lead != node], axis=0)
+            k, span, node = np.concatenate(keys).view(np.int64), np.concatenate(spans), np.concatenate(nodes)
+            order = np.lexsort((span, k))
+            k, span, node = k[order], span[order], node[order]
+            opens, first, top = sweep(k, span, node)
+            at = np.flatnonzero(opens)
+            ends = np.append(at[1:], len(k)) - 1
+            wide = (span[at] >> 32 << 32) + top[ends]
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(wide), pa.array(node[at])], ["k", "span", "a"])
+            pairs = np.unique(np.stack([node[first], node], 1)[node[first] != node], axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(H.mix(pairs[:, 1].view(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["k", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), -1)), pa.array(pairs[:, 0])], ["k", "span", "a"])
 
     return run
 
 
 def _stars(batches):
-    """Rows by (k, a): links each class to the first that has the same shingle; passes edges on."""
-    last_k, lead = None, None
+    """Rows by (k, span): links each segment's classes to its first; passes edges on."""
+    carry = None
     for batch in batches:
-        k, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        out = [np.stack([a[edge], batch.column(2).drop_null().to_numpy()], 1)]
-        k, a = k[~edge], a[~edge]
+        k, span, a = (batch.column(i).to_numpy() for i in range(3))
+        edge = span == -1
+        out = [np.stack([a[edge], k[edge]], 1)]
+        k, span, a = k[~edge], span[~edge], a[~edge]
+        if carry is not None and len(k):
+            k, span, a = (np.concatenate([[c], x]) for c, x in zip(carry, (k, span, a)))
         if len(k):
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = last_k is None or k[0] != last_k
-            leads = a[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            if not new[0]:
-                upto = int(np.argmax(new)) if new.any() else len(k)
-                leads = leads.copy()
-                leads[:upto] = lead
-            last_k, lead = k[-1], leads[-1]
-            out.append(np.stack([leads, a], 1)[leads != a])
+            _, first, top = sweep(k, span, a)
+            out.append(np.stack([a[first], a], 1)[a[first] != a])
+            f = first[-1]
+            carry = (k[f], (span[f] >> 32 << 32) + top[-1], a[f])
         pairs = np.unique(np.concatenate(out), axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+class Region:
+    """The sets of a region with an index from shingles to their owners."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.n = sets, len(sets)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), self.size)[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.ends = np.append(self.starts[1:], len(every))
+        self.values = every[self.starts]
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles of ``s`` each set holds; owners are read about a million at a time."""
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        lo, width = self.starts[at], self.ends[at] - self.starts[at]
+        total = np.cumsum(width)
+        out = np.zeros(self.n, np.int64)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), "right")))
+            w = width[i:j]
+            pick = np.repeat(lo[i:j] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            out += np.bincount(self.owner[pick], minlength=self.n)
+            i = j
+        return out
+
+    def links(self, s: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(linked(self.common(s), self.size, len(s)))
+
+
 def cell_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect the components of a region, by pivots, cells and replicas (see above)."""
-    n = len(sets)
-    if n < 2:
+    if len(sets) < 2:
         return []
-    size = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    ends = np.append(starts[1:], len(every))
-    values = every[starts]
-
-    def common(i: int) -> np.ndarray:
-        at = np.searchsorted(values, sets[i])
-        lo, hi = starts[at], ends[at]
-        width = hi - lo
-        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        return np.bincount(owner[pick], minlength=n)
-
+    r = Region(sets)
     links: list[tuple[int, int]] = []
-    left = np.ones(n, bool)
+    left = np.ones(r.n, bool)
     while left.any():
         pivot = int(np.argmax(left))
-        c = common(pivot)
-        cell = linked(c, size, size[pivot]) & left
+        c = r.common(sets[pivot])
+        cell = linked(c, r.size, r.size[pivot]) & left
         links += [(pivot, int(i)) for i in np.flatnonzero(cell) if i != pivot]
         left &= ~cell
         left[pivot] = False
         # Earlier cells met every document within their reach, so only what is left can be a replica.
-        for y in np.flatnonzero(left & reachable(c, size, size[pivot])):
-            links += [(int(y), int(i)) for i in np.flatnonzero(linked(common(int(y)), size, size[y])) if i != y]
+        for y in np.flatnonzero(left & reachable(c, r.size, r.size[pivot])):
+            links += [(int(y), int(i)) for i in r.links(sets[y]) if i != y]
             left[y] = False
     return links
 
@@ -251,12 +318,9 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     profile = cut(docs.select("_rid", "_key", "_text").mapInArrow(_profile, f"_rid long, _key {kind}, n long, d1 long, d2 long, block int, counts binary"))
     rows = profile.where("block is null").drop("block", "counts")
-    table = np.zeros(1 << SKETCH_LOG2, np.int32)
-    for r in profile.where("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_add, "block int, counts binary").toLocalIterator():
-        table[r[0] * BLOCK : (r[0] + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r[1])), np.int32)
-    counts = sc.broadcast(table)  # of a fixed size: 4 * 2^SKETCH_LOG2 bytes
+    counts = sc.broadcast(_table(spark, profile))  # of a fixed size: 2^SKETCH_LOG2 bytes
 
-    edges = docs.select("_text").mapInArrow(_prefixes(counts), "k long, a long, b long").repartition(n_parts, "k").sortWithinPartitions("k", "a").mapInArrow(_stars, "a long, b long")
+    edges = docs.select("_text").mapInArrow(_prefixes(counts), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
     regions = components(edges)
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.first("n").alias("n"))
     members = cut(classes.join(regions, classes.d1 == regions.node).select("root", "_rep", "n"))
@@ -288,6 +352,76 @@ def region_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitset(members, "_rep"))
     sets = docs.select("_rid", "_text").mapInArrow(_sets(bits), "_rid long, _set binary")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.join(members, sets["_rid"] == members["_rep"]).select("root", "_rid", "_set")
-    return rows.repartition(n_parts, "root").sortWithinPartitions("root", "_rid").mapInArrow(_regions, "a long, b long")
+    n_parts = partitions(spark)
+    rows = sets.join(members, sets["_rid"] == members["_rep"]).select("root", "_rid", "_set", "n")
+    large = members.groupBy("root").agg(F.sum("n").alias("_n")).where(F.col("_n") * 8 > REGION_BYTES)
+    large = cut(large.withColumn("_chunks", F.ceil(F.col("_n") * 8 / REGION_BYTES).cast("int")).drop("_n"))
+    if large.isEmpty():
+        small, more = rows, None
+    else:
+        small = rows.join(large, "root", "left_anti")
+        more = large_links(cut(rows.join(large, "root")))
+    small = small.select("root", "_rid", "_set").repartition(n_parts, "root").sortWithinPartitions("root", "_rid").mapInArrow(_regions, "a long, b long")
+    return small if more is None else small.unionByName(more)
+
+
+#: Rounds of pivots in a large region, and about how many pivots a round takes in each.
+PIVOT_ROUNDS, PIVOTS = 3, 32
+
+
+def _chunk(n):
+    return F.pmod(F.xxhash64("_rid"), n).cast("int")
+
+
+def probe(rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """(a, b): every link between ``probes`` and ``rows`` of the same region.
+
+    Rows lie in chunks, probes go to every chunk of their region in blocks; a task
+    holds one chunk and one block.
+    """
+    blocks = probes.groupBy("root").agg((F.sum("n") * 8 / REGION_BYTES).cast("int").alias("_last"))
+    at = rows.join(blocks, "root").select("root", _chunk(F.col("_chunks")).alias("_c"), F.explode(F.sequence(F.lit(0), "_last")).alias("_b"), F.lit(0).alias("_q"), "_rid", "_set")
+    ask = probes.join(blocks, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_c"), _chunk(F.col("_last") + 1).alias("_b"), F.lit(1).alias("_q"), "_rid", "_set")
+    key = ["root", "_c", "_b"]
+    return at.unionByName(ask).repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "_q", "_rid").mapInArrow(_probe, "a long, b long")
+
+
+def _probe(batches):
+    key, region, rids, sets = None, None, [], []
+    for batch in batches:
+        col = batch.column(5)
+        for i, (r, c, b, q, rid) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)))):
+            if (r, c, b) != key:
+                key, region, rids, sets = (r, c, b), None, [], []
+            s = np.frombuffer(col[i].as_py(), np.uint64)
+            if not q:
+                rids.append(rid)
+                sets.append(s)
+            elif sets:
+                region = region or Region(sets)
+                found = [rids[j] for j in region.links(s) if rids[j] != rid]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(found)), pa.array(found)], ["a", "b"])
+
+
+def large_links(rows: DataFrame) -> DataFrame:
+    """Links of regions that no task holds whole.
+
+    A few rounds of pivots, met by the whole region, connect most of it.  A link
+    that is still missing has an end outside the region's largest component, and
+    every such document then meets the whole region.
+    """
+    left, found = rows, None
+    for turn in range(PIVOT_ROUNDS):
+        share = left.groupBy("root").agg(F.greatest(F.lit(1), (F.count("*") / PIVOTS).cast("long")).alias("_share"))
+        pivots = left.join(share, "root").where(F.pmod(F.xxhash64("_rid", F.lit(turn)), F.col("_share")) == 0).drop("_share")
+        links = probe(rows, pivots)
+        found = cut(links if found is None else found.unionByName(links))
+        of = cut(components(found))
+        sized = rows.select("root", "_rid").join(of.select(F.col("node").alias("_rid"), F.col("root").alias("_comp")), "_rid", "left").groupBy("root", "_comp").agg(F.count("*").alias("_n")).where("_comp is not null")
+        main = sized.groupBy("root").agg(F.max_by("_comp", "_n").alias("_comp"))
+        inside = of.join(main, of["root"] == main["_comp"], "left_semi").select(F.col("node").alias("_rid"))
+        left = cut(rows.join(inside, "_rid", "left_anti"))
+        if left.isEmpty():
+            return found
+    return found.unionByName(probe(rows, left))
