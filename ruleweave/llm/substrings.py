@@ -155,7 +155,8 @@ def _windows(bits, h, first, rid, starts, name):
     run = np.cumsum(new) - 1
     many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
     lead = many & new
-    yield _rows(h1, h2, rid, at, np.where(many, 0, 1))
+    # What is found already goes by its row's id: a hot window then sends one row from each slice to its key.
+    yield _rows(np.where(many, H.mix(rid.astype(np.int64).view(np.uint64)), h1), h2, rid, at, np.where(many, 0, 1))
     if lead.any():
         k = int(lead.sum())
         yield _rows(h1[lead], h2[lead], np.full(k, -1), np.zeros(k), np.full(k, 2))
