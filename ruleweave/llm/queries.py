@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, neighbours, packing, secrets, shard, substrings
+from . import bpe, jaccard, lines, neighbours, packing, secrets, shard, spots, substrings
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = packing.bpe_encoder(_vocabulary("byte_bpe_50k.json"), _pattern())
     return packing.pack(read(spark, sf_dir, "documents"), encoder, end_id=1, capacity=2048)
@@ -65,4 +69,4 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op3_bpe": op3_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op9_neighbours": op9_neighbours}
+QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op3_bpe": op3_bpe, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op9_neighbours": op9_neighbours}
