@@ -7,7 +7,7 @@ that have the most room left, and the counts of equal packs are updated
 together.  A plan's entry says: pieces of this length with these ranks go to
 these sequences at this offset.  Pieces find their entry by (length, rank).
 
-Ranks come from counts of each range partition, so equal lengths, even of a
+Ranks come from counts of each partition, so equal lengths, even of a
 third of all rows, are numbered without one task that holds them all.
 
 Null and empty texts are one piece with the end id alone.  Repeated rows are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread, with_rid
+from .common import cut, with_rid
 
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, _rid long"
 
@@ -87,7 +87,8 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Iterable
 def pack(docs: DataFrame, encoder, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    parts = spread(pieces(docs, encoder, end_id, capacity, key, text), "_rid", "start")
+    # Ids are made once; the partition that made a piece numbers it.
+    parts = cut(pieces(docs, encoder, end_id, capacity, key, text).withColumn("_pid", F.spark_partition_id()))
     by = parts.groupBy("_pid", "length").agg(F.count("*").alias("n"))
     # At most capacity rows for each partition; the window over them is keyed by length.
     earlier = Window.partitionBy("length").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
