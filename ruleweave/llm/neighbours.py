@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-CANDIDATES = 4096
+CANDIDATES = 2048
 QUERIES = 512
+#: Candidate blocks that one task meets with one query block.
+GROUP = 8
 #: 127 * 127 * 1000 stays below 2^24: float32 sums of int8 products are exact.
 MAX_DIM = 1000
 
@@ -63,8 +65,14 @@ def _blocks(rows: int):
 
 
 def blocks(df: DataFrame, rows: int) -> DataFrame:
-    """(dim, ids, m): vectors packed into matrices.  Deals rows evenly first, so no block follows one key."""
-    return df.repartition(partitions(df.sparkSession), F.xxhash64("id", "v")).sortWithinPartitions("dim", "id").mapInArrow(_blocks(rows), "dim int, ids binary, m binary")
+    """(dim, ids, m, b): vectors packed into numbered matrices, written once.
+
+    Rows are dealt evenly over as many tasks as there are blocks, so neither a key
+    nor the number of input files decides how large the blocks are.
+    """
+    n = max(1, -(-df.count() // rows))
+    packed = df.repartition(n).sortWithinPartitions("dim", "id").mapInArrow(_blocks(rows), "dim int, ids binary, m binary")
+    return cut(packed.withColumn("b", F.monotonically_increasing_id()))
 
 
 def quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,17 +116,40 @@ def tile(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first rows of each query, by score, then id."""
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    opens = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(opens, np.arange(len(q)), 0))
+    return q[rank < k], c[rank < k], s[rank < k]
+
+
 def _tiles(k: int):
+    """Tiles of one query block in a row are merged before they are sent on."""
+
     def run(batches):
+        at, held = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                qids, cids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c, s = tile(qids, np.frombuffer(r["qm"]).reshape(len(qids), -1), cids, np.frombuffer(r["m"]).reshape(len(cids), -1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                qb, qids, qm, ids, m = (batch.column(j)[i] for j in range(5))
+                qids, cids = np.frombuffer(qids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
+                new = tile(qids, np.frombuffer(qm.as_buffer()).reshape(len(qids), -1), cids, np.frombuffer(m.as_buffer()).reshape(len(cids), -1), k)
+                if at is not None and qb.as_py() != at:
+                    yield _sent(held)
+                    held = None
+                at = qb.as_py()
+                held = new if held is None else _best(*(np.concatenate(x) for x in zip(held, new)), k)
+        if held is not None:
+            yield _sent(held)
 
     return run
 
 
+def _sent(held) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["query_id", "vec_id", "score"])
+
+
 def _merge(k: int):
     """Rows by query: a heap of the k best, whatever number of tiles they come from."""
 
@@ -161,10 +192,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     that product is what a search of all queries against all rows is made of.
     """
     spark = vectors.sparkSession
-    cand = cut(blocks(_usable(vectors, key, vector), CANDIDATES))
-    ask = cut(blocks(_usable(queries, key, vector), QUERIES).select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.monotonically_increasing_id().alias("qb")))
-    n = partitions(spark)
+    cand = blocks(_usable(vectors, key, vector), CANDIDATES)
+    ask = blocks(_usable(queries, key, vector), QUERIES).select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("b").alias("qb"))
     per = ask.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))  # block numbers: one for QUERIES queries
-    tiles = cand.join(per, "dim").select("ids", "m", F.explode("qbs").alias("qb"))
-    made = tiles.join(ask, "qb").select("qids", "qm", "ids", "m").mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    return made.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    # A task takes one query block and a group of candidate blocks, so tasks grow with both.
+    groups = max(1, -(-cand.count() // GROUP))
+    group = F.pmod(F.xxhash64("b"), F.lit(groups))
+    tiles = cand.join(per, "dim").select("ids", "m", group.alias("g"), F.explode("qbs").alias("qb"))
+    asked = ask.select("qids", "qm", "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    made = tiles.join(asked, ["qb", "g"]).select("qb", "qids", "qm", "ids", "m").mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    return made.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
