@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import lines, secrets
+from ruleweave.llm import jaccard, lines, packing, secrets, toxicity
 from ruleweave.llm.common import cut, read
 
+VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 1, 2048
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; the model is learned from ``labels``."""
+    return toxicity.reject(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that a repeated three-line window covers; every document stays."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    """Lines that a later copy of a three-line window covers go; every document stays."""
+    out = lines.dedup_lines(docs)
+    return recounted(out.select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays."""
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
-    return secrets.redact(docs).select(*docs.columns)
+    """Secrets in the texts are masked; every document stays."""
+    return recounted(secrets.redact(docs).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences of CAPACITY."""
+    encoder = packing.bpe_encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packing.pack(docs, encoder, END_ID, CAPACITY)
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as its texts are now."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
-STAGES = [("line_dedup", line_dedup), ("secret_scan", secret_scan)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
 
-#: Byte-pair ids and a fitted toxicity model are beyond SQL; tests hold the stages against brute force.
+#: A fitted toxicity model and byte-pair ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -58,6 +58,20 @@ def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def boxed(df: DataFrame, text: str, *made: str) -> DataFrame:
+    """(_rid, _row, _text): the columns of ``df`` in a struct, so that no name of theirs clashes with an operator's.
+
+    Columns named as in ``made`` give way to what the operator makes.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in made], F.lit(0).alias("_box"))
+    return with_rid(df.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")))
+
+
+def unboxed(df: DataFrame, columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of the struct again, some replaced."""
+    return [instead.pop(c) if c in instead else F.col("_row").getField(c).alias(c) for c in columns] + list(instead.values())
+
+
 def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     """``df`` range-partitioned by ``keys`` with the partition's number in ``_pid``, cut there.
 

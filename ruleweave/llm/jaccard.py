@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bit_test, bitset, cut, drop_cut, partitions, with_rid
+from .common import bit_test, bitset, boxed, cut, drop_cut, partitions, unboxed, with_rid
 from .components import components
 
 WORDS = 5
@@ -309,7 +309,10 @@ def _regions(batches):
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, _rid): component_id is the least doc_id that links reach."""
+    """(doc_id, n_shingles, component_id, _rid, _stays): component_id is the least doc_id that links reach.
+
+    ``_stays`` marks one row of each component: its least id's first row.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = with_rid(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
@@ -322,17 +325,26 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     edges = docs.select("_text").mapInArrow(_prefixes(counts), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
     regions = components(edges)
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.min(F.struct(F.col("_key").isNull(), "_key", "_rid")).alias("_one"), F.first("n").alias("n"))
     members = cut(classes.join(regions, classes.d1 == regions.node).select("root", "_rep", "n"))
     links = region_links(docs, members)
     roots = cut(components(links))
 
     # From links between representatives to components of documents.
-    named = classes.join(roots, classes["_rep"] == roots.node, "left").select("d1", "d2", "_least", F.coalesce("root", "_rep").alias("_root"))
-    lows = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    per_class = named.join(lows, "_root").select("d1", "d2", "component_id")
+    named = classes.join(roots, classes["_rep"] == roots.node, "left").select("d1", "d2", "_least", "_one", F.coalesce("root", "_rep").alias("_root"))
+    lows = named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.min("_one").alias("_one"))
+    per_class = named.drop("_one").join(lows, "_root").select("d1", "d2", "component_id", F.col("_one")["_rid"].alias("_first"))
     out = rows.join(per_class, ["d1", "d2"], "left")
-    return out.select(F.col("_key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key")).alias("component_id"), "_rid")
+    some = F.col("n") > 0
+    return out.select(F.col("_key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("_key")).alias("component_id"), "_rid", (~some | (F.col("_first") == F.col("_rid"))).alias("_stays"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, a table as it is read, with one document of each component; those without words all stay."""
+    stays = similarity_components(docs, key, text).where("_stays").select("_rid")
+    boxes = boxed(docs, text)
+    out = boxes.join(stays, "_rid", "left_semi")
+    return out.select(*unboxed(out, docs.columns))
 
 
 def _sets(bits):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_rid
+from .common import boxed, unboxed
 
 WIDTH = 3
 
@@ -62,14 +62,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 
     A text that loses every line becomes empty, not null.
     """
-    docs = with_rid(docs)
-    out = docs.join(removed_lines(docs, text, key, width), "_rid", "left")
-    gone = F.coalesce(F.size("_gone"), F.lit(0))
-    at = F.sequence(F.lit(0), F.size(_lines(text)) - 1)
-    kept = F.transform(F.array_except(at, F.col("_gone")), lambda i: F.element_at(_lines(text), i + 1))
-    return out.select(
-        *[c for c in docs.columns if c not in ("_rid", text)],
-        F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text),
-        F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long").alias("n_lines"),
-        gone.cast("long").alias("n_removed"),
-    )
+    made = ("n_lines", "n_removed")
+    boxes = boxed(docs, text, *made)
+    narrow = boxes.select("_rid", "_text", F.col("_row").getField(key).alias("_id"))
+    out = boxes.join(removed_lines(narrow, "_text", "_id", width), "_rid", "left")
+    lines, gone = _lines("_text"), F.coalesce(F.size("_gone"), F.lit(0))
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.transform(F.array_except(at, F.col("_gone")), lambda i: F.element_at(lines, i + 1))
+    new = F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col("_text")).alias(text)
+    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), "n_removed": gone.cast("long").alias("n_removed")}
+    return out.select(*unboxed(out, [c for c in docs.columns if c not in made], **{text: new}, **counts))

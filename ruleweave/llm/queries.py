@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, neighbours, packing, secrets, shard, spots, substrings
+from . import bpe, jaccard, lines, neighbours, packing, secrets, shard, spots, substrings, toxicity
 from .common import read
 
 
@@ -36,7 +36,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_components(read(spark, sf_dir, "documents")).drop("_rid")
+    return jaccard.similarity_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def _vocabulary(name: str) -> str:
@@ -64,9 +64,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), encoder, end_id=1, capacity=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op3_bpe": op3_bpe, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op9_neighbours": op9_neighbours}
+QUERIES = {"op1_shard": op1_shard, "op2_secrets": op2_secrets, "op4_line_dedup": op4_line_dedup, "op10_substrings": op10_substrings, "op3_bpe": op3_bpe, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours}

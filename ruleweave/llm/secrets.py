@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_rid
+from .common import boxed, unboxed
 
 # The kinds, their patterns and the least length of a match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,17 +101,18 @@ def spans_of(text: Column, order: int, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_spans``: an array of (start, kind, end) by start, then kind's place in ``rules``."""
-    docs = with_rid(docs)
+    columns = [c for c in docs.columns if c != "_spans"]
+    boxes = boxed(docs, text, "_spans")
     grams, queries = plan_trigrams(rules)
-    cand = candidates(postings(docs, grams, text), rules)
-    joined = docs.join(cand, "_rid", "left")
+    cand = candidates(postings(boxes.select("_rid", "_text"), grams, "_text"), rules)
+    joined = boxes.join(cand, "_rid", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("_text"), F.lit(""))
     found = []
     for i, r in enumerate(rules):
         maybe = F.expr(f"coalesce(_rules, 0) & {1 << i}") != 0 if queries[r.kind] else F.lit(True)
         found.append(F.when(maybe & body.rlike(r.pattern), spans_of(body, i, r)).otherwise(empty))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_rid", "_rules")
+    return joined.select(*unboxed(joined, columns), F.array_sort(F.concat(*found)).alias("_spans"))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
