@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 CACHE = 700_000
 #: Pieces longer than this go round by round, so that only the last round's rows are kept.
 LONG = 100
+#: Pieces of a query; documents and characters that are split at once.
+BATCH, DOCS, CHARS = 60_000, 2048, 8_000_000
 
 STEP = """
   SELECT w, pos, tok, nxt, rank, rank = min(rank) OVER (PARTITION BY w) AS least
@@ -59,28 +62,28 @@ CONTRACT = (
 """
 )
 
-#: A token is (k, nxt, tok): k = piece * 128 + its first byte, nxt the next token's k.  ``best`` packs, of each
-#: piece, the least rank, then the leftmost place, with the places that its contraction needs.
+#: Pieces as lists of tokens, unnested into a row for each position to join the merge table.  ``best`` is the
+#: least rank of a piece and, in its low seven bits, the leftmost place that has it.
 ENCODE = """
-WITH RECURSIVE t(k, nxt, tok, live) AS (
-  SELECT w::BIGINT * 128 + pos, w::BIGINT * 128 + pos + 1, tok, true FROM bytes WHERE short
+WITH RECURSIVE t(w, toks, live) AS (
+  SELECT w, list(tok ORDER BY pos), true FROM bytes WHERE short GROUP BY w
   UNION ALL
-  SELECT l.k, CASE WHEN l.k = b.k1 THEN b.nxt ELSE l.nxt END, CASE WHEN l.k = b.k1 THEN b.rank ELSE l.tok END, b.w IS NOT NULL
-  FROM (SELECT k, nxt, tok FROM t WHERE live) l
+  SELECT t.w, CASE WHEN best IS NULL THEN toks ELSE toks[:(best & 127) - 1] || [(best >> 7)::INTEGER] || toks[(best & 127) + 2:] END, best IS NOT NULL
+  FROM (SELECT w, toks FROM t WHERE live) t
   LEFT JOIN (
-    SELECT w, best >> 24 AS rank, w * 128 + ((best >> 16) & 255) AS k1, w * 128 + ((best >> 8) & 255) AS k2, w * 128 + (best & 255) AS nxt
-    FROM (
-      SELECT x.k >> 7 AS w, min((m.rank::BIGINT << 24) + ((x.k & 127) << 16) + ((y.k & 127) << 8) + (y.nxt - ((y.k >> 7) * 128))) AS best
-      FROM (SELECT k, nxt, tok FROM t WHERE live) x JOIN (SELECT k, nxt, tok FROM t WHERE live) y ON x.nxt = y.k AND x.k >> 7 = y.k >> 7
-      JOIN merges m ON m.ab = x.tok::BIGINT * 65536 + y.tok
-      GROUP BY 1)) b ON l.k >> 7 = b.w
-  WHERE l.k IS DISTINCT FROM b.k2)
-SELECT (k >> 7)::INTEGER AS w, (k & 127)::INTEGER AS pos, tok FROM t WHERE NOT live
+    SELECT w, min((m.rank::BIGINT << 7) + i) AS best
+    FROM (SELECT w, unnest(list_transform(list_zip(toks[:-2], toks[2:]), lambda z: z[1]::BIGINT * 65536 + z[2])) AS ab, generate_subscripts(toks[:-2], 1) AS i
+          FROM t WHERE live) p
+    JOIN merges m USING (ab) GROUP BY w) b ON b.w = t.w)
+SELECT w, toks FROM t WHERE NOT live
 """
 
 ORDERED = """
-  SELECT f.w, string_agg(CAST(f.tok AS VARCHAR), ' ' ORDER BY f.pos) AS ids, string_agg(v.hex, '' ORDER BY f.pos) AS hex
-  FROM (SELECT * FROM final UNION ALL SELECT w, pos, tok FROM long_final) f JOIN vocab v ON v.id = f.tok GROUP BY f.w
+  WITH a AS (SELECT w, toks FROM final UNION ALL SELECT w, list(tok ORDER BY pos) FROM long_final GROUP BY w)
+  SELECT a.w, array_to_string(a.toks, ' ') AS ids, d.hex
+  FROM a JOIN (
+    SELECT w, string_agg(v.hex, '' ORDER BY pos) AS hex
+    FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM a) JOIN vocab v ON v.id = tok GROUP BY w) d ON d.w = a.w
 """
 
 
@@ -126,12 +129,15 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def add(self, pieces: list[str]) -> None:
-        if len(self.ids) + len(pieces) > CACHE:
+    def add(self, pieces: list[str]) -> bool:
+        """True if the cache had to be emptied first."""
+        full = bool(self.ids) and len(self.ids) + len(pieces) > CACHE
+        if full:
             self.ids.clear()
             self.raw.clear()
-        for i in range(0, len(pieces), 20_000):
-            self._add(pieces[i : i + 20_000])
+        for i in range(0, len(pieces), BATCH):
+            self._add(pieces[i : i + BATCH])
+        return full
 
     def _add(self, pieces: list[str]) -> None:
         import numpy as np
@@ -146,7 +152,7 @@ class Codec:
         db.execute("CREATE OR REPLACE TEMP TABLE bytes AS SELECT w, pos, tok, short FROM given JOIN single USING (byte)")
         db.execute(f"CREATE OR REPLACE TEMP TABLE final AS {ENCODE}")
         db.execute("CREATE OR REPLACE TEMP TABLE long_final AS SELECT w, pos, tok, true AS live FROM bytes WHERE NOT short")
-        while (size > LONG).any() and db.execute("SELECT count(*) FROM long_final WHERE live").fetchone()[0]:
+        while (size > LONG).any() and db.execute("SELECT count(*) FROM long_final WHERE live").fetchall()[0][0]:
             step = CONTRACT.format(source="(SELECT w, pos, tok FROM long_final WHERE live)")
             db.execute(f"CREATE OR REPLACE TEMP TABLE long_next AS SELECT * FROM ({step}) UNION ALL SELECT * FROM long_final WHERE NOT live")
             db.execute("ALTER TABLE long_final RENAME TO spent; ALTER TABLE long_next RENAME TO long_final; DROP TABLE spent")
@@ -156,6 +162,24 @@ class Codec:
         db.unregister("given")
 
 
+def chunks(column: pa.Array):
+    """Ranges of rows of at most DOCS texts and about CHARS characters."""
+    import pyarrow.compute as pc
+
+    at, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > at and (i - at >= DOCS or held + n > CHARS):
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(column):
+        yield at, len(column)
+
+
+def looked_up(table: dict[str, bytes], pieces: list[str]):
+    return itemgetter(*pieces)(table) if len(pieces) > 1 else [table[p] for p in pieces]
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``keep_ids`` the ids and the decoded text."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
@@ -164,19 +188,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
         split, codec = splitter(pattern), Codec(load_ranks(ranks_path))
         for batch in batches:
             col = batch.column(1)
-            for i in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in col.slice(i, 512).to_pylist()]
-                # The distinct pieces of many texts go into one query.
+            for i, j in chunks(col):
+                texts = [t or "" for t in col.slice(i, j - i).to_pylist()]
+                # The distinct new pieces of many texts go into one query.
                 parts = [split(t) for t in texts]
-                have = codec.ids
-                codec.add([x for x in dict.fromkeys(p for q in parts for p in q) if x not in have])
-                have, raws = codec.ids.__getitem__, codec.raw.__getitem__
-                ids, raw = [], []
-                for p in parts:
-                    if any(x not in codec.ids for x in p):  # the cache was emptied meanwhile
-                        codec.add([x for x in dict.fromkeys(p) if x not in codec.ids])
-                    ids.append(b" ".join(map(have, p)))
-                    raw.append(b"".join(map(raws, p)))
+                fresh = set().union(*parts).difference(codec.ids)
+                if codec.add(sorted(fresh)):  # the cache was emptied: all pieces of these texts again
+                    codec.add(sorted(set().union(*parts).difference(codec.ids)))
+                ids = [b" ".join(looked_up(codec.ids, p)) for p in parts]
+                raw = [b"".join(looked_up(codec.raw, p)) for p in parts]
                 cols = [batch.column(0).slice(i, len(texts)), pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
