@@ -53,6 +53,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Of each of n partitions a number that hash partitioning sends there: n groups then fill n tasks."""
+    near = spark.range(24 * n + 200).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    found = {r["p"]: r["id"] for r in near}
+    return [found.get(i, i) for i in range(n)]
+
+
 def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A row id that is the same each time the same files are read under the same settings."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import partitions, with_rid
+from .common import even_keys, partitions, with_rid
 
 # Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -134,8 +134,10 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     bounds = _bounds(docs.select("_key", "_rid"))
     kind = docs.schema["_key"].dataType
     spark = docs.sparkSession
+    n = partitions(spark)
+    keys = even_keys(spark, n)
     if not bounds:
-        return docs.select(F.lit(0).alias("_bucket"), "_key", "_rid", F.lit(0).alias("_tail"), "_text")
+        return docs.select(F.lit(0).cast("long").alias("_bucket"), "_key", "_rid", F.lit(0).alias("_tail"), "_text")
     shared = spark.sparkContext.broadcast(bounds)
 
     def bucket(batches):
@@ -149,15 +151,15 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
             for i, (k, r) in enumerate(zip(keys, rids)):
                 me = (k is not None, k if k is not None else 0, r)
                 b = max(0, bisect.bisect_right(order, me) - 1)
-                at.append(b)
+                at.append(keys[b % n])
                 if order[b] == me:
-                    copies.append((i, (b - 1) % len(order)))
+                    copies.append((i, keys[(b - 1) % len(order) % n]))
             rows = [*range(len(keys)), *(i for i, _ in copies)]
-            cols = [pa.array(at + [b for _, b in copies], pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array([0] * len(keys) + [1] * len(copies), pa.int32()), batch.column(2).take(rows)]
+            cols = [pa.array(at + [b for _, b in copies], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array([0] * len(keys) + [1] * len(copies), pa.int32()), batch.column(2).take(rows)]
             yield pa.RecordBatch.from_arrays(cols, ["_bucket", "_key", "_rid", "_tail", "_text"])
 
-    dealt = docs.select("_key", "_rid", "_text").mapInArrow(bucket, f"_bucket int, _key {kind.simpleString()}, _rid long, _tail int, _text string")
-    return dealt.repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket", "_tail", F.col("_key").asc_nulls_first(), "_rid")
+    dealt = docs.select("_key", "_rid", "_text").mapInArrow(bucket, f"_bucket long, _key {kind.simpleString()}, _rid long, _tail int, _text string")
+    return dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_tail", F.col("_key").asc_nulls_first(), "_rid")
 
 
 def _compare(batches):
