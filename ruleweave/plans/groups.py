@@ -1,0 +1,27 @@
+"""A rule's condition as one plan: its OR groups side by side, its parent's patterns first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..lang import syntax as S
+from .match import Planner, PlanError
+
+
+def groups_of(program: S.Program, name: str, seen: tuple[str, ...] = ()) -> list[list[S.Pattern]]:
+    rule = next((r for r in program.rules if r.name == name), None)
+    if rule is None or name in seen:
+        raise PlanError(f"rule {name!r} is unknown or extends itself")
+    if not rule.extends:
+        return rule.groups
+    first = groups_of(program, rule.extends, (*seen, name))[0]
+    return [[*first, *g] for g in rule.groups]
+
+
+def union_of_groups(planner: Planner, name: str) -> DataFrame:
+    """All groups' matches; a fact that two groups match is there twice."""
+    out = None
+    for g in groups_of(planner.program, name):
+        df = planner.match(g).df
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
