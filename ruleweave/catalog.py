@@ -149,12 +149,12 @@ def lines_sql(value: str) -> str:
 ask("A1_count", ORDER_LINES + "count())", "o__o_orderkey AS k; r__intValue AS v", lines_sql("count(l_orderkey)"))
 ask("A2_sum", ORDER_LINES + "sum($l.l_quantity))", "o__o_orderkey AS k; round(r__doubleValue, 4) AS v", lines_sql("round(coalesce(sum(l_quantity), 0), 4)"))
 ask("A2_sum_whole", ORDER_LINES + "sum($l.l_linenumber))", "o__o_orderkey AS k; r__result AS v", lines_sql("CAST(coalesce(sum(l_linenumber), 0) AS BIGINT)"))
-ask("A3_average", ORDER_LINES + "average($l.l_extendedprice))", "o__o_orderkey AS k; round(r__value, 1) AS v", lines_sql("round(coalesce(avg(l_extendedprice), 0), 1)"))
+ask("A3_average", ORDER_LINES + "average($l.l_extendedprice))", "o__o_orderkey AS k; round(r__value, 5) AS v", lines_sql("round(coalesce(avg(l_extendedprice), 0), 5)"))
 ask("A4_min", ORDER_LINES + "min($l.l_extendedprice))", "o__o_orderkey AS k; r__result AS v", lines_sql("coalesce(min(l_extendedprice), 0)"))
 ask("A4_max", ORDER_LINES + "max($l.l_extendedprice))", "o__o_orderkey AS k; r__result AS v", lines_sql("coalesce(max(l_extendedprice), 0)"))
 ask("A5_collect", "$c: Customer(c_custkey < 100) $r: Orders() from collect($o: Order(o_custkey == $c.c_custkey))", "c__c_custkey AS k; size(r__result) AS n; array_join(array_sort(transform(r__result, x -> x.o_orderkey)), ',') AS v", "SELECT c_custkey AS k, CAST(count(o_orderkey) AS INTEGER) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 100 GROUP BY c_custkey")
 ask("A6_collect_set", "$r: Region() $s: Nations() from accumulate($n: Nation(n_regionkey == $r.r_regionkey), collectSet($n))", "r__r_regionkey AS k; size(s__result) AS n", "SELECT r_regionkey AS k, CAST(count(n_nationkey) AS INTEGER) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
-ask("A7_expression", ORDER_LINES + "sum($l.l_extendedprice * (1 - $l.l_discount)))", "o__o_orderkey AS k; round(r__doubleValue, 1) AS v", lines_sql("round(coalesce(sum(l_extendedprice * (1 - l_discount)), 0), 1)"))
+ask("A7_expression", ORDER_LINES + "sum($l.l_extendedprice * (1 - $l.l_discount)))", "o__o_orderkey AS k; round(r__doubleValue, 5) AS v", lines_sql("round(coalesce(sum(l_extendedprice * (1 - l_discount)), 0), 5)"))
 ask("A7_outer_binding", ORDER_LINES + "sum($l.l_extendedprice / $o.o_totalprice))", "o__o_orderkey AS k; round(r__doubleValue, 4) AS v", lines_sql("round(coalesce(sum(l_extendedprice / o_totalprice), 0), 4)"))
 ask("A8_having", "$o: Order() $r: Number(intValue >= 6 || doubleValue == 1) from accumulate(LineItem(l_orderkey == $o.o_orderkey), count(1))", "o__o_orderkey AS k; r__intValue AS v", "SELECT o_orderkey AS k, count(l_orderkey) AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(l_orderkey) >= 6 OR count(l_orderkey) = 1")
 ask("A9_or_source", '$c: Customer(c_custkey < 200) $r: Number() from accumulate(Order(o_custkey == $c.c_custkey, (o_totalprice > 200000 || o_orderstatus == "P")), count())', "c__c_custkey AS k; r__intValue AS v", "SELECT c_custkey AS k, count(o_orderkey) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND (o_totalprice > 200000 OR o_orderstatus = 'P') WHERE c_custkey < 200 GROUP BY 1")

@@ -32,11 +32,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Counted(dict):
+    """Counts the changes of each type."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.changes: dict[str, int] = {}
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self.changes[name] = self.changes.get(name, 0) + 1
+        super().__setitem__(name, df)
+
+    def restore(self, old: dict) -> None:
+        for name in {*self, *old}:
+            if self.get(name) is not old.get(name):
+                if name in old:
+                    self[name] = old[name]
+                else:
+                    del self[name]
+
+
 class Memory:
     """Facts by type.  Ids rise with arrival; a change raises a fact's version."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.types, self.next_id = spark, {}, 1
+        self.spark, self.types, self.next_id = spark, _Counted(), 1
 
     def schema_of(self, name: str) -> T.StructType | None:
         return self.types[name].schema if name in self.types else None

@@ -202,7 +202,7 @@ class Session:
     def fire(self, max_rules: int = -1, exact: bool = False) -> int:
         """Fires to the fixpoint; gives the number of matches fired."""
         total, self.halted = 0, False
-        self.blocked, self.locked, self.cancelled = {}, {}, {}
+        self.blocked, self.locked, self.cancelled, self.idle = {}, {}, {}, {}
         groups_now = {r.agenda_group or MAIN for r in self.kb.rules}
         self._lock(groups_now)
         while max_rules < 0 or total < max_rules:
@@ -232,9 +232,13 @@ class Session:
         for r in self._order():
             if (r.agenda_group or MAIN) != group:
                 continue
-            begin = time.time()
+            begin, state = time.time(), self._state(r)
+            if self.idle.get(r.name) == state:
+                continue  # nothing that it reads has changed since it had nothing to do
             n = self._fire_rule(r, budget, exact)
-            if n:
+            if not n:
+                self.idle[r.name] = state
+            else:
                 self.stats.add(r.name, n, time.time() - begin)
                 for listen in self.listeners:
                     listen("fired", r.name, n)
@@ -242,6 +246,22 @@ class Session:
                 return n
         return 0
 
+    def _state(self, r: S.Rule) -> tuple:
+        """Of the types that a rule's condition reads, how often they have changed."""
+        names = sorted({self.kb.resolve(t) for g in r.groups for p in g for t in self._reads(p)})
+        return (self.now, *[(n, self.memory.types.changes.get(n, 0)) for n in names])
+
+    def _reads(self, p: S.Pattern):
+        if p.kind == "call":
+            for q in self.kb.program.queries[p.name].patterns:
+                yield from self._reads(q)
+        for inner in p.inner:
+            yield from self._reads(inner)
+        if isinstance(p.source, S.Accumulate):
+            yield from self._reads(p.source.source)
+        elif p.type and p.source is None:
+            yield p.type
+
     def _some(self, r: S.Rule) -> bool:
         m = self._pending(r)
         return m is not None and not m.df.isEmpty()
@@ -304,7 +324,7 @@ class Session:
         elif any(isinstance(a, (S.Halt, S.Focus)) for a in _actions(r.actions)):
             df = df.orderBy(F.desc("_key")).limit(1)
         elif budget is not None:
-            df = df.orderBy(F.desc("_key")).limit(budget)
+            df = df.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))
         taken = settle(df)
         n = taken.count()
         if not n:
@@ -313,7 +333,8 @@ class Session:
         try:
             Effects(self, r, replace_df(m, taken)).run(r.actions)
         except Exception as e:
-            self.memory.types, self.memory.next_id, self.logical = before  # nothing of the round stays
+            self.memory.types.restore(before[0])  # nothing of the round stays
+            self.memory.next_id, self.logical = before[1:]
             raise RuleError(f"rule {r.name!r}: {e}") from e
         keys = taken.select("_key", "_vers", "_group")
         self._remember(self.fired, r.name, keys)

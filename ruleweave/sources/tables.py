@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, type_name: str) -> DataFrame:
     return df.withColumn(FID, F.col(key).cast("long")) if key else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(batch.schema)
+    if any(f.rsplit("/", 1)[-1] == f"{name}.parquet" for f in batch.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def planner(spark: SparkSession, sf_dir: str, text: str, **options) -> Planner:
     def facts(type_name: str, entry_point: str | None) -> DataFrame:
         df = table(spark, sf_dir, type_name)
