@@ -33,16 +33,21 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 class _Counted(dict):
-    """Counts the changes of each type."""
+    """Types by name; counts how often each may have gained facts and may have lost some."""
 
     def __init__(self, *args):
         super().__init__(*args)
-        self.changes: dict[str, int] = {}
+        self.gained: dict[str, int] = {}
+        self.lost: dict[str, int] = {}
 
-    def __setitem__(self, name: str, df: DataFrame) -> None:
-        self.changes[name] = self.changes.get(name, 0) + 1
+    def put(self, name: str, df: DataFrame, gained: bool = True, lost: bool = True) -> None:
+        self.gained[name] = self.gained.get(name, 0) + gained
+        self.lost[name] = self.lost.get(name, 0) + lost
         super().__setitem__(name, df)
 
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self.put(name, df)
+
     def restore(self, old: dict) -> None:
         for name in {*self, *old}:
             if self.get(name) is not old.get(name):
@@ -85,7 +90,7 @@ class Memory:
         top = new.agg(F.max(FID)).first()[0]
         if top is not None:
             self.next_id = max(self.next_id, top + 1)
-        self.types[name] = new if name not in self.types else self.types[name].unionByName(new, allowMissingColumns=True)
+        self.types.put(name, new if name not in self.types else self.types[name].unionByName(new, allowMissingColumns=True), lost=False)
         return new
 
     def declare(self, name: str, schema: T.StructType) -> None:
@@ -97,7 +102,7 @@ class Memory:
         """Retracts the facts whose ids are in the one column of ``ids``."""
         gone = ids.toDF("_gone").distinct()
         df = self.types[name]
-        self.types[name] = settle(df.join(gone, df[FID] == F.col("_gone"), "left_anti"))
+        self.types.put(name, settle(df.join(gone, df[FID] == F.col("_gone"), "left_anti")), gained=False)
 
     def update(self, name: str, changes: DataFrame) -> None:
         """``changes``: _fid, and for each changed field f a column f and a flag _set_f.

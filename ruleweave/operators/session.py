@@ -247,20 +247,29 @@ class Session:
         return 0
 
     def _state(self, r: S.Rule) -> tuple:
-        """Of the types that a rule's condition reads, how often they have changed."""
-        names = sorted({self.kb.resolve(t) for g in r.groups for p in g for t in self._reads(p)})
-        return (self.now, *[(n, self.memory.types.changes.get(n, 0)) for n in names])
+        """What could give a rule new matches: gains of the types that it asks for, losses of those it denies."""
+        seen = set()
+        for g in r.groups:
+            for p in g:
+                seen.update((self.kb.resolve(t), wants, denies) for t, wants, denies in self._reads(p))
+        types = self.memory.types
+        return (self.now, *sorted((t, types.gained.get(t, 0) if wants else -1, types.lost.get(t, 0) if denies else -1) for t, wants, denies in seen))
 
-    def _reads(self, p: S.Pattern):
+    def _reads(self, p: S.Pattern, denied: bool = False):
+        """(type, whether more facts of it, whether fewer may make matches)."""
         if p.kind == "call":
             for q in self.kb.program.queries[p.name].patterns:
                 yield from self._reads(q)
         for inner in p.inner:
-            yield from self._reads(inner)
+            if p.kind == "forall":
+                yield inner.type, True, True
+            else:
+                yield from self._reads(inner, p.kind == "not")
         if isinstance(p.source, S.Accumulate):
-            yield from self._reads(p.source.source)
+            yield p.source.source.type, True, True
         elif p.type and p.source is None:
-            yield p.type
+            windowed = p.window is not None
+            yield p.type, windowed or not denied, windowed or denied
 
     def _some(self, r: S.Rule) -> bool:
         m = self._pending(r)
