@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema["_key"].dataType
     spark = docs.sparkSession
     n = partitions(spark)
-    keys = even_keys(spark, n)
+    slots = even_keys(spark, n)
     if not bounds:
         return docs.select(F.lit(0).cast("long").alias("_bucket"), "_key", "_rid", F.lit(0).alias("_tail"), "_text")
     shared = spark.sparkContext.broadcast(bounds)
@@ -151,9 +151,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
             for i, (k, r) in enumerate(zip(keys, rids)):
                 me = (k is not None, k if k is not None else 0, r)
                 b = max(0, bisect.bisect_right(order, me) - 1)
-                at.append(keys[b % n])
+                at.append(slots[b % n])
                 if order[b] == me:
-                    copies.append((i, keys[(b - 1) % len(order) % n]))
+                    copies.append((i, slots[(b - 1) % len(order) % n]))
             rows = [*range(len(keys)), *(i for i, _ in copies)]
             cols = [pa.array(at + [b for _, b in copies], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array([0] * len(keys) + [1] * len(copies), pa.int32()), batch.column(2).take(rows)]
             yield pa.RecordBatch.from_arrays(cols, ["_bucket", "_key", "_rid", "_tail", "_text"])
