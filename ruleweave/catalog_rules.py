@@ -38,7 +38,7 @@ def rules(name: str, text: str, facts: tuple[str, ...], show: Callable[[Session]
             kind, _, entry_point = t.partition("@")
             want = s.kb.schemas[kind]
             df = table(spark, sf_dir, kind)
-            s.insert(kind, df.select("_fid", *[F.col(f.name).cast(f.dataType) for f in want.fields]), entry_point or None)
+            s.register(kind, df.select("_fid", *[F.col(f.name).cast(f.dataType) for f in want.fields]), entry_point or None)
         s.fire(**options.get("fire", {}))
         return show(s)
 

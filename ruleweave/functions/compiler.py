@@ -34,9 +34,10 @@ class Scope:
     udfs: dict[str, Callable] = field(default_factory=dict)
     enums: dict[str, list[str]] = field(default_factory=dict)
     concat: bool = False
+    origins: dict[str, str] = field(default_factory=dict)
 
     def child(self, **changes) -> Scope:
-        out = Scope(dict(self.bindings), dict(self.names), self.globals, self.here, self.strict, self.udfs, self.enums, self.concat)
+        out = Scope(dict(self.bindings), dict(self.names), self.globals, self.here, self.strict, self.udfs, self.enums, self.concat, dict(self.origins))
         for k, v in changes.items():
             setattr(out, k, v)
         return out
@@ -144,6 +145,8 @@ class Scope:
         if isinstance(x, S.Bind):
             ref = self.resolve(x.ref)
             self.names[x.var] = ref
+            if self.here is not None and x.ref.var is None:
+                self.origins[x.var] = mangled(self.here, FID if x.ref.steps[0] == "this" else x.ref.steps[0])
             return self.compile(x.test) if x.test is not None else (F.lit(True), T.BooleanType())
         if isinstance(x, S.Un):
             return self._unary(x)

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, is_dataclass
+from dataclasses import fields as fields_of
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,17 @@ class Session:
         self._validate(name, df, want)
         return self.memory.add(name, df, entry_point, want, order)
 
+    def register(self, name: str, df: DataFrame, entry_point: str | None = None) -> None:
+        """Facts that stay where they are: a table with an id column ``_fid``, read each time by what needs it."""
+        name = self.kb.resolve(name)
+        want = self.kb.schemas.get(name)
+        self._validate(name, df, want)
+        facts = self.memory.prepared(df, want, entry_point)
+        top = facts.agg(F.max(FID)).first()[0]
+        self.memory.next_id = max(self.memory.next_id, (top or 0) + 1)
+        known = self.memory.types.get(name)
+        self.memory.types.put(name, facts if known is None or known.isEmpty() else known.unionByName(facts), lost=False)
+
     def insert_rows(self, name: str, rows: list[dict], entry_point: str | None = None) -> DataFrame:
         want = self.kb.schemas[self.kb.resolve(name)]
         cells = [tuple(r.get(f.name) for f in want.fields) for r in rows]
@@ -324,20 +336,26 @@ class Session:
         return df
 
     def _fire_rule(self, r: S.Rule, budget: int | None, exact: bool) -> int:
-        m = self._pending(r)
+        m, state = self._pending(r), self._state(r)
         if m is None:
             return 0
         df = self._one_each(r, m, m.df)
+        whole = df is m.df and len(r.groups) == 1
+        if r.activation_group or exact or budget is not None:
+            whole = False
         if r.activation_group or exact:
             df = df.orderBy(F.desc("_key")).limit(1)
         elif any(isinstance(a, (S.Halt, S.Focus)) for a in _actions(r.actions)):
+            whole = False
             df = df.orderBy(F.desc("_key")).limit(1)
         elif budget is not None:
             df = df.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))
-        taken = settle(df)
+        taken = settle(df.select(*self._used(r, m, df)))
         n = taken.count()
         if not n:
             return 0
+        if whole:  # all that it could do until what it reads changes
+            self.idle[r.name] = state
         before = (dict(self.memory.types), self.memory.next_id, list(self.logical))
         try:
             Effects(self, r, replace_df(m, taken)).run(r.actions)
@@ -357,6 +375,23 @@ class Session:
                         self._remember(self.cancelled, other.name, settle(left.df.select("_key", "_vers", "_group")))
         return n
 
+    def _used(self, r: S.Rule, m: Match, df: DataFrame) -> list[str]:
+        """The columns of matches that the actions read: the others are not written."""
+        keep, whole = {"_key", "_vers", "_group"}, set()
+        for x in _parts(r.actions):
+            if isinstance(x, S.Ref) and x.var:
+                if x.var in m.scope.origins:
+                    keep.add(m.scope.origins[x.var])
+                elif x.steps:
+                    keep.add(mangled(x.var, x.steps[0]))
+                else:
+                    keep |= {mangled(x.var, FID), mangled(x.var, "result")}
+            elif isinstance(x, (S.Update, S.Retract)):
+                keep.add(mangled(x.var, FID))
+                if isinstance(x, S.Update):
+                    keep |= {mangled(x.var, f) for f in x.fields}
+        return [c for c in df.columns if c in keep or c in whole]
+
     @staticmethod
     def _remember(table: dict, name: str, keys: DataFrame) -> None:
         table[name] = keys if name not in table or table[name] is None else table[name].unionByName(keys)
@@ -395,6 +430,19 @@ def replace_df(m: Match, df: DataFrame) -> Match:
     return out
 
 
+def _parts(x):
+    """Every node of actions and their expressions."""
+    if isinstance(x, (list, tuple)):
+        for y in x:
+            yield from _parts(y)
+    elif isinstance(x, dict):
+        yield from _parts(list(x.values()))
+    elif is_dataclass(x):
+        yield x
+        for f in fields_of(x):
+            yield from _parts(getattr(x, f.name))
+
+
 def _actions(body: list):
     for a in body:
         yield a
