@@ -1,7 +1,7 @@
 """Byte-level byte-pair encoding and decoding by recursive queries, one DuckDB a task.
 
 A task splits its texts by the vocabulary's pattern and sends the distinct
-pieces that it has not met to DuckDB.  There a recursive query holds a row for
+pieces that its worker has not met to DuckDB.  There a recursive query holds a row for
 each token and position; adjacent tokens join the merge table, and each piece
 contracts its leftmost pair of least rank, until no pair has a rank.  Pieces at
 rest leave the recursion.  An ordered aggregation gives ids, and a join with the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 # The white space of the pattern's \s, which Python's \s widens by four control characters.
 SPACE = r"\t-\r \x85\xa0  -     　"
-CACHE = 700_000
+CACHE = 1_000_000
 #: Pieces longer than this go round by round, so that only the last round's rows are kept.
 LONG = 100
 #: Pieces of a query; documents and characters that are split at once.
@@ -162,6 +162,16 @@ class Codec:
         db.unregister("given")
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_for(ranks_path: str) -> Codec:
+    """The worker's codec: tasks that it runs one after the other share the pieces that they have met."""
+    if ranks_path not in _CODECS:
+        _CODECS[ranks_path] = Codec(load_ranks(ranks_path))
+    return _CODECS[ranks_path]
+
+
 def chunks(column: pa.Array):
     """Ranges of rows of at most DOCS texts and about CHARS characters."""
     import pyarrow.compute as pc
@@ -185,7 +195,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
 
     def run(batches):
-        split, codec = splitter(pattern), Codec(load_ranks(ranks_path))
+        split, codec = splitter(pattern), codec_for(ranks_path)
         for batch in batches:
             col = batch.column(1)
             for i, j in chunks(col):
@@ -193,8 +203,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
                 # The distinct new pieces of many texts go into one query.
                 parts = [split(t) for t in texts]
                 fresh = set().union(*parts).difference(codec.ids)
-                if codec.add(sorted(fresh)):  # the cache was emptied: all pieces of these texts again
-                    codec.add(sorted(set().union(*parts).difference(codec.ids)))
+                if codec.add(list(fresh)):  # the cache was emptied: all pieces of these texts again
+                    codec.add(list(set().union(*parts).difference(codec.ids)))
                 ids = [b" ".join(looked_up(codec.ids, p)) for p in parts]
                 raw = [b"".join(looked_up(codec.raw, p)) for p in parts]
                 cols = [batch.column(0).slice(i, len(texts)), pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]
