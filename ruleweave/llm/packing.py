@@ -122,10 +122,12 @@ def pack(docs: DataFrame, encoder, end_id: int, capacity: int = 2048, key: str =
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def bpe_encoder(path_json: str, pattern: str):
-    """An encoder of the vocabulary in a tokenizers file: its merge order as ranks, special strings as ordinary text."""
+_CODECS: dict[tuple[str, str], object] = {}
 
-    def make():
+
+def codec_for(path_json: str, pattern: str):
+    """The worker's codec of a tokenizers file: its merge order as ranks, special strings as ordinary text."""
+    if (path_json, pattern) not in _CODECS:
         import json
 
         import tiktoken
@@ -135,7 +137,13 @@ def bpe_encoder(path_json: str, pattern: str):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
-        codec = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _CODECS[path_json, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _CODECS[path_json, pattern]
+
+
+def bpe_encoder(path_json: str, pattern: str):
+    def make():
+        codec = codec_for(path_json, pattern)
         return lambda texts: codec.encode_ordinary_batch(texts, num_threads=1)
 
     return make
