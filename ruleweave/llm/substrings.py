@@ -189,19 +189,29 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield from _windows(bits.value, h, first, rid, starts[mine], name[mine])
 
     def copies(batches):
-        """Rows of the documents that may be copies: of equal ones in a slice only the first has its text."""
+        """Rows of the documents that may be copies, one for each text of a slice.
+
+        Those that a slice has twice are copies for sure (n = 0): they go by row, so
+        a text that a third of the rows have sends one row of a slice to its digest.
+        """
         for batch in batches:
             for a, _, _, rid, d1, d2, copy in split(batch):
                 at = np.flatnonzero(copy)
-                if len(at):
-                    lead = at[np.unique(np.stack([d1[at], d2[at]], 1), axis=0, return_index=True)[1]]
-                    texts = pa.array([batch.column(1)[a + int(i)].as_py() if i in set(lead.tolist()) else None for i in at], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(d1[at].view(np.int64)), pa.array(d2[at].astype(np.uint32).view(np.int32)), pa.array(rid[at]), texts], ["h1", "h2", "_rid", "_text"])
+                if not len(at):
+                    continue
+                _, lead, back, many = np.unique(np.stack([d1[at], d2[at]], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+                sure, lead = at[(many > 1)[back.reshape(-1)]], at[lead]
+                key1 = np.concatenate([H.mix(rid[sure].astype(np.int64).view(np.uint64)), d1[lead]]).view(np.int64)
+                key2 = np.concatenate([np.zeros(len(sure), np.uint32), d2[lead].astype(np.uint32)]).view(np.int32)
+                ids = np.concatenate([rid[sure], np.where(many > 1, -1, rid[lead])])
+                texts = pa.array([None] * len(sure) + [batch.column(1)[a + int(i)].as_py() for i in lead], pa.string())
+                n = np.concatenate([np.zeros(len(sure)), np.minimum(many, 2)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key1), pa.array(key2), pa.array(ids), texts, pa.array(n)], ["h1", "h2", "_rid", "_text", "n"])
 
     def classes(batches):
-        """Rows by digest, texts first: windows of each class's first text, and WHOLE for its documents."""
+        """Rows by digest: windows of each class's first text, and WHOLE for its documents."""
 
-        def flush(key, n, rid, body):
+        def flush(n, rid, body):
             h, first = H.words(*H.buffers(pa.array([body])))
             starts, name, _ = window_names(h, first)
             for rows in _windows(bits.value, h, first, np.array([rid]), starts, name):
@@ -212,29 +222,33 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(m, -1)), rows.column(3), pa.array(np.full(m, 2, np.int32))], rows.schema.names)
 
         def whole(rids):
-            k = len(rids)
             r = np.array(rids, np.int64)
+            k = len(r)
             return _rows(H.mix(r.view(np.uint64)), np.zeros(k), r, np.full(k, WHOLE), np.zeros(k))
 
-        key, n, head, body = None, 0, 0, ""
+        key, n, head, body = None, 0, -1, ""
         for batch in batches:
             found = []
-            for h1, h2, rid, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            texts = batch.column(3)
+            for i, (h1, h2, rid, m) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 2, 4)))):
+                if not m:
+                    found.append(rid)
+                    continue
                 if (h1, h2) != key:
                     if n:
-                        yield from flush(key, n, head, body)
-                    key, n, head, body = (h1, h2), 1, rid, text
+                        yield from flush(n, head, body)
+                    key, n, head, body = (h1, h2), m, rid, texts[i].as_py()
                     continue
-                n += 1
-                found += [head, rid] if n == 2 else [rid]
+                found += [r for r in (head, rid) if r >= 0]
+                n, head = n + m, -1
             if found:
                 yield whole(found)
         if n:
-            yield from flush(key, n, head, body)
+            yield from flush(n, head, body)
 
     pair = docs.select("_rid", F.col(text).alias("_text"))
-    same = pair.mapInArrow(copies, "h1 long, h2 int, _rid long, _text string").repartition(n_parts, "h1", "h2")
-    same = same.sortWithinPartitions("h1", "h2", F.col("_text").isNull(), "_rid").mapInArrow(classes, ROW)
+    same = pair.mapInArrow(copies, "h1 long, h2 int, _rid long, _text string, n int").repartition(n_parts, "h1", "h2")
+    same = same.sortWithinPartitions("h1", "h2", "_rid").mapInArrow(classes, ROW)
     rows = pair.mapInArrow(single, ROW).unionByName(same).repartition(n_parts, "h1", "h2")
     return rows.sortWithinPartitions("h1", "h2").mapInArrow(_runs, "_rid long, at int")
 
