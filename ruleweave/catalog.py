@@ -107,6 +107,7 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.df.select(*key, *cols)
 
 
+ask("F9_F10_haversine", "$a: Customer(c_custkey < 80) $b: Supplier() eval(3959 * acos(min(max(sin($a.c_custkey * pi / 180) * sin($b.s_suppkey * pi / 180) + cos($a.c_custkey * pi / 180) * cos($b.s_suppkey * pi / 180) * cos(($a.c_nationkey - $b.s_nationkey) * pi / 180), -1), 1)) > 3000)", "a__c_custkey AS a; b__s_suppkey AS b", "SELECT c_custkey AS a, s_suppkey AS b FROM customer, supplier WHERE c_custkey < 80 AND 3959 * acos(least(greatest(sin(c_custkey * pi() / 180) * sin(s_suppkey * pi() / 180) + cos(c_custkey * pi() / 180) * cos(s_suppkey * pi() / 180) * cos((c_nationkey - s_nationkey) * pi() / 180), -1), 1)) > 3000")
 QUERIES["F1_F11_scalar_math"] = math_functions
 SQL["F1_F11_scalar_math"] = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_orderkey * 3 + 7 - l_linenumber AS whole, round(l_orderkey / 8, 6) AS quotient,

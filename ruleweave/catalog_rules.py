@@ -199,6 +199,31 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document that arrives in pieces; all its facts come at once."""
+    from .sources.feeds import Feed
+
+    n = spark.read.parquet(f"{sf_dir}/region.parquet")
+    doc = n.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("kind"))).alias("all")))).first()[0]
+    s = Session(KnowledgeBase(TYPES), spark)
+    f = Feed(s, "Signal", "json", "$.all[*]")
+    for i in range(0, len(doc), 7):
+        f.feed(doc[i : i + 7])
+    f.finish()
+    return s.facts("Signal").select("key", "kind")
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a query's matches as another kind."""
+    from .operators.results import Results
+    from .plans.match import output
+    from .sources.tables import ask
+
+    return Results(output(ask(spark, sf_dir, "$l: LineItem(l_orderkey < 50)"))).field("l", "l_quantity", "int")
+
+
+QUERIES |= {"S9_chunks": chunked, "R3_S15_typed_fields": typed}
+SQL |= {"S9_chunks": "SELECT CAST(r_regionkey AS BIGINT) AS key, r_name AS kind FROM region", "R3_S15_typed_fields": "SELECT CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem WHERE l_orderkey < 50"}
 QUERIES |= {"S3_json": json_source, "S4_json_path": json_path, "S5_yaml": yaml_source, "S6_S7_csv_xml": text_forms}
 SQL |= {
     "S3_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",

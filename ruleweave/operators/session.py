@@ -49,6 +49,14 @@ class KnowledgeBase:
             self._merge(parse(text, (*AGGREGATES, *self.aggregates)))
         self._check()
 
+    @classmethod
+    def load(cls, path: str, bases: list[str] | None = None, **options) -> KnowledgeBase:
+        """A rule file with all that it imports."""
+        from ..sources.schemas import load
+
+        texts, types = load(path, bases)
+        return cls(*texts, types=types, **options)
+
     def _merge(self, p: S.Program) -> None:
         mine = self.program
         for name in p.types:
@@ -208,13 +216,19 @@ class Session:
 
     # --- firing
 
+    def reload(self, kb: KnowledgeBase) -> None:
+        """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
+        self.kb = kb
+        for name, schema in kb.schemas.items():
+            self.memory.declare(name, schema)
+
     def set_focus(self, group: str) -> None:
         self.focus.append(group)
 
     def fire(self, max_rules: int = -1, exact: bool = False) -> int:
         """Fires to the fixpoint; gives the number of matches fired."""
         total, self.halted = 0, False
-        self.blocked, self.locked, self.cancelled, self.idle = {}, {}, {}, {}
+        self.blocked, self.locked, self.idle = {}, {}, {}
         groups_now = {r.agenda_group or MAIN for r in self.kb.rules}
         self._lock(groups_now)
         while max_rules < 0 or total < max_rules:
@@ -311,8 +325,6 @@ class Session:
                 df = df.join(self.blocked[r.name], ["_key", "_group"], "left_anti")
             if self.locked.get(r.name) is not None:
                 df = df.join(self.locked[r.name], ["_key"], "left_semi")
-            if (c := self.cancelled.get(r.name)) is not None:
-                df = df.join(c, ["_key", "_vers", "_group"], "left_anti")
             m.df = df
             m.index = i
             if len(r.groups) == 1 or not df.isEmpty():
@@ -371,8 +383,8 @@ class Session:
             for other in self.kb.rules:
                 if other.activation_group == r.activation_group:
                     left = self._pending(other)
-                    if left is not None:
-                        self._remember(self.cancelled, other.name, settle(left.df.select("_key", "_vers", "_group")))
+                    if left is not None:  # what waits is cancelled for good
+                        self._remember(self.fired, other.name, settle(left.df.select("_key", "_vers", "_group")))
         return n
 
     def _used(self, r: S.Rule, m: Match, df: DataFrame) -> list[str]:
