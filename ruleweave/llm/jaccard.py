@@ -186,6 +186,9 @@ def _prefixes(counts):
             at = np.flatnonzero(opens)
             ends = np.append(at[1:], len(k)) - 1
             wide = (span[at] >> 32 << 32) + top[ends]
+            # Sent in the order of classes: what a class repeats then packs well.
+            order = np.lexsort((k[at], node[at]))
+            at, wide = at[order], wide[order]
             yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(wide), pa.array(node[at])], ["k", "span", "a"])
             pairs = np.unique(np.stack([node[first], node], 1)[node[first] != node], axis=0)
             if len(pairs):

@@ -14,6 +14,8 @@ from ..plans.match import ROUTE, VERSION
 
 SYSTEM = T.StructType([T.StructField(FID, T.LongType()), T.StructField(VERSION, T.LongType()), T.StructField(ROUTE, T.StringType())])
 _own: list[str] = []
+#: Inserts after which a type's parts are written as one table.
+MERGE = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,7 +63,7 @@ class Memory:
     """Facts by type.  Ids rise with arrival; a change raises a fact's version."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.types, self.next_id = spark, _Counted(), 1
+        self.spark, self.types, self.next_id, self._parts = spark, _Counted(), 1, {}
 
     def schema_of(self, name: str) -> T.StructType | None:
         return self.types[name].schema if name in self.types else None
@@ -90,7 +92,14 @@ class Memory:
         top = new.agg(F.max(FID)).first()[0]
         if top is not None:
             self.next_id = max(self.next_id, top + 1)
-        self.types.put(name, new if name not in self.types else self.types[name].unionByName(new, allowMissingColumns=True), lost=False)
+        if name in self.types:
+            self._parts[name] = self._parts.get(name, 0) + 1
+            both = self.types[name].unionByName(new, allowMissingColumns=True)
+            if self._parts[name] % MERGE == 0:
+                both = settle(both)  # many small parts become one table
+        else:
+            both = new
+        self.types.put(name, both, lost=False)
         return new
 
     def declare(self, name: str, schema: T.StructType) -> None:

@@ -144,10 +144,65 @@ class Planner:
         inner = p.inner[0]
         if inner.kind != "fact" or inner.source is not None:
             raise PlanError("not and exists take one plain pattern")
-        scope = m.scope.child()
-        right, rest = self._scan(inner, scope, self._name(inner.binding))
+        scope, binding = m.scope.child(), self._name(inner.binding)
+        bound = self._extreme(inner, m, scope, binding, how)
+        if bound is not None:
+            return bound
+        right, rest = self._scan(inner, scope, binding)
         return Match(self._join(m.df, right, rest, how), m.scope, m.facts, m.shown)
 
+    def _extreme(self, p: S.Pattern, m: Match, scope: Scope, binding: str, how: str) -> Match | None:
+        """``not T(key == $k, cost < $c)``: one inequality needs only the least (or greatest) of each key.
+
+        So it is an aggregate and a hash join, where a join on the inequality would
+        compare all pairs.  None if the pattern is of another shape.
+        """
+        if m.df is None or p.window is not None:
+            return None
+        own, equal, unequal, mine = [], [], [], {binding}
+        for part in conjuncts(p.test):
+            mine |= {b.var for b in binds(part)}
+            plain = isinstance(part, S.Bin) and isinstance(part.a, S.Ref) and part.a.var is None and not variables(part.b) & mine
+            if variables(part) <= mine:
+                own.append(part)
+            elif plain and part.op == "==" and self._outer(part.b):
+                equal.append(part)
+            elif plain and part.op in ("<", "<=", ">", ">=", "after", "before", "during") and self._outer(part.b):
+                unequal.append(part)
+            else:
+                return None
+        if len(unequal) != 1:
+            return None
+        local = None
+        for part in own:
+            local = part if local is None else S.Bin("&&", local, part)
+        right, _ = self._scan(S.Pattern("fact", p.type, p.binding, local, None, p.entry_point), scope, binding)
+        scope.here = binding
+        part = unequal[0]
+        value, kind = scope.compile(part.a)
+        bound, bound_kind = scope.compile(part.b)
+        if not (scalar.is_number(kind) and scalar.is_number(bound_kind)):
+            return None
+        keys = [(scope.compile(e.a), scope.compile(e.b)) for e in equal]
+        op = {"after": ">", "before": "<", "during": ">="}.get(part.op, part.op)
+        best = (F.min if op[0] == "<" else F.max)(value).alias("_best")
+        named = [c.alias(f"_x{i}") for i, ((c, _), _) in enumerate(keys)]
+        top = right.groupBy(*named).agg(best) if named else right.agg(best)
+        on = self._all([scalar.compare("==", F.col(f"_x{i}"), k[1], *o) for i, (k, o) in enumerate(keys)])
+        joined = m.df.join(top, on, "left") if on is not None else m.df.crossJoin(F.broadcast(top))
+        holds = F.coalesce(scalar.compare(op, F.col("_best"), kind, bound, bound_kind), F.lit(False))
+        df = joined.where(holds if how == "left_semi" else ~holds).select(*m.df.columns)
+        return Match(df, m.scope, m.facts, m.shown)
+
+    @staticmethod
+    def _outer(x) -> bool:
+        """Whether an expression names no field of the pattern at hand."""
+        if isinstance(x, S.Ref):
+            return x.var is not None
+        if isinstance(x, (S.Un, S.Bin)):
+            return all(Planner._outer(y) for y in ((x.x,) if isinstance(x, S.Un) else (x.a, x.b)))
+        return isinstance(x, S.Lit) or isinstance(x, S.Fn) and all(map(Planner._outer, x.args))
+
     def _not(self, p: S.Pattern, m: Match) -> Match:
         return self._test(p, m, "left_anti")
 
