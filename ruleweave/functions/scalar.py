@@ -28,7 +28,14 @@ UNARY = {
     "log": F.ln,
     "exp": F.exp,
 }
-BINARY = {"min": F.least, "max": F.greatest, "pow": F.pow, "fmod": lambda a, b: F.when(b != 0, a % b)}
+
+
+def _least(a: Column, b: Column) -> Column:
+    """The lesser number, null if either is null: nulls sort first."""
+    return F.sort_array(F.array(a, b)).getItem(0)
+
+
+BINARY = {"min": _least, "max": lambda a, b: -_least(-a, -b), "pow": F.pow, "fmod": F.try_mod}
 REMOVED = ("concat", "to_upper", "to_lower")
 
 
@@ -45,23 +52,24 @@ def is_whole(t: T.DataType) -> bool:
 
 
 def finite(x: Column, strict: bool, what: str) -> Column:
-    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    """``x``, or the fallback.  Names ``x`` once, as nested expressions would else double at each level."""
     fallback = F.raise_error(F.lit(f"{what} is not finite")).cast("double") if strict else F.lit(None).cast("double")
-    return F.when(bad, fallback).otherwise(x)
+    return F.nanvl(x % F.lit(float("inf")), fallback)  # finite numbers stay as they are, infinite ones become NaN
 
 
 def unary(name: str, x: Column, strict: bool = False) -> Column:
     """A function of one double: the result is a double, also of floor, ceil and round (halves away from zero)."""
     given = x.cast("double")
     out = UNARY[name](given).cast("double")
-    out = F.coalesce(out, F.when(given.isNotNull(), F.lit(float("nan"))))  # ln(0) and its like give null
+    if strict and name == "log":
+        out = F.coalesce(out, F.when(given.isNotNull(), F.lit(float("nan"))))  # ln(0) and its like give null
     return finite(out, strict, name)
 
 
 def binary(name: str, a: Column, b: Column, strict: bool = False) -> Column:
     a, b = a.cast("double"), b.cast("double")
-    out = F.when(a.isNotNull() & b.isNotNull(), BINARY[name](a, b))
-    if name == "fmod":
+    out = BINARY[name](a, b)
+    if strict and name == "fmod":
         out = F.coalesce(out, F.when(a.isNotNull() & b.isNotNull(), F.lit(float("nan"))))
     return finite(out, strict, name)
 
@@ -74,7 +82,9 @@ def arithmetic(op: str, a: Column, ta: T.DataType, b: Column, tb: T.DataType, st
         raise ExpressionError(f"'{op}' takes numbers, not {ta.simpleString()} and {tb.simpleString()}")
     if op == "/":
         a, b = a.cast("double"), b.cast("double")
-        zero = F.raise_error(F.lit("division by zero")).cast("double") if strict else F.lit(None).cast("double")
+        if not strict:
+            return finite(F.try_divide(a, b), strict, "/"), T.DoubleType()
+        zero = F.raise_error(F.lit("division by zero")).cast("double")
         return finite(F.when(b == 0, zero).otherwise(a / F.when(b != 0, b)), strict, "/"), T.DoubleType()
     whole = is_whole(ta) and is_whole(tb)
     kind = "long" if whole else "double"
