@@ -35,7 +35,13 @@ def _least(a: Column, b: Column) -> Column:
     return F.sort_array(F.array(a, b)).getItem(0)
 
 
-BINARY = {"min": _least, "max": lambda a, b: -_least(-a, -b), "pow": F.pow, "fmod": F.try_mod}
+def _greatest(a: Column, b: Column) -> Column:
+    """The greater number, null if either is null; what is not a number counts as infinite."""
+    top = F.lit(float("inf"))
+    return -_least(-F.nanvl(a, top), -F.nanvl(b, top))
+
+
+BINARY = {"min": _least, "max": _greatest, "pow": F.pow, "fmod": F.try_mod}
 REMOVED = ("concat", "to_upper", "to_lower")
 
 
