@@ -220,9 +220,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     best = counts.where(F.col("p") >= LEAST_DOCS).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS)
     rows = best.orderBy(F.desc("w"), F.desc("p"), "term").limit(MAX_TERMS).collect()
     begin = {r["term"].removesuffix(ONE): r["w"] for r in rows if r["term"].endswith(ONE)}
-    # Of nested beginnings the shortest says it all; a word that a beginning covers needs no entry.
+    # Of nested beginnings the shortest says it all; a word that one covers stays, as only words match misspelled.
     begin = {t: w for t, w in begin.items() if not any(t[:k] in begin for k in PREFIXES if k < len(t))}
-    words = {r["term"]: r["w"] for r in rows if not r["term"].endswith(ONE) and not any(r["term"][:k] in begin for k in PREFIXES)}
+    words = {r["term"]: r["w"] for r in rows if not r["term"].endswith(ONE)}
     probe = Automaton(words, begin)
 
     def near(batches):

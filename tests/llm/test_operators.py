@@ -499,3 +499,30 @@ def test_pipeline(spark, tmp_path):
     packed = C.STAGES[-1][1](spark, docs, sf)
     whole = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
     assert set(whole) == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_toxicity_misspelled_beginnings(spark):
+    """Words that a learned beginning covers are still found with an edit in their first letters."""
+    from ruleweave.llm import toxicity as X
+
+    rng = random.Random(9)
+    bad = ["moron", "trash", "scoundrel"]
+    made = []
+    for i in range(600):
+        w = [rng.choice(WORDS) for _ in range(40)]
+        if i % 4 == 0:
+            for b in bad:
+                w[rng.randrange(40)] = b
+        made.append((i, " ".join(w), int(i % 4 == 0)))
+    plain = " ".join(WORDS[:40])
+    wrong = ["maron", "tr4sh", "xcoundrel", "oron", "ttrash", "soundrel"]
+    made += [(1000, plain, 0)] + [(1001 + k, f"{plain} {w}", 0) for k, w in enumerate(wrong)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = X.train(docs, docs.where("doc_id < 1000"))
+    assert set(bad) <= set(model.words)
+    scorer = X.Scorer(model.words, model.begin, model.ordinary)
+    for w in wrong:
+        exact, near = scorer.look(w) or (0.0, 0.0)
+        assert exact == 0 < near, w
+    got = {r.doc_id: r.score for r in X.score(docs.where("doc_id >= 1000"), model).collect()}
+    assert all(got[1001 + k] > got[1000] for k in range(len(wrong)))
