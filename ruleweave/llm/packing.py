@@ -17,6 +17,7 @@ packed each; null ids come first; an empty table gives no pieces.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -122,28 +123,45 @@ def pack(docs: DataFrame, encoder, end_id: int, capacity: int = 2048, key: str =
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-_CODECS: dict[tuple[str, str], object] = {}
+_CODECS: dict[tuple[str, str], tuple] = {}
 
 
 def codec_for(path_json: str, pattern: str):
-    """The worker's codec of a tokenizers file: its merge order as ranks, special strings as ordinary text."""
+    """The worker's codec of a tokenizers file: its merge order as ranks; its added tokens and a pattern that cuts texts at them."""
     if (path_json, pattern) not in _CODECS:
         import json
 
         import tiktoken
 
         with open(path_json, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            given = json.load(f)
+        vocab, tokens = given["model"]["vocab"], given.get("added_tokens") or []
+        if odd := [t["content"] for t in tokens if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"added tokens that take in or ask for their surroundings: {odd}")
+        added = {t["content"]: t["id"] for t in tokens}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
-        _CODECS[path_json, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in added}
+        codec = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # The longest of those that begin at one place; without any a pattern that matches nowhere.
+        at = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})" if added else "((?!))")
+        _CODECS[path_json, pattern] = codec, added, at
     return _CODECS[path_json, pattern]
 
 
 def bpe_encoder(path_json: str, pattern: str):
     def make():
-        codec = codec_for(path_json, pattern)
-        return lambda texts: codec.encode_ordinary_batch(texts, num_threads=1)
+        codec, added, at = codec_for(path_json, pattern)
+
+        def encode(texts):
+            parts = [at.split(t) for t in texts]  # every second part is an added token
+            coded = iter(codec.encode_ordinary_batch([p for x in parts for p in x[::2]], num_threads=1))
+            for x in parts:
+                ids = list(next(coded))
+                for token in x[1::2]:
+                    ids += [added[token], *next(coded)]
+                yield ids
+
+        return encode
 
     return make

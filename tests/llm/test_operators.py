@@ -348,6 +348,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty, packing.bpe_encoder(P.path("byte_bpe_50k.json"), P.PATTERN), 1, 64).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """The tokenizers library recognises the file's added tokens within texts."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from ruleweave.llm import packing
+
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"one  {end}\n\n two", f"{end}{end}x{end}", f"<|endoftext {end[1:]} <{end}>", f"日本{end}é", "plain text", "", None, f"{end} " * 90]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "d")), packing.bpe_encoder(P.path("byte_bpe_50k.json"), P.PATTERN), 1, 64).collect()
+    want = []
+    for d, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(d, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes()), len(ids)) for a in range(0, len(ids), 64)]
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == sorted(want)
+
+
 def test_packing_plan():
     from ruleweave.llm.packing import plan
 
