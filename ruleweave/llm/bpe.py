@@ -135,9 +135,17 @@ class Codec:
         if full:
             self.ids.clear()
             self.raw.clear()
+        self._fill(pieces)
+        return full
+
+    def meet(self, pieces: set[str]) -> None:
+        """All of ``pieces`` are cached afterwards, even if they alone are more than CACHE."""
+        if self.add(list(pieces.difference(self.ids))):  # the cache was emptied: the others again, with no more emptying
+            self._fill(list(pieces.difference(self.ids)))
+
+    def _fill(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), BATCH):
             self._add(pieces[i : i + BATCH])
-        return full
 
     def _add(self, pieces: list[str]) -> None:
         import numpy as np
@@ -202,9 +210,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
                 texts = [t or "" for t in col.slice(i, j - i).to_pylist()]
                 # The distinct new pieces of many texts go into one query.
                 parts = [split(t) for t in texts]
-                fresh = set().union(*parts).difference(codec.ids)
-                if codec.add(list(fresh)):  # the cache was emptied: all pieces of these texts again
-                    codec.add(list(set().union(*parts).difference(codec.ids)))
+                codec.meet(set().union(*parts))
                 ids = [b" ".join(looked_up(codec.ids, p)) for p in parts]
                 raw = [b"".join(looked_up(codec.raw, p)) for p in parts]
                 cols = [batch.column(0).slice(i, len(texts)), pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]

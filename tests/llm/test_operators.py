@@ -280,6 +280,36 @@ def test_bpe_small_cache(monkeypatch):
     assert c.add(["delta", "epsilon", "zeta"]) and set(c.ids) == {"delta", "epsilon", "zeta"}
 
 
+def test_bpe_texts_beyond_the_cache(spark, monkeypatch):
+    """A text with more distinct pieces than the cache takes, some of them met before."""
+    from types import SimpleNamespace
+
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+    from pyspark.sql.types import LongType
+
+    from ruleweave.llm import bpe
+
+    class Docs:
+        schema = {"doc_id": SimpleNamespace(dataType=LongType())}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, kind):
+            return run
+
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = ["alpha beta", "one two three four five six seven eight beta", "alpha beta", "one two nine"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "_text"]) for i, t in enumerate(texts)]
+    got = [r for b in bpe.encode_decode(Docs(), path, P.PATTERN, keep_ids=True)(batches) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in got] == [(i, enc.encode_ordinary(t), t) for i, t in enumerate(texts)]
+
+
 def test_spotsigs(docs, empty):
     from ruleweave.llm import spots
 
