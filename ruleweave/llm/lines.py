@@ -7,9 +7,11 @@ is the original; every line that a later occurrence covers goes.  So five equal
 lines in a row leave one, as the later windows overlap the first.
 
 Texts of fewer than three lines (null and empty ones too) have no window and
-stay as they are.  A null doc_id sorts before all others.  Windows without any
-letter or digit are not compared, so blank lines and rules never match alone.
-Repeated rows are rows of their own: the second loses its lines.
+stay as they are.  A null doc_id sorts before all others.  Every window counts,
+one of blank lines or of rules too.  Repeated rows are rows of their own: the
+second loses its lines.  An empty table gives no rows.  Very long texts need no
+rule: a text's lines are one array in the task that reads it.  Columns of the
+input named n_lines or n_removed give way to those made here.
 """
 
 from __future__ import annotations
@@ -29,17 +31,14 @@ def _lines(text: str) -> Column:
 def windows(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """A row (_h1, _h2, _id, _rid, _at) for each window; the hashes are 128 bits in all."""
     lines = docs.select(F.col(key).alias("_id"), "_rid", _lines(text).alias("_l")).where(F.size("_l") >= width)
-    hashed = lines.select("_id", "_rid", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.when(x.rlike(r"[\p{L}\p{N}]"), True).otherwise(False).alias("w"))).alias("_l"))
+    hashed = lines.select("_id", "_rid", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("_l"))
     at = F.sequence(F.lit(1), F.size("_l") - (width - 1))
 
     def window(i: Column) -> Column:
         each = [F.element_at(F.col("_l"), i + j) for j in range(width)]
-        some = each[0]["w"]
-        for x in each[1:]:
-            some = some | x["w"]
-        return F.struct((i - 1).alias("_at"), F.xxhash64(*[x["a"] for x in each]).alias("_h1"), F.xxhash64(*[x["b"] for x in each]).alias("_h2"), some.alias("_w"))
+        return F.struct((i - 1).alias("_at"), F.xxhash64(*[x["a"] for x in each]).alias("_h1"), F.xxhash64(*[x["b"] for x in each]).alias("_h2"))
 
-    return hashed.select("_id", "_rid", F.inline(F.transform(at, window))).where("_w").drop("_w")
+    return hashed.select("_id", "_rid", F.inline(F.transform(at, window)))
 
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:

@@ -8,7 +8,7 @@ w AS (
   FROM (SELECT doc_id, l, unnest(range(1, CAST(len(l) AS BIGINT) - 1)) AS i FROM l WHERE len(l) >= 3)),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k
-  FROM w WHERE regexp_matches(win, '[\p{L}\p{N}]')),
+  FROM w),
 gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM r WHERE k > 1),
 line AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM l),
 kept AS (
