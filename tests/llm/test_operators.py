@@ -573,3 +573,44 @@ def test_toxicity_misspelled_beginnings(spark):
         assert exact == 0 < near, w
     got = {r.doc_id: r.score for r in X.score(docs.where("doc_id >= 1000"), model).collect()}
     assert all(got[1001 + k] > got[1000] for k in range(len(wrong)))
+
+
+def test_neighbours_of_repeated_query_ids(spark):
+    """Equal query rows are answered once; rows of one id with other vectors each."""
+    from ruleweave.llm import neighbours as N
+
+    rng = np.random.default_rng(3)
+    cells = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)], "q", 1) for i in range(60)]
+    kind = "vec_id long, embedding array<float>, query_id string, score int"  # names that clash with the result's
+    df = spark.createDataFrame(cells, kind)
+    other = [float(x) for x in rng.normal(size=8).astype(np.float32)]
+    asked = spark.createDataFrame([cells[0], cells[0], cells[7], (7, other, "q", 1)], kind)
+    got = [tuple(r) for r in N.nearest(df, asked, 6).collect()]
+    want = []
+    for i, v in ((0, cells[0][1]), (7, cells[7][1]), (7, other)):
+        near = sorted(((-float(N.exact(np.array([v], np.float64), np.array([c[1]], np.float64))[0]), c[0]) for c in cells if c[0] != i))[:6]
+        want += [(i, k + 1, c, -s) for k, (s, c) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+    assert N.nearest(df, asked, 6).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_neighbours_of_wide_vectors(spark, monkeypatch):
+    """Dimensions beyond one group are added group by group; repeated candidates count each."""
+    from ruleweave.llm import neighbours as N
+
+    monkeypatch.setattr(N, "GROUP_DIMS", 5)
+    monkeypatch.setattr(N, "CANDIDATES", 16)
+    monkeypatch.setattr(N, "QUERIES", 4)
+    monkeypatch.setattr(N, "GROUP", 2)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(160, 23))
+    v[120:] = v[3]
+    cells = [(i % 110, [float(x) for x in row]) for i, row in enumerate(v)] + [(20, [float(x) for x in v[3]])] * 9
+    df = spark.createDataFrame(cells, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in N.nearest(df, df.where("vec_id % 20 = 0"), 4).collect())
+    want = []
+    for i, x in cells:
+        if i % 20 == 0:
+            near = sorted((-float(N.exact(np.array([x]), np.array([y]))[0]), j) for j, y in cells if j != i)[:4]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)]
+    assert got == sorted(want)
