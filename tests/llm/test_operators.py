@@ -609,7 +609,7 @@ def test_neighbours_of_wide_vectors(spark, monkeypatch):
     df = spark.createDataFrame(cells, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in N.nearest(df, df.where("vec_id % 20 = 0"), 4).collect())
     want = []
-    for i, x in cells:
+    for i, x in {(i, tuple(x)) for i, x in cells}:
         if i % 20 == 0:
             near = sorted((-float(N.exact(np.array([x]), np.array([y]))[0]), j) for j, y in cells if j != i)[:4]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)]
