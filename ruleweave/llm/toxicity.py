@@ -14,9 +14,15 @@ words that ordinary texts of the sample use are no misspellings.
 Context.  A term counts as quoted if a quotation mark opens within WINDOW words
 before it and closes within WINDOW words after it, and as addressed if a word of
 the window speaks to someone; the model weighs plain, quoted, addressed and
-misspelled terms apart.  Null and empty texts have no terms; ties and repeated
-rows need no rule, as each row is scored alone.  Without labels of both kinds
-every score is the share of toxic ones (0 without labels).
+misspelled terms apart.
+
+Null and empty texts have no terms; very long texts are read whole; ties and
+repeated rows need no rule, as each row is scored alone; an empty table gives no
+rows.  A column of the input named as the score gives way to it.  Without labels
+of both kinds every score is the share of toxic ones (0 without labels).
+
+The sample is written once and all choices from it are ordered, so two runs over
+the same rows learn the same model.
 """
 
 from __future__ import annotations
@@ -31,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import cut
 from .hashing import shingle_sets
 
 #: The bounds of the sample and of the lexicon.
 MAX_EACH = 4000
 MAX_TERMS = 1500
+#: Ordinary words of the sample that lie one edit from a term, most common first.
+MAX_ORDINARY = 50_000
 LEAST_DOCS = 6
 LEAST_ODDS = 3.0
 FUZZY_LEAST = 5
@@ -209,8 +218,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
             least = [int(x[0].view(np.int64)) if len(x) else 0 for x in shingle_sets(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["_text", "_y", "_least"])
 
-    # Copies and near copies mostly share their least shingle: one of them speaks for all.
-    sample = sample.mapInArrow(kind, "_text string, _y int, _least long").dropDuplicates(["_least", "_y"])
+    # Copies and near copies mostly share their least shingle: one of them, by a hash of its text, speaks for all.
+    sample = sample.mapInArrow(kind, "_text string, _y int, _least long").groupBy("_least", "_y").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    sample = cut(sample.select("_text", "_y"))
     size = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
@@ -227,12 +237,11 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
     def near(batches):
         for batch in batches:
-            keep = [t for t in batch.column(0).to_pylist() if probe.match(t)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["term"])
+            keep = [bool(probe.match(t)[1]) for t in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    ordinary = counts.where((F.col("n") > 0) & ~F.endswith("term", F.lit(ONE))).select("term").mapInArrow(near, "term string")
-    # Only words one edit from a term of a bounded lexicon, from a bounded sample.
-    return words, begin, frozenset(r[0] for r in ordinary.limit(50_000).collect())
+    ordinary = counts.where((F.col("n") > 0) & ~F.endswith("term", F.lit(ONE))).select("term", "n").mapInArrow(near, "term string, n long")
+    return words, begin, frozenset(r["term"] for r in ordinary.orderBy(F.desc("n"), "term").limit(MAX_ORDINARY).collect())
 
 
 class Model:
@@ -260,8 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     size = {r["_y"]: r["n"] for r in y.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = {k: max(1, -(-size.get(k, 0) // MAX_EACH)) for k in (0, 1)}
     some = y.where(F.pmod(F.xxhash64("_id"), F.when(F.col("_y") == 1, share[1]).otherwise(share[0])) == 0)
-    # About MAX_EACH rows of either label: a bounded broadcast.
-    sample = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").select("_text", "_y")
+    # About MAX_EACH rows of either label: a bounded broadcast.  Written once: later steps read the same rows.
+    sample = cut(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").select("_text", "_y"))
     words, begin, ordinary = learn_lexicon(sample)
     total = sum(size.values())
     prior = size.get(1, 0) / total if total else 0.0
@@ -274,7 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = [scorer.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.mapInArrow(measure, "x array<double>, y int").collect()  # a few numbers for each of the sample
+    # A few numbers for each of the sample, in an order of their own: sums do not depend on the tasks.
+    rows = sorted(sample.mapInArrow(measure, "x array<double>, y int").collect())
     x, t = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     weight = np.where(t == 1, share[1], share[0]).astype(float)
     return Model(words, begin, ordinary, *fit_logistic(x, t, weight), prior)
