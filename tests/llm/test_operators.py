@@ -84,6 +84,7 @@ def test_secrets(spark, docs, empty, tmp_path):
     rng = random.Random(2)
     parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "=", ":", " ", '"', "'", "abc123", "x", "AKIA", "ABCD1234EFGH5678", "deadbeef" * 3, "ff", "é", "😀", "\n", "token=token:abcdefgh", "K", "ſecret"]
     made = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))),) for _ in range(600)]
+    made += [("é token=abcdef1 " * 700 + "x",), ("0123456789abcdef01234567 " * 256,), ("k " * 200_000 + "secret: hidden99",)]  # many matches, very long
     spark.createDataFrame(made, "text string").write.parquet(str(tmp_path / "s"))
     for df in (docs, spark.read.parquet(str(tmp_path / "s"))):
         got = scan(df).select("text", spans_text(F.col("_spans")).alias("s")).collect()
@@ -102,8 +103,58 @@ def test_trigram_plan():
     from ruleweave.llm.secrets import RULES, plan_trigrams
 
     grams, queries = plan_trigrams(RULES)
-    assert queries["hex"] == [] and queries["access"] == [["aki", "kia"]]
-    assert {"pas", "ass", "tok"} <= set(grams)
+    assert queries["hex"] is True and queries["access"] == ("and", ("aki", "kia"))
+    kinds = {q[1][0] if isinstance(q, tuple) else q for q in queries["assign"][1]}
+    assert queries["assign"][0] == "or" and kinds == {"api", "pas", "sec", "tok"}
+    assert {"api", "pi_", "pik", "ken"} <= set(grams)
+
+
+def test_trigram_queries_of_random_regexes():
+    """Every text that a regex matches satisfies the query derived from it."""
+    from ruleweave.llm.trigrams import holds, query_of
+
+    rng = random.Random(12)
+
+    def made(depth):
+        kind = rng.randrange(7 if depth else 2)
+        if kind < 2:
+            return "".join(rng.choice("abcAB") for _ in range(rng.randint(1, 4)))
+        if kind == 2:
+            return "[" + rng.choice(["ab", "a-c", "^a", "b-", r"\w"]) + "]" + rng.choice(["", "+", "*", "?", "{2,3}"])
+        if kind == 3:
+            return "(?:" + "|".join(made(depth - 1) for _ in range(rng.randint(1, 3))) + ")"
+        if kind == 4:
+            return "(" + made(depth - 1) + ")" + rng.choice(["", "?", "+", "*", "{2}", "{0,2}"])
+        if kind == 5:
+            return "(?i:" + made(depth - 1) + ")" + rng.choice([".", "", r"\b", "(?=b)"])
+        return made(depth - 1) + made(depth - 1)
+
+    hits = selective = 0
+    for _ in range(500):
+        pattern = made(3)
+        q = query_of(pattern)
+        selective += q is not True
+        for _ in range(40):
+            t = "".join(rng.choice("abcABC") for _ in range(rng.randint(0, 14)))
+            if re.search(pattern, t):
+                hits += 1
+                low = t.lower()
+                assert holds(q, {low[i : i + 3] for i in range(len(low) - 2)}), (pattern, t, q)
+    assert hits > 2000 and selective > 100
+
+
+def test_many_rules(spark):
+    """More trigrams than a long has bits."""
+    from ruleweave.llm.secrets import Rule, plan_trigrams, scan
+
+    rng = random.Random(13)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(20)]
+    rules = tuple(Rule(n, n + r"[0-9]{2,}", 0, 0) for n in names)
+    assert len(plan_trigrams(rules)[0]) > 100
+    texts = [(f"{a}{rng.randint(1, 99)} {b.upper()}12 {b}345",) for a in names for b in names]
+    for r in scan(spark.createDataFrame(texts, "text string"), rules).collect():
+        want = sorted((m.start(), k, m.end()) for k, n in enumerate(names) for m in re.finditer(n + r"[0-9]{2,}", r.text))
+        assert [tuple(x) for x in r._spans] == want
 
 
 def lines_of(rows_):
