@@ -9,12 +9,19 @@ vocabulary, aggregated in order, the bytes: encoding and decoding of a text are
 then the concatenation of its pieces'.
 
 Where a piece is long, one contraction a step would take as many steps as it has
-tokens.  So for merges that can never yield a pair of smaller rank (``calm``),
-all pairs of the least rank contract in one step, left to right: these are the
-contractions that single steps would make next.
-
-Null and empty texts have no tokens.  The cache of pieces is bounded; emptying
-it costs time only.
+tokens.  But no token is longer than some number of bytes (``reach``, of the tokens
+made of the piece's bytes).  A pair whose rank is least among all pairs that begin
+within reach before it or after it is contracted by single steps before anything
+can touch it: what could must first grow there from pairs of smaller rank, and
+there are none.  So a step contracts every such pair.  Of equal ranks the leftmost
+in reach goes, or, for merges that never yield a pair of smaller rank (``calm``),
+every other one of each row of them from the left.  Steps then depend on
+the reach, not on the length of the piece.
+
+Null and empty texts have no tokens.  Repeated rows and null ids are rows of their
+own; an empty table gives no rows; no other column is read.  A very long text is
+split whole; its distinct pieces go to DuckDB by BATCH pieces or CHARS characters.
+The cache of pieces is bounded; emptying it costs time only.
 """
 
 from __future__ import annotations
@@ -28,62 +35,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The white space of the pattern's \s, which Python's \s widens by four control characters.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 1_000_000
-#: Pieces longer than this go round by round, so that only the last round's rows are kept.
+#: Pieces of more tokens contract at several places in a step (at most 127, as a place has seven bits).
 LONG = 100
 #: Pieces of a query; documents and characters that are split at once.
 BATCH, DOCS, CHARS = 60_000, 2048, 8_000_000
+#: Characters of a query's pieces, unless one piece alone has more.
+PIECE_CHARS = 1_000_000
 
-STEP = """
-  SELECT w, pos, tok, nxt, rank, rank = min(rank) OVER (PARTITION BY w) AS least
-  FROM (SELECT p.w, p.pos, p.tok, p.nxt, m.rank
-        FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM {source}) p
-        LEFT JOIN merges m ON m.a = p.tok AND m.b = p.nxt)
-"""
-
-#: From the tokens of ``source``, those after one step; ``live`` says that the piece still changed.
-CONTRACT = (
-    """
-  SELECT w, pos, CASE WHEN hit THEN rank ELSE tok END AS tok, live FROM (
-    SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS gone,
-           bool_or(hit) OVER (PARTITION BY w) AS live
-    FROM (
-      SELECT w, pos, tok, rank,
-             coalesce(least, false) AND (CASE WHEN calm.id IS NULL
-               THEN pos = min(CASE WHEN least THEN pos END) OVER (PARTITION BY w)
-               ELSE (row_number() OVER (PARTITION BY w, isle ORDER BY pos)) % 2 = 1 END) AS hit
-      FROM (
-        SELECT *, CASE WHEN least THEN seq - row_number() OVER (PARTITION BY w, coalesce(least, false) ORDER BY seq) END AS isle
-        FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS seq FROM ("""
-    + STEP
-    + """))) LEFT JOIN calm ON calm.id = rank))
-  WHERE NOT gone
-"""
-)
-
-#: Pieces as lists of tokens, unnested into a row for each position to join the merge table.  ``best`` is the
-#: least rank of a piece and, in its low seven bits, the leftmost place that has it.
+#: Pieces as lists of tokens, one row for each, of which the recursion keeps the last.  A step unnests them into a row
+#: for each position to join the merge table.  Short pieces: ``best`` is the least rank of a piece and, in its low seven
+#: bits, the leftmost place that has it.  Long ones: the leftmost least rank of each stretch, see above.
 ENCODE = """
-WITH RECURSIVE t(w, toks, live) AS (
-  SELECT w, list(tok ORDER BY pos), true FROM bytes WHERE short GROUP BY w
-  UNION ALL
+WITH RECURSIVE t(w, toks, live) USING KEY (w) AS (
+  SELECT w, list(tok ORDER BY pos), true FROM bytes GROUP BY w
+  UNION ALL (
   SELECT t.w, CASE WHEN best IS NULL THEN toks ELSE toks[:(best & 127) - 1] || [(best >> 7)::INTEGER] || toks[(best & 127) + 2:] END, best IS NOT NULL
-  FROM (SELECT w, toks FROM t WHERE live) t
+  FROM (SELECT w, toks FROM t WHERE live AND len(toks) <= {long}) t
   LEFT JOIN (
     SELECT w, min((m.rank::BIGINT << 7) + i) AS best
     FROM (SELECT w, unnest(list_transform(list_zip(toks[:-2], toks[2:]), lambda z: z[1]::BIGINT * 65536 + z[2])) AS ab, generate_subscripts(toks[:-2], 1) AS i
-          FROM t WHERE live) p
-    JOIN merges m USING (ab) GROUP BY w) b ON b.w = t.w)
-SELECT w, toks FROM t WHERE NOT live
+          FROM t WHERE live AND len(toks) <= {long}) p
+    JOIN merges m USING (ab) GROUP BY w) b ON b.w = t.w
+  UNION ALL
+  SELECT w, list(tok ORDER BY i), bool_or(hit) FROM (
+    SELECT w, i, hit, CASE WHEN hit THEN rank ELSE tok END AS tok, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY i), false) AS gone FROM (
+      SELECT w, i, tok, rank, coalesce(safe AND CASE WHEN calm
+          THEN first_value(safe) OVER isle AND row_number() OVER isle % 2 = 1
+          ELSE coalesce(before > rank, true) END, false) AS hit
+      FROM (
+        SELECT *, i - row_number() OVER (PARTITION BY w, rank ORDER BY i) AS island,
+               rank = min(rank) OVER (PARTITION BY w ORDER BY pos RANGE BETWEEN reach PRECEDING AND 2 * reach FOLLOWING) AS safe,
+               min(rank) OVER (PARTITION BY w ORDER BY pos RANGE BETWEEN reach PRECEDING AND 1 PRECEDING) AS before
+        FROM (
+          SELECT w, i, tok, reach, m.rank, m.calm, pos
+          FROM (SELECT w, i, tok, v.reach, sum(size) OVER here - size AS pos, lead(tok) OVER here AS nxt
+                FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM t WHERE live AND len(toks) > {long})
+                JOIN vocab ON id = tok JOIN reaches v USING (w) WINDOW here AS (PARTITION BY w ORDER BY i)) p
+          LEFT JOIN merges m ON m.ab = tok::BIGINT * 65536 + nxt))
+      WINDOW isle AS (PARTITION BY w, rank, island ORDER BY i)))
+  WHERE NOT gone GROUP BY w))
+SELECT w, toks FROM t
 """
 
 ORDERED = """
-  WITH a AS (SELECT w, toks FROM final UNION ALL SELECT w, list(tok ORDER BY pos) FROM long_final GROUP BY w)
   SELECT a.w, array_to_string(a.toks, ' ') AS ids, d.hex
-  FROM a JOIN (
+  FROM final a JOIN (
     SELECT w, string_agg(v.hex, '' ORDER BY pos) AS hex
-    FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM a) JOIN vocab v ON v.id = tok GROUP BY w) d ON d.w = a.w
+    FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM final) JOIN vocab v ON v.id = tok GROUP BY w) d ON d.w = a.w
 """
 
 
@@ -103,11 +103,13 @@ class Codec:
     """A DuckDB with the merge table; ``add`` encodes and decodes pieces that are not cached yet."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import tempfile
+
         import duckdb
 
         self.ids: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
         one = [ranks[bytes([b])] for b in range(256)]
         merges, unsafe = [], set()
         for token, rank in ranks.items():
@@ -118,10 +120,21 @@ class Codec:
                     unsafe.update(x for x in (a, b) if x > rank)
         a, b, rank = zip(*merges)
         self._table("merges", a=a, b=b, rank=rank)
-        self.db.execute("ALTER TABLE merges ADD COLUMN ab BIGINT; UPDATE merges SET ab = a::BIGINT * 65536 + b")
-        self._table("calm", id=[x for x in ranks.values() if x not in unsafe])
-        self._table("vocab", id=list(ranks.values()), hex=[t.hex() for t in ranks])
+        self._table("unsafe", id=sorted(unsafe))
+        self.db.execute("ALTER TABLE merges ADD COLUMN ab BIGINT; ALTER TABLE merges ADD COLUMN calm BOOLEAN")
+        self.db.execute("UPDATE merges SET ab = a::BIGINT * 65536 + b, calm = rank NOT IN (SELECT id FROM unsafe)")
+        self._table("vocab", id=list(ranks.values()), size=[len(t) for t in ranks], hex=[t.hex() for t in ranks])
         self._table("single", byte=list(range(256)), tok=one)
+        # For reach: of each set of bytes that tokens are made of its longest token, longest first.
+        longest: dict[frozenset, int] = {}
+        for token in ranks:
+            k = frozenset(token)
+            longest[k] = max(len(token), longest.get(k, 0))
+        self.longest = sorted(longest.items(), key=lambda x: -x[1])
+
+    def reach(self, piece: bytes) -> int:
+        mine = set(piece)
+        return next(n for bytes_, n in self.longest if bytes_ <= mine)
 
     def _table(self, name: str, **columns) -> None:
         given = pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int32()) for k, v in columns.items()})
@@ -144,8 +157,15 @@ class Codec:
             self._fill(list(pieces.difference(self.ids)))
 
     def _fill(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), BATCH):
-            self._add(pieces[i : i + BATCH])
+        batch, held = [], 0
+        for p in pieces:
+            if batch and (len(batch) == BATCH or held + len(p) > PIECE_CHARS):
+                self._add(batch)
+                batch, held = [], 0
+            batch.append(p)
+            held += len(p)
+        if batch:
+            self._add(batch)
 
     def _add(self, pieces: list[str]) -> None:
         import numpy as np
@@ -154,16 +174,13 @@ class Codec:
         size = np.array([len(x) for x in coded], np.int64)
         w = np.repeat(np.arange(len(coded), dtype=np.int32), size)
         pos = (np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        given = pa.table({"w": w, "pos": pos, "byte": np.frombuffer(b"".join(coded), np.uint8).astype(np.int32), "short": np.repeat(size <= LONG, size)})
+        given = pa.table({"w": w, "pos": pos, "byte": np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)})
+        wide = np.flatnonzero(size > LONG)
         db = self.db
         db.register("given", given)
-        db.execute("CREATE OR REPLACE TEMP TABLE bytes AS SELECT w, pos, tok, short FROM given JOIN single USING (byte)")
-        db.execute(f"CREATE OR REPLACE TEMP TABLE final AS {ENCODE}")
-        db.execute("CREATE OR REPLACE TEMP TABLE long_final AS SELECT w, pos, tok, true AS live FROM bytes WHERE NOT short")
-        while (size > LONG).any() and db.execute("SELECT count(*) FROM long_final WHERE live").fetchall()[0][0]:
-            step = CONTRACT.format(source="(SELECT w, pos, tok FROM long_final WHERE live)")
-            db.execute(f"CREATE OR REPLACE TEMP TABLE long_next AS SELECT * FROM ({step}) UNION ALL SELECT * FROM long_final WHERE NOT live")
-            db.execute("ALTER TABLE long_final RENAME TO spent; ALTER TABLE long_next RENAME TO long_final; DROP TABLE spent")
+        self._table("reaches", w=wide, reach=[self.reach(coded[i]) for i in wide])
+        db.execute("CREATE OR REPLACE TEMP TABLE bytes AS SELECT w, pos, tok FROM given JOIN single USING (byte)")
+        db.execute(f"CREATE OR REPLACE TEMP TABLE final AS {ENCODE.format(long=LONG)}")
         for k, ids, raw in db.execute(ORDERED).fetchall():
             self.ids[pieces[k]] = ids.encode()
             self.raw[pieces[k]] = bytes.fromhex(raw)

@@ -318,6 +318,25 @@ def test_bpe(spark, docs, empty, tmp_path):
     assert bpe.encode_decode(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_long_pieces():
+    """Pieces of up to 100,000 letters: random ones, runs and mixtures, against tiktoken."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from ruleweave.llm import bpe
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(14)
+    pieces = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 5000), ("aeiou", 3000), ("éèàüñ", 2000), ("日本語中文字", 2000), ("=-", 4000), ("!?.", 3000))]
+    pieces += ["a" * 100_000, "=" * 50_001, "the" * 3000, "".join(c * rng.randint(1, 90) for c in rng.choices("abxz", k=300))]
+    codec = bpe.Codec(bpe.load_ranks(path))
+    codec.add(pieces)
+    for p in pieces:
+        assert codec.ids[p] == " ".join(map(str, enc._core_bpe.encode_single_piece(p.encode()))).encode(), p[:40]
+        assert codec.raw[p] == p.encode()
+
+
 def test_bpe_small_cache(monkeypatch):
     import public_tokenizers as P
 
