@@ -15,12 +15,24 @@ documents within 2 R of the pivot can link to the cell, so these are the
 replicas that are compared with it; what is left is split again by further
 pivots, until nothing is left.  The cell's documents meet nothing else, so a
 group of thousands of near copies costs a row for each pivot and replica.
-Regions too large for one task are first split over tasks by the same rule.
 
-Texts with equal sets are one class, and every class is compared once.  Null and
-empty texts have the empty set and link with nothing; with fewer than five words
-the sequence is the one shingle.  Null ids are never a component's name unless
-all its ids are null; repeated rows fall into one class.
+*Large regions.*  Where no task can hold a region, Spark joins it recursively.
+Pivots meet all its documents first; those that they connect need no more.  Each
+document that is left must meet every other.  Pivots make Voronoi cells: a
+document belongs to its nearest pivot, or, at distance 1 - R or more from all, to
+the outer cell.  A document y can link into the cell of pivot p only if its
+distance to p is below 1 and at most 2 R more than to its own nearest pivot, and
+into the outer cell only if it is 1 - 2 R or more from all pivots; it is replicated
+to these cells and to no others.  Each cell with its replicas is a region again,
+until it fits a task or SPLITS rounds are over; then blocks of what asks meet
+blocks of the cell.  All of this is exact, whatever the pivots.
+
+Texts with equal sets are one class (128 bits of hash; shingles are 64), and every
+class is compared once.  Null and empty texts have the empty set and link with
+nothing; with fewer than five words the sequence is the one shingle.  Null ids
+are never a component's name unless all its ids are null; repeated rows fall into
+one class.  Very long texts are read whole; a task holds one at least.  An empty
+table gives no rows.  Columns of any name may come with the input.
 """
 
 from __future__ import annotations
@@ -164,11 +176,11 @@ def _prefixes(counts):
     """Per batch and shingle: a row (k, span, a) for each segment of sizes, and edges (k = b, span = -1, a) to its classes."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, spans, nodes = [], [], []
             for s in H.shingle_sets(batch.column(0), WORDS):
-                if not len(s) or (d := digest(s)[0]) in seen:
+                if not len(s) or (d := digest(s)) in seen:
                     continue
                 if len(seen) > SEEN:
                     seen.clear()
@@ -176,7 +188,8 @@ def _prefixes(counts):
                 p = prefix(s, counts.value)
                 keys.append(p)
                 spans.append((len(s) << 32) + reach(len(s), np.arange(len(p))))
-                nodes.append(np.full(len(p), d, np.int64))
+                # Half of the digest names the class here: should two classes share it, their regions become one.
+                nodes.append(np.full(len(p), d[0], np.int64))
             if not keys:
                 continue
             k, span, node = np.concatenate(keys).view(np.int64), np.concatenate(spans), np.concatenate(nodes)
@@ -337,9 +350,10 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     named = classes.join(roots, classes["_rep"] == roots.node, "left").select("d1", "d2", "_least", "_one", F.coalesce("root", "_rep").alias("_root"))
     lows = named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.min("_one").alias("_one"))
     per_class = named.drop("_one").join(lows, "_root").select("d1", "d2", "component_id", F.col("_one")["_rid"].alias("_first"))
-    out = rows.join(per_class, ["d1", "d2"], "left")
-    some = F.col("n") > 0
-    return out.select(F.col("_key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("_key")).alias("component_id"), "_rid", (~some | (F.col("_first") == F.col("_rid"))).alias("_stays"))
+    some = rows.where("n > 0").join(per_class, ["d1", "d2"], "left").select(F.col("_key").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "_rid", (F.col("_first") == F.col("_rid")).alias("_stays"))
+    # Documents without words link with nothing: they go round the join.
+    none = rows.where("n = 0").select(F.col("_key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_key").alias("component_id"), "_rid", F.lit(True).alias("_stays"))
+    return some.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,8 +394,14 @@ def region_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return small if more is None else small.unionByName(more)
 
 
-#: Rounds of pivots in a large region, and about how many pivots a round takes in each.
-PIVOT_ROUNDS, PIVOTS = 3, 32
+#: Rounds of pivots that connect a large region, rounds of cells after them, and about how many pivots a round takes in each.
+PIVOT_ROUNDS, SPLITS, PIVOTS = 3, 4, 32
+
+
+def pivots_of(rows: DataFrame, turn: int) -> DataFrame:
+    """About PIVOTS rows of each region, chosen by a hash."""
+    share = rows.groupBy("root").agg(F.greatest(F.lit(1), (F.count("*") / PIVOTS).cast("long")).alias("_share"))
+    return rows.join(share, "root").where(F.pmod(F.xxhash64("_rid", F.lit(turn)), F.col("_share")) == 0).drop("_share")
 
 
 def _chunk(n):
@@ -397,8 +417,13 @@ def probe(rows: DataFrame, probes: DataFrame) -> DataFrame:
     blocks = probes.groupBy("root").agg((F.sum("n") * 8 / REGION_BYTES).cast("int").alias("_last"))
     at = rows.join(blocks, "root").select("root", _chunk(F.col("_chunks")).alias("_c"), F.explode(F.sequence(F.lit(0), "_last")).alias("_b"), F.lit(0).alias("_q"), "_rid", "_set")
     ask = probes.join(blocks, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_c"), _chunk(F.col("_last") + 1).alias("_b"), F.lit(1).alias("_q"), "_rid", "_set")
+    return solved(at.unionByName(ask))
+
+
+def solved(rows: DataFrame) -> DataFrame:
+    """Links between the asks (_q = 1) and the members of each (root, _c, _b), which one task holds."""
     key = ["root", "_c", "_b"]
-    return at.unionByName(ask).repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "_q", "_rid").mapInArrow(_probe, "a long, b long")
+    return rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "_q", "_rid").mapInArrow(_probe, "a long, b long")
 
 
 def _probe(batches):
@@ -424,19 +449,88 @@ def large_links(rows: DataFrame) -> DataFrame:
 
     A few rounds of pivots, met by the whole region, connect most of it.  A link
     that is still missing has an end outside the region's largest component, and
-    every such document then meets the whole region.
+    every such document then meets the cells that it can link into.
     """
     left, found = rows, None
     for turn in range(PIVOT_ROUNDS):
-        share = left.groupBy("root").agg(F.greatest(F.lit(1), (F.count("*") / PIVOTS).cast("long")).alias("_share"))
-        pivots = left.join(share, "root").where(F.pmod(F.xxhash64("_rid", F.lit(turn)), F.col("_share")) == 0).drop("_share")
-        links = probe(rows, pivots)
+        links = probe(rows, pivots_of(left, turn))
         found = cut(links if found is None else found.unionByName(links))
         of = cut(components(found))
         sized = rows.select("root", "_rid").join(of.select(F.col("node").alias("_rid"), F.col("root").alias("_comp")), "_rid", "left").groupBy("root", "_comp").agg(F.count("*").alias("_n")).where("_comp is not null")
-        main = sized.groupBy("root").agg(F.max_by("_comp", "_n").alias("_comp"))
+        main = sized.groupBy("root").agg(F.max_by("_comp", F.struct("_n", "_comp")).alias("_comp"))
         inside = of.join(main, of["root"] == main["_comp"], "left_semi").select(F.col("node").alias("_rid"))
         left = cut(rows.join(inside, "_rid", "left_anti"))
         if left.isEmpty():
             return found
-    return found.unionByName(probe(rows, left))
+    return found.unionByName(cell_joins(rows.drop("_chunks"), left.drop("_chunks")))
+
+
+def cell_joins(members: DataFrame, asks: DataFrame) -> DataFrame:
+    """(a, b): every link between ``asks`` and ``members`` (root, _rid, _set, n) of the same region, recursively by cells."""
+    rows = members.withColumn("_q", F.lit(0)).unionByName(asks.withColumn("_q", F.lit(1)))
+    found = None
+    for turn in range(SPLITS + 1):
+        size = F.sum("n") * 8
+        sizes = rows.groupBy("root").agg(F.ceil(size / REGION_BYTES).cast("int").alias("_chunks"), F.max("_q").alias("_some"), F.min("_q").alias("_any"))
+        # A cell that nothing asks, or with nothing to be asked about, has no links to give.
+        rows = cut(rows.join(sizes.where("_some = 1 AND _any = 0").drop("_some", "_any"), "root"))
+        small, large = rows.where("_chunks = 1"), rows.where("_chunks > 1")
+        here = small.select("root", F.lit(0).alias("_c"), F.lit(0).alias("_b"), "_q", "_rid", "_set")
+        links = solved(here)
+        last = large.isEmpty()
+        if not last and turn == SPLITS:
+            links = links.unionByName(probe(large.where("_q = 0").drop("_q"), large.where("_q = 1").drop("_q")))
+        found = links if found is None else found.unionByName(links)
+        if last or turn == SPLITS:
+            return found
+        rows = cells(large, turn)
+
+
+def cells(rows: DataFrame, turn: int) -> DataFrame:
+    """(root, _rid, _set, n, _q): rows of large regions dealt to cells, members to one each, asks to all that they can link into."""
+    spark = rows.sparkSession
+    pivots = pivots_of(rows.where("_q = 0"), PIVOT_ROUNDS + turn)
+    kind = ["root", "_c", "_q", "_rid", "_set", "n"]
+    each = pivots.select("root", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_c"), F.lit(-1).alias("_q"), "_rid", "_set", "n")
+    dealt = rows.select("root", _chunk(F.col("_chunks")).alias("_c"), "_q", "_rid", "_set", "n").unionByName(each)
+    return dealt.select(*kind).repartition(partitions(spark), "root", "_c").sortWithinPartitions("root", "_c", "_q", "_rid").mapInArrow(_cells(turn), "root long, _rid long, _set binary, n long, _q int")
+
+
+def cell_of(pivots: Region | None, s: np.ndarray) -> tuple[int, np.ndarray]:
+    """(the cell that a set belongs to, the cells that it can link into); cell -1 is the outer one."""
+    if pivots is None:
+        return -1, np.array([-1])
+    c = pivots.common(s)
+    like = c / (pivots.size + len(s) - c)  # 1 - distance
+    top, r, little = float(like.max()), 1 - NUM / DEN, 1e-9
+    own = int(like.argmax()) if top > r else -1
+    into = np.flatnonzero((like > 0) & (like >= top - 2 * r - little))
+    return own, np.append(into, -1) if top <= 2 * r + little else into
+
+
+def _cells(turn: int):
+    def name(root: int, cells: np.ndarray) -> np.ndarray:
+        """Should two cells share a name, they become one region, which loses nothing."""
+        return H.mix(np.array([root]).view(np.uint64) * H.CHAIN[30] + np.asarray(cells, np.int64).view(np.uint64) * H.CHAIN[31] + np.uint64(turn + 1)).view(np.int64)
+
+    def run(batches):
+        at, region, sets = None, None, []
+        for batch in batches:
+            col, take, names, asks = batch.column(4), [], [], []
+            for i, (root, c, q) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)))):
+                if (root, c) != at:
+                    at, region, sets = (root, c), None, []
+                s = np.frombuffer(col[i].as_py(), np.uint64)
+                if q < 0:
+                    sets.append(s)
+                    continue
+                region = region or (Region(sets) if sets else None)
+                own, into = cell_of(region, s)
+                to = np.array([own]) if q == 0 else into
+                take += [i] * len(to)
+                names.append(name(root, to))
+                asks += [q] * len(to)
+            if take:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), batch.column(3).take(take), col.take(take), batch.column(5).take(take), pa.array(asks, pa.int32())], ["root", "_rid", "_set", "n", "_q"])
+
+    return run

@@ -247,6 +247,40 @@ def test_many_near_copies(spark, tmp_path, monkeypatch):
         assert {r.doc_id: r.component_id for r in jaccard.similarity_components(df).collect()} == want
 
 
+@pytest.mark.parametrize("splits", [0, 1, 3])
+def test_cells_of_a_large_region(spark, tmp_path, monkeypatch, splits):
+    """Chains of near copies around several texts that share much: every link of the asked is found through cells."""
+    from ruleweave.llm import hashing as H
+    from ruleweave.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "REGION_BYTES", 4000)
+    monkeypatch.setattr(jaccard, "PIVOTS", 6)
+    monkeypatch.setattr(jaccard, "SPLITS", splits)
+    rng = random.Random(15)
+    common = [rng.choice(WORDS) for _ in range(60)]
+    texts = []
+    for _ in range(12):
+        w = common + [rng.choice(WORDS) for _ in range(rng.choice([10, 40, 120]))]
+        for _ in range(12):
+            w = list(w)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    import pyarrow as pa
+
+    sets = list(H.shingle_sets(pa.array(texts)))
+    rows = spark.createDataFrame([(7, i, s.tobytes(), len(s)) for i, s in enumerate(sets)], "root long, _rid long, _set binary, n long")
+    asks = rows.where("_rid % 3 = 0")
+    got = {tuple(r) for r in jaccard.cell_joins(rows, asks).collect()}
+    want = set()
+    for i in range(0, len(sets), 3):
+        for j in range(len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((i, j))
+    assert got == want and len(want) > 100
+
+
 def test_substrings(docs, empty):
     from ruleweave.llm.substrings import WIDTH, remove_repeats
 
