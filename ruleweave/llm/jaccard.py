@@ -38,6 +38,7 @@ table gives no rows.  Columns of any name may come with the input.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,13 @@ REGION_BYTES = 16 << 20
 NUM, DEN = 75, 100
 
 
+SetsOf = Callable[[pa.Array], Iterator[np.ndarray]]
+
+
+def shingles_of(column: pa.Array) -> Iterator[np.ndarray]:
+    return H.shingle_sets(column, WORDS)
+
+
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DEN * common >= NUM * (a + b - common)
 
@@ -94,36 +102,39 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
 
 
-def _profile(batches):
+def _profile(sets_of: SetsOf):
     """For each document its digest; for each task its shingle counts, in blocks."""
-    counts = np.zeros(1 << SKETCH_LOG2, np.uint16)
-    kind = None
 
-    def add(sets: list[np.ndarray]) -> None:
-        at, n = np.unique(_slot(np.concatenate(sets)), return_counts=True)
-        counts[at] = np.minimum(counts[at] + n, 65535)
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_LOG2, np.uint16)
+        kind = None
+
+        def add(sets: list[np.ndarray]) -> None:
+            at, n = np.unique(_slot(np.concatenate(sets)), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 65535)
 
-    for batch in batches:
-        kind = batch.schema.field(1).type
-        ds, ns, many, held = [], [], [], 0
-        for s in H.shingle_sets(batch.column(2), WORDS):
-            ds.append(digest(s))
-            ns.append(len(s))
-            many.append(s)
-            held += len(s)
-            if held > 1 << 18:
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            ds, ns, many, held = [], [], [], 0
+            for s in sets_of(batch.column(2)):
+                ds.append(digest(s))
+                ns.append(len(s))
+                many.append(s)
+                held += len(s)
+                if held > 1 << 18:
+                    add(many)
+                    many, held = [], 0
+            if many:
                 add(many)
-                many, held = [], 0
-        if many:
-            add(many)
-        n = len(ns)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
-    if kind is not None:
-        blocks = range(len(counts) // BLOCK)
-        none = pa.nulls(len(blocks), pa.int64())
-        packed = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), kind), none, none, none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], PROFILE)
+            n = len(ns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
+        if kind is not None:
+            blocks = range(len(counts) // BLOCK)
+            none = pa.nulls(len(blocks), pa.int64())
+            packed = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), kind), none, none, none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], PROFILE)
 
+    return run
 
 PROFILE = ["_rid", "_key", "n", "d1", "d2", "block", "counts"]
 
@@ -172,14 +183,14 @@ def sweep(k: np.ndarray, span: np.ndarray, node: np.ndarray) -> tuple[np.ndarray
     return opens, first, top - run
 
 
-def _prefixes(counts):
+def _prefixes(counts, sets_of: SetsOf):
     """Per batch and shingle: a row (k, span, a) for each segment of sizes, and edges (k = b, span = -1, a) to its classes."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, spans, nodes = [], [], []
-            for s in H.shingle_sets(batch.column(0), WORDS):
+            for s in sets_of(batch.column(0)):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 if len(seen) > SEEN:
@@ -324,9 +335,11 @@ def _regions(batches):
         yield done(rids, sets)
 
 
-def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sets_of: SetsOf = shingles_of) -> DataFrame:
     """(doc_id, n_shingles, component_id, _rid, _stays): component_id is the least doc_id that links reach.
 
+    ``sets_of`` gives the set of each text of a column, as sorted distinct 64-bit hashes.
+
     ``_stays`` marks one row of each component: its least id's first row.
     """
     spark = docs.sparkSession
@@ -335,15 +348,15 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     kind = docs.schema["_key"].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    profile = cut(docs.select("_rid", "_key", "_text").mapInArrow(_profile, f"_rid long, _key {kind}, n long, d1 long, d2 long, block int, counts binary"))
+    profile = cut(docs.select("_rid", "_key", "_text").mapInArrow(_profile(sets_of), f"_rid long, _key {kind}, n long, d1 long, d2 long, block int, counts binary"))
     rows = profile.where("block is null").drop("block", "counts")
     counts = sc.broadcast(_table(spark, profile))  # of a fixed size: 2^SKETCH_LOG2 bytes
 
-    edges = docs.select("_text").mapInArrow(_prefixes(counts), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
+    edges = docs.select("_text").mapInArrow(_prefixes(counts, sets_of), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
     regions = components(edges)
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.min(F.struct(F.col("_key").isNull(), "_key", "_rid")).alias("_one"), F.first("n").alias("n"))
     members = cut(classes.join(regions, classes.d1 == regions.node).select("root", "_rep", "n"))
-    links = region_links(docs, members)
+    links = region_links(docs, members, sets_of)
     roots = cut(components(links))
 
     # From links between representatives to components of documents.
@@ -364,23 +377,23 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.select(*unboxed(out, docs.columns))
 
 
-def _sets(bits):
+def _sets(bits, sets_of: SetsOf):
     def run(batches):
         for batch in batches:
             hit = bit_test(bits.value, batch.column(0).to_numpy())
             if hit.any():
                 some = batch.filter(pa.array(hit))
-                sets = [s.tobytes() for s in H.shingle_sets(some.column(1), WORDS)]
+                sets = [s.tobytes() for s in sets_of(some.column(1))]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], ["_rid", "_set"])
 
     return run
 
 
-def region_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def region_links(docs: DataFrame, members: DataFrame, sets_of: SetsOf = shingles_of) -> DataFrame:
     """(a, b): links between representatives that connect each component; exact for regions of any size."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitset(members, "_rep"))
-    sets = docs.select("_rid", "_text").mapInArrow(_sets(bits), "_rid long, _set binary")
+    sets = docs.select("_rid", "_text").mapInArrow(_sets(bits, sets_of), "_rid long, _set binary")
     n_parts = partitions(spark)
     rows = sets.join(members, sets["_rid"] == members["_rep"]).select("root", "_rid", "_set", "n")
     large = members.groupBy("root").agg(F.sum("n").alias("_n")).where(F.col("_n") * 8 > REGION_BYTES)

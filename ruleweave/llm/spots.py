@@ -10,9 +10,17 @@ content words its whole word sequence (a text without words, its bytes), so only
 null and empty texts have the empty fingerprint.
 
 Likeness is the Jaccard similarity of the sets; two empty ones are alike (1).
-Sets are partitioned by length: classes of the ratio 0.75, so that a pair at 0.75
-or more lies in one class or two next to each other, and comparison stops where
-the lengths, or what is left of them, cannot reach the threshold asked for.
+
+``alike_components`` compares a whole corpus.  Sets are partitioned by length, in
+intervals that can reach the threshold; within them an inverted index of each
+set's rarest signatures brings candidates together, and Jaccard similarity is
+pruned by lengths and by what is left of the sets (the join in ``jaccard``).
+``alike`` is the same test for one pair: length classes of the ratio 0.75 that are
+not next to each other, or too little left of the sets, end it early.
+
+Null ids come first in order; repeated rows are documents each; an empty table
+gives no rows; a very long text is held whole with its neighbour by one task.
+Columns of the input but key and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import even_keys, partitions, with_rid
+from .jaccard import similarity_components
 
 # Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -40,6 +49,8 @@ CHAIN = 2
 #: Words without a common one after which every word is an anchor, until the next common one: tables, lists, names.
 GAP = 8
 THRESHOLD = 0.75
+#: Signatures that ``alike`` looks up at once.
+STRIDE = 64
 
 SPLIT = H.WHITE.copy()
 SPLIT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -105,16 +116,51 @@ def length_class(n: int, threshold: float = THRESHOLD) -> int:
     return 0 if n < 1 else 1 + int(math.log(n) / -math.log(threshold))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity; 0 as soon as it is sure to stay below ``least``."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold; ends as soon as it cannot."""
+    if abs(length_class(len(a), threshold) - length_class(len(b), threshold)) > 1:
+        return False
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    whole = len(a) + len(b)
+    need = math.ceil(threshold * whole / (1 + threshold) - 1e-9)
+    common = 0
+    for i in range(0, len(a), STRIDE):
+        if common + len(a) - i < need:
+            return False
+        part = a[i : i + STRIDE]
+        lo, hi = np.searchsorted(b, part[0]), np.searchsorted(b, part[-1], "right")
+        common += int(np.isin(part, b[lo:hi], assume_unique=True).sum())
+    return common >= threshold * (whole - common) - 1e-9
+
+
+def signatures_of(column: pa.Array):
+    """Each text's signatures as sorted 64-bit hashes, some texts at a time."""
+    _, offsets = H.buffers(column)
+    for a, b in H.slices(offsets):
+        for s in signature_sets([t or "" for t in column.slice(a, b - a).to_pylist()]):
+            yield np.sort(H.mix(s.astype(np.uint64)))
+
+
+def alike_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_signatures, component_id): documents linked by fingerprints at THRESHOLD or more.
+
+    component_id is the least doc_id that links reach; null and empty texts link with nothing.
+    """
+    found = similarity_components(docs, key, text, signatures_of)
+    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), "component_id")
+
+
 def _bounds(narrow: DataFrame) -> list:
     """The first row (doc_id, row id) of each range partition, in order: as many as partitions at most."""
     n = partitions(narrow.sparkSession)
@@ -189,8 +235,10 @@ def _compare(batches):
                 pa.array([likeness(sets[i], c) for i, c in zip(mine, changed)], pa.float64()),
                 pa.array([likeness(sets[i], sets[i + 1]) for i in mine], pa.float64()),
                 pa.array([length_class(len(sets[i])) for i in mine], pa.int32()),
+                pa.array([alike(sets[i], c) for i, c in zip(mine, changed)]),
+                pa.array([alike(sets[i], sets[i + 1]) for i in mine]),
             ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "length_class"],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "length_class", "alike_edited", "alike_next"],
         )
 
     for batch in batches:
@@ -210,5 +258,5 @@ def _compare(batches):
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text and the next document; a lone document is its own next one."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_class int"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_class int, alike_edited boolean, alike_next boolean"
     return with_next(docs, key, text).mapInArrow(_compare, schema)

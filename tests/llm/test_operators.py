@@ -444,6 +444,83 @@ def test_lone_document(spark, tmp_path):
     assert r.near_next == 1 and r.edited_sha256 == hashlib.sha256((t[:-9] + t[:9]).encode()).hexdigest()
 
 
+def test_alike_equals_likeness():
+    from ruleweave.llm import spots
+
+    rng = np.random.default_rng(16)
+    seen = set()
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint32))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.2, 0.85, 0.95])], rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint32)]))
+        want = spots.likeness(a, b) >= 0.75
+        seen.add(want)
+        assert spots.alike(a, b) == want == spots.alike(b, a)
+    assert seen == {True, False}
+
+
+def test_alike_components(docs, empty):
+    """The whole corpus compared by fingerprints, against all pairs."""
+    from ruleweave.llm import spots
+
+    plain = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    sets = spots.signature_sets([t for _, t in plain])
+    parent = list(range(len(plain)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(plain)), 2):
+        if len(sets[i]) and len(sets[j]) and spots.likeness(sets[i], sets[j]) >= 0.75:
+            parent[find(i)] = find(j)
+    low = {}
+    for k, (i, _) in enumerate(plain):
+        low[find(k)] = min((x for x in (low.get(find(k)), i) if x is not None), default=None)
+    want = sorted((str(i), len(s), str(low[find(k)] if len(s) else i)) for k, ((i, _), s) in enumerate(zip(plain, sets)))
+    got = spots.alike_components(docs)
+    assert sorted((str(r.doc_id), r.n_signatures, str(r.component_id)) for r in got.collect()) == want
+    assert spots.alike_components(empty).count() == 0
+
+
+def signatures_by_hand(t):
+    """Signatures as word tuples, one word after the other."""
+    from ruleweave.llm import spots
+
+    words, w = [], ""
+    for c in t + " ":
+        if c in " \t\n\v\f\r" or (c.isascii() and not c.isalnum() and 33 <= ord(c) < 127):
+            if w:
+                words.append(w)
+            w = ""
+        else:
+            w += c.lower() if c.isascii() else c
+    common = [x in set(spots.ANCHORS) for x in words]
+    content = [i for i, c in enumerate(common) if not c]
+    out, since = set(), 0
+    for i, x in enumerate(words):
+        since = 0 if common[i] else since + 1
+        if since == 0 or since > spots.GAP:
+            after = [words[j] for j in content if j > i][: spots.CHAIN]
+            if len(after) == spots.CHAIN:
+                out.add((x, *after))
+    return out
+
+
+def test_signatures_against_a_plain_walk():
+    from ruleweave.llm import spots
+
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice([*WORDS, "The", "(of)", "-", "und", "l'air", "x,y"]) for _ in range(rng.randint(5, 120))) for _ in range(120)]
+    hand = [signatures_by_hand(t) for t in texts]
+    for t, s, h in zip(texts, spots.signature_sets(texts), hand):
+        if h:
+            assert len(s) == len(h)
+    for (a, ha), (b, hb) in itertools.combinations(list(zip(spots.signature_sets(texts), hand))[:60], 2):
+        if ha and hb:
+            assert len(np.intersect1d(a, b)) == len(ha & hb)
+
+
 def test_length_classes():
     from ruleweave.llm import spots
 
