@@ -89,30 +89,51 @@ def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     return cut(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
 
 
-def bitset(df: DataFrame, column: str, log2: int = 26):
-    """A fixed-size bit table (numpy uint8, 2^log2 bits) of the hashes of a long column.
+class Bits:
+    """A bit table of hashed longs; ``test`` lets through every value that was put in, and few others."""
 
-    Its size does not depend on the data, so it can be collected and broadcast;
-    a fuller table lets more through, and every use checks exactly afterwards.
+    def __init__(self, table, log2: int):
+        self.table, self.log2 = table, log2
+
+    def test(self, values):
+        at = bit_of(values, self.log2)
+        return (self.table[at >> 3] >> (7 - (at & 7)).astype(self.table.dtype)) & 1 == 1
+
+
+#: Bounds of a bit table: 8 MB to 64 MB.
+LEAST_LOG2, MOST_LOG2 = 26, 29
+
+
+def bitset(df: DataFrame, column: str) -> Bits:
+    """The values of a long column as a table of 2^LEAST_LOG2 to 2^MOST_LOG2 bits, about 16 for each value.
+
+    Its size is bounded, so it can be collected and broadcast; beyond the bound
+    the table lets more through, and every use checks exactly afterwards.
     """
     import zlib
 
     import numpy as np
 
+    df = cut(df.select(column))
+    n = df.count()
+    log2 = min(MOST_LOG2, max(LEAST_LOG2, (16 * n).bit_length()))
+
     def fill(batches):
         import pyarrow as pa
 
-        bits = np.zeros(1 << log2, bool)
+        bits = np.zeros(1 << (log2 - 3), np.uint8)
         for b in batches:
             if b.num_rows:
-                bits[bit_of(b.column(0).to_numpy(zero_copy_only=False), log2)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
+                at = bit_of(b.column(0).to_numpy(zero_copy_only=False), log2)
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)])], ["bits"])
 
     out = np.zeros(1 << (log2 - 3), np.uint8)
-    rows = df.select(column).repartition(4).mapInArrow(fill, "bits binary").toLocalIterator()
-    for row in rows:  # four rows of at most 2^(log2 - 3) bytes each
+    # A task for each eighth as many values as bits, four at least; one table at a time comes here.
+    for row in df.repartition(max(4, n >> (log2 - 3))).mapInArrow(fill, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(bytes(row[0])), np.uint8)
-    return out
+    drop_cut(df)
+    return Bits(out, log2)
 
 
 def bit_of(values, log2: int):
@@ -121,8 +142,3 @@ def bit_of(values, log2: int):
     from .hashing import mix
 
     return (mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(64 - log2)).astype(np.int64)
-
-
-def bit_test(bits, values, log2: int = 26):
-    at = bit_of(values, log2)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(bits.dtype)) & 1 == 1

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bit_test, bitset, boxed, cut, drop_cut, partitions, unboxed, with_rid
+from .common import bitset, boxed, cut, drop_cut, partitions, unboxed, with_rid
 from .components import components
 
 WORDS = 5
@@ -380,7 +380,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def _sets(bits, sets_of: SetsOf):
     def run(batches):
         for batch in batches:
-            hit = bit_test(bits.value, batch.column(0).to_numpy())
+            hit = bits.value.test(batch.column(0).to_numpy())
             if hit.any():
                 some = batch.filter(pa.array(hit))
                 sets = [s.tobytes() for s in sets_of(some.column(1))]

@@ -1,18 +1,22 @@
 """Exact removal of long repeated word sequences, by recompression.
 
-Rounds of recompression turn each text into ever fewer symbols.  In a round
-every symbol falls into one of two classes by a bit of its name, and each pair
-(left class, right class) becomes one symbol.  The pair's name is a 64-bit hash
-of its parts, so all tasks name equal pairs alike, in every document, with no
-table of names to exchange.  Whether two neighbours merge depends on them alone;
-so after ROUNDS rounds, a symbol of at most 2^ROUNDS words depends on no more
-than 2^ROUNDS - 1 words to either side, and equal windows hold equal symbols
-except near their ends.  A run of equal symbols lies in one class and stays as
-it is: naming it by its length would tie its name to words outside the window.
-
-1. Each 35-word window chooses the least name among the interior symbols that
-   every occurrence of it must share.  The 22 words about that symbol lie in every
-   window that chooses it; they are its high-level name, counted globally.
+Recompression turns each text into ever fewer symbols.  First each maximal run of
+equal words becomes one symbol, named by word and length.  Then in each of ROUNDS
+rounds every symbol falls into one of two classes by a bit of its name, and each
+pair (left class, right class) becomes one symbol.  Names are 64-bit hashes of
+what they stand for, so all tasks name equal runs and pairs alike, in every
+document, with no table of names to exchange between rounds.
+
+What a symbol depends on is known: a run on the words next to it; a pair on its
+two parts; a symbol that found no partner on the neighbour that it could have
+merged with.  A symbol is interior to a window if all of that lies within; equal
+windows have equal interior symbols.
+
+1. Each 35-word window chooses the least name among the symbols that begin in its
+   middle and depend on no word beyond the reach that every such window has.  The
+   22 words about that symbol lie in every window that chooses it; they are its
+   high-level name, counted globally.  A window without such a symbol (cut from a
+   long run, say) is named by all its words.
 2. Windows whose name occurs twice or more are candidates.  Their word sequences
    are hashed (96 bits) and met in one shuffle, with whole documents that repeat
    as one each: this verifies them.
@@ -20,7 +24,9 @@ it is: naming it by its length would tie its name to words outside the window.
 
 Nulls and texts of fewer than 35 words keep all words.  Words are runs of
 characters other than space and ``\\t``-``\\r``, unchanged.  Ties, repeated rows
-and null ids need no rule: windows are counted by row and place.
+and null ids need no rule: windows are counted by row and place.  An empty table
+gives no rows; very long texts are read whole, one at a time; columns but key and
+text are not read.
 """
 
 from __future__ import annotations
@@ -33,36 +39,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bit_test, bitset, partitions, with_rid
+from .common import bitset, partitions, with_rid
 
 WIDTH = 35
 ROUNDS = 3
-MARGIN = 2**ROUNDS - 1
-#: Starts of symbols that lie, with all that they depend on, inside a window: MARGIN to WIDTH - MARGIN - 2^ROUNDS.
-REACH = WIDTH - 2 * MARGIN - 2**ROUNDS + 1
-#: Words about a symbol that lie in each window which chooses it.
+#: A window's symbols begin MARGIN to MARGIN + REACH words after its start; those about a symbol, SPAN, lie in each window that chooses it.
+MARGIN, REACH = 7, 14
 SPAN = WIDTH - REACH + 1
-assert REACH >= 2**ROUNDS, "every window must hold the start of a symbol"
+#: Words after its begin on which a symbol may depend.
+AHEAD = SPAN - MARGIN
 NONE = np.uint64(2**64 - 1)
 
 
-def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the symbols of all documents, and the words at which they start."""
-    name, at = h, np.arange(len(h))
+def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all documents' symbols the names, the words at which they begin, and the words (from, up to) that they depend on."""
     opens = np.zeros(len(h) + 1, bool)
     opens[first] = True
+    # Runs: a symbol opens where a word differs from the one before it, or a document begins.
+    new = opens[:-1].copy()
+    new[1:] |= h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(h)))
+    name = np.where(size > 1, H.mix(h[at] * H.CHAIN[33] + size.astype(np.uint64) * H.CHAIN[34]), h[at])
+    lo, hi = at - 1, at + size + 1
     for level in range(rounds):
-        if len(name) < 2:
+        n = len(name)
+        if n < 2:
             break
-        right = H.mix(name + H.CHAIN[32 + level]) >> np.uint64(63) == 1
+        right = H.mix(name + H.CHAIN[36 + level]) >> np.uint64(63) == 1
         pair = ~right[:-1] & right[1:] & ~opens[at[1:]]
         merged = H.mix(name[:-1] * H.CHAIN[40 + level] + name[1:] * H.CHAIN[48 + level])
-        name = name.copy()
+        name, low, high = name.copy(), lo.copy(), hi.copy()
+        # Without a partner: on the neighbour before it, or after it, or, at a document's end, on a word that is not there.
+        low[1:] = np.where(right[1:], np.where(opens[at[1:]], at[1:] - 1, lo[:-1]), lo[1:])
+        high[:-1] = np.where(right[:-1], hi[:-1], np.where(opens[at[1:]], hi[:-1] + 1, hi[1:]))
         name[:-1][pair] = merged[pair]
-        keep = np.ones(len(name), bool)
+        low[:-1][pair], high[:-1][pair] = lo[:-1][pair], hi[1:][pair]
+        keep = np.ones(n, bool)
         keep[1:] = ~pair
-        name, at = name[keep], at[keep]
-    return name, at
+        name, at, lo, hi = name[keep], at[keep], low[keep], high[keep]
+    return name, at, lo, hi
 
 
 def _rolling(h: np.ndarray, width: int, salt: int) -> np.ndarray:
@@ -96,12 +112,18 @@ def window_names(h: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[
     starts = np.flatnonzero(np.cumsum(mark[:n]) > 0)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    name, at = recompress(h, first)
+    name, at, lo, hi = recompress(h, first)
     value = np.full(n, NONE)
-    value[at] = name
+    near = (lo >= at - MARGIN) & (hi <= at + AHEAD)
+    value[at[near]] = name[near]
     chosen = _least_at(value[MARGIN : n - width + MARGIN + REACH], REACH)[starts]
     around = _rolling(h, SPAN, 3)  # entry i: the SPAN words from i, that is, about the symbol at i + MARGIN
-    return starts, around[chosen], around[np.unique(chosen)]
+    some = value[chosen + MARGIN] != NONE
+    names = around[chosen]
+    if some.all():
+        return starts, names, around[np.unique(chosen)]
+    names = np.where(some, names, _rolling(h, width, 4)[starts])
+    return starts, names, np.concatenate([around[np.unique(chosen[some])], names[~some]])
 
 
 def _each(column: pa.Array):
@@ -145,7 +167,7 @@ def _rows(h1, h2, rid, at, n) -> pa.RecordBatch:
 
 def _windows(bits, h, first, rid, starts, name):
     """Rows of the candidate windows at ``starts``; windows that repeat in the slice are found already."""
-    at = starts[bit_test(bits, name.view(np.int64))]
+    at = starts[bits.test(name.view(np.int64))]
     h1, h2 = _rolling(h, WIDTH, 1)[at], _rolling(h, WIDTH, 2)[at] >> np.uint64(32)
     doc = np.searchsorted(first, at, "right") - 1
     order = np.lexsort((h2, h1))
@@ -178,7 +200,7 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
         rid = batch.column(0).to_numpy()
         for a, b, h, first in _each(batch.column(1)):
             d1, d2 = _digests(h, first)
-            yield a, h, first, rid[a:b], d1, d2, (np.diff(first) >= WIDTH) & bit_test(bits.value, d1.view(np.int64))
+            yield a, h, first, rid[a:b], d1, d2, (np.diff(first) >= WIDTH) & bits.value.test(d1.view(np.int64))
 
     def single(batches):
         for batch in batches:
