@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and there is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN_DIR.setdefault("dir", "")
         if not found:
             found = _OWN_DIR["dir"] = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
@@ -60,9 +63,36 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(i, i) for i in range(n)]
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads files, picks columns and filters; else its rows, written once.
+
+    The former gives its rows in the same order each time that it is read, also by
+    another executor; what a shuffle or a user's function gives may come in another.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    if not todo[0].deterministic():
+        return cut(df)
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation", "LocalRelation"):
+            return cut(df)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """A row id that is the same each time the same files are read under the same settings."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A row id that is the same each time the same files are read under the same settings.
+
+    Two calls on one frame agree only if it is ``stable`` already.
+    """
+    return stable(df).withColumn(name, F.monotonically_increasing_id())
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name like ``name`` that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def boxed(df: DataFrame, text: str, *made: str) -> DataFrame:
@@ -70,7 +100,7 @@ def boxed(df: DataFrame, text: str, *made: str) -> DataFrame:
 
     Columns named as in ``made`` give way to what the operator makes.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in made], F.lit(0).alias("_box"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in made], F.lit(0).alias(fresh(df.columns, "_box")))
     return with_rid(df.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")))
 
 

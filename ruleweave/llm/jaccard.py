@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bitset, boxed, cut, drop_cut, partitions, unboxed, with_rid
+from .common import bitset, boxed, cut, drop_cut, partitions, stable, unboxed, with_rid
 from .components import components
 
 WORDS = 5
@@ -371,6 +371,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, a table as it is read, with one document of each component; those without words all stay."""
+    docs = stable(docs)  # both sides of the join then number its rows alike
     stays = similarity_components(docs, key, text).where("_stays").select("_rid")
     boxes = boxed(docs, text)
     out = boxes.join(stays, "_rid", "left_semi")

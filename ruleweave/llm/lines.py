@@ -11,7 +11,7 @@ stay as they are.  A null doc_id sorts before all others.  Every window counts,
 one of blank lines or of rules too.  Repeated rows are rows of their own: the
 second loses its lines.  An empty table gives no rows.  Very long texts need no
 rule: a text's lines are one array in the task that reads it.  Columns of the
-input named n_lines or n_removed give way to those made here.
+input with the names of those made here give way to them.
 """
 
 from __future__ import annotations
@@ -56,12 +56,11 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     return per.select("_rid", F.array_sort(covered).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """All columns of ``docs``, its text without the removed lines, and ``n_lines``, ``n_removed``.
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, made: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of ``docs``, its text without the removed lines, and the two columns ``made``: lines, and lines removed.
 
     A text that loses every line becomes empty, not null.
     """
-    made = ("n_lines", "n_removed")
     boxes = boxed(docs, text, *made)
     narrow = boxes.select("_rid", "_text", F.col("_row").getField(key).alias("_id"))
     out = boxes.join(removed_lines(narrow, "_text", "_id", width), "_rid", "left")
@@ -69,5 +68,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     at = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.transform(F.array_except(at, F.col("_gone")), lambda i: F.element_at(lines, i + 1))
     new = F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col("_text")).alias(text)
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), "n_removed": gone.cast("long").alias("n_removed")}
+    counts = {n: c.cast("long").alias(n) for n, c in zip(made, (F.coalesce(F.size(lines), F.lit(0)), gone))}
     return out.select(*unboxed(out, [c for c in docs.columns if c not in made], **{text: new}, **counts))

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, unboxed
+from .common import boxed, fresh, unboxed
 from .trigrams import Query, grams_of, query_of
 
 # The kinds, their patterns and the least length of a match.
@@ -115,10 +115,10 @@ def spans_of(text: Column, order: int, rule: Rule) -> Column:
     return _let(zipped, lambda z: F.when(F.size(z) > 0, _let(sums(z), placed)).otherwise(_none()))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``_spans``: an array of (start, kind, end) by start, then kind's place in ``rules``."""
-    columns = [c for c in docs.columns if c != "_spans"]
-    boxes = boxed(docs, text, "_spans")
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "_spans") -> DataFrame:
+    """All columns of ``docs`` with ``name``: an array of (start, kind, end) by start, then kind's place in ``rules``."""
+    columns = [c for c in docs.columns if c != name]
+    boxes = boxed(docs, text, name)
     grams, queries = plan_trigrams(rules)
     cand = candidates(postings(boxes.select("_rid", "_text"), grams, "_text"), rules)
     joined = boxes.join(cand, "_rid", "left")
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     for i, r in enumerate(rules):
         maybe = F.expr(f"coalesce(_rules, 0) & {1 << i}") != 0 if queries[r.kind] is not True else F.lit(True)
         found.append(F.when(maybe & body.rlike(r.pattern), spans_of(body, i, r)).otherwise(_none()))
-    return joined.select(*unboxed(joined, columns), F.array_sort(F.concat(*found)).alias("_spans"))
+    return joined.select(*unboxed(joined, columns), F.array_sort(F.concat(*found)).alias(name))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -137,7 +137,8 @@ def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with the found spans replaced by ``mark``; overlapping spans are replaced once; null text stays null."""
-    found = scan(docs, rules, text)
+    name = fresh(docs.columns, "_spans")
+    found = scan(docs, rules, text, name)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -145,5 +146,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
         out = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).drop("_spans")
+    clean = F.aggregate(name, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    return found.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(F.col(text))).drop(name)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut
+from .common import cut, fresh
 from .hashing import shingle_sets
 
 #: The bounds of the sample and of the lexicon.
@@ -310,7 +310,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 def reject(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``least`` or more."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs.columns, "_toxicity")
     return score(docs, model, text, name).where(F.col(name) < least).drop(name)

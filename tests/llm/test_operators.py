@@ -536,7 +536,6 @@ def test_packing(docs, empty):
     from ruleweave.llm import packing
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(docs, packing.bpe_encoder(P.path("byte_bpe_50k.json"), P.PATTERN), 1, 64).collect()
     want = []
     for d, x in docs.select("doc_id", "text").collect():
@@ -710,25 +709,6 @@ def test_components(spark):
     assert got == want
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline as C
-    from ruleweave.llm.common import read
-
-    sf = "/root/testdata/sf0.001"
-    docs = read(spark, sf, "documents")
-    assert [n for n, _ in C.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "secret_scan", "packing"]
-    for name, stage in C.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        before, after = docs.count(), out.count()
-        assert after <= before and (name in ("toxicity", "near_duplicates") or after == before)
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    packed = C.STAGES[-1][1](spark, docs, sf)
-    whole = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-    assert set(whole) == {r.doc_id for r in docs.select("doc_id").collect()}
-
-
 def test_toxicity_misspelled_beginnings(spark):
     """Words that a learned beginning covers are still found with an edit in their first letters."""
     from ruleweave.llm import toxicity as X
