@@ -1,12 +1,20 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Each stage takes what its predecessor kept, all rows and whole texts, and all but
+the last return the columns of documents.  In every stage: a null text is a text
+without words, lines or secrets, and stays; repeated rows are documents each; null
+ids are ids like others; an empty table gives an empty one; columns beyond those
+of documents, whatever their names, pass through.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ruleweave.llm import jaccard, lines, packing, secrets, toxicity
-from ruleweave.llm.common import cut, read
+from ruleweave.llm.common import cut, drop_cut, fresh, read
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 1, 2048
 
@@ -17,13 +25,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a later copy of a three-line window covers go; every document stays."""
-    out = lines.dedup_lines(docs)
-    return recounted(out.select(*docs.columns))
+    """Lines that a later copy of a three-line window covers go.
+
+    A document of which no word is left then goes too: all of it stands in earlier
+    documents.  One that was empty before stays.
+    """
+    made = (fresh(docs.columns, "_lines"), fresh(docs.columns, "_removed"))
+    out = lines.dedup_lines(docs, made=made)
+    return recounted(out.where((F.col(made[1]) == 0) | F.col("text").rlike(r"\S")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays."""
+    """Of each group of linked documents the one with the least id stays; those without words link with nothing."""
     return jaccard.one_of_each(docs)
 
 
@@ -33,15 +46,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of CAPACITY."""
+    """Pieces of the documents' ids in sequences of CAPACITY; a text without ids is one piece, the end id."""
     encoder = packing.bpe_encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return packing.pack(docs, encoder, END_ID, CAPACITY)
 
 
 def recounted(docs: DataFrame) -> DataFrame:
     """``docs`` with n_chars as its texts are now."""
-    from pyspark.sql import functions as F
-
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
@@ -59,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_cut(before)  # only the newest stage's table is read from here on
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
