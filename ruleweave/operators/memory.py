@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,11 +17,15 @@ SYSTEM = T.StructType([T.StructField(FID, T.LongType()), T.StructField(VERSION,
 _own: list[str] = []
 #: Inserts after which a type's parts are written as one table.
 MERGE = 16
+#: Ids that an insert may span before they are given anew without gaps: a partition's rows take 2^33 of them.
+SPARSE = 1 << 45
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="ruleweave-wm-"))
         found = _own[0]
@@ -34,6 +39,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``df`` settled, with aggregates over its rows from the same job."""
+    seen = Observation()
+    out = settle(df.observe(seen, *[c.alias(n) for n, c in aggregates.items()]))
+    found = seen.get
+    if not found:  # the plan turned out to be empty
+        row = out.agg(*[c.alias(n) for n, c in aggregates.items()]).first()
+        found = row.asDict()
+    return out, found
+
+
 class _Counted(dict):
     """Types by name; counts how often each may have gained facts and may have lost some."""
 
@@ -64,6 +80,9 @@ class Memory:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.types, self.next_id, self._parts = spark, _Counted(), 1, {}
+        self._unread: list[DataFrame] = []
+        self._empty: set[str] = set()
+        self.added = 0
 
     def schema_of(self, name: str) -> T.StructType | None:
         return self.types[name].schema if name in self.types else None
@@ -83,16 +102,59 @@ class Memory:
         else:
             if order:
                 df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            self.read_ids()
             fid = F.monotonically_increasing_id() + F.lit(self.next_id)
         return df.select(*cols, fid.alias(FID), F.lit(0).cast("long").alias(VERSION), F.lit(entry_point).cast("string").alias(ROUTE))
 
+    def register(self, name: str, facts: DataFrame) -> None:
+        """Facts with ids of their own that stay where they are; the ids are looked at when new ones are given out."""
+        self._unread.append(facts.select(FID))
+        self._put(name, facts)
+
+    def read_ids(self) -> None:
+        """Ids that are given out from now on follow those of registered facts."""
+        if self._unread:
+            all_ = self._unread[0]
+            for df in self._unread[1:]:
+                all_ = all_.unionByName(df)
+            self._unread = []
+            self.next_id = max(self.next_id, (all_.agg(F.max(FID)).first()[0] or 0) + 1)
+
     def add(self, name: str, df: DataFrame, entry_point: str | None = None, want: T.StructType | None = None, order: list[str] | None = None) -> DataFrame:
-        """Inserts rows; their ids follow all earlier ones.  Gives the new facts."""
-        new = settle(self.prepared(df, want, entry_point, order))
-        top = new.agg(F.max(FID)).first()[0]
+        """Inserts rows; their ids follow all earlier ones.  Gives the new facts; ``added`` says how many."""
+        plan = self.prepared(df, want, entry_point, order)
+        new, found = measured(plan, n=F.count(F.lit(1)), top=F.max(FID))
+        return self.take(name, new, found["n"], found["top"])
+
+    def take(self, name: str, new: DataFrame, n: int, top: int | None) -> DataFrame:
+        """Inserts facts that are settled already: n of them, the greatest id ``top``."""
+        self.added = n
+        if not n and name in self.types:
+            return new
+        if top is not None and top - self.next_id >= SPARSE:
+            new, top = self._dense(new, n)
         if top is not None:
             self.next_id = max(self.next_id, top + 1)
-        if name in self.types:
+        self._put(name, new)
+        return new
+
+    def _dense(self, new: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """Ids without the gaps between partitions: a row for each partition says where its ids begin."""
+        part, base = F.shiftright(F.col(FID) - self.next_id, 33), self.next_id
+        counts = sorted((r[0], r[1]) for r in new.groupBy(part.alias("_p")).count().collect())
+        starts, at = [], base
+        for p, k in counts:
+            starts.append((p, at))
+            at += k
+        first = self.spark.createDataFrame(starts, "_p long, _start long")
+        cells = [F.col(f"`{c}`") if c != FID else (F.col("_start") + F.pmod(F.col(FID) - base, F.lit(1 << 33))).alias(FID) for c in new.columns]
+        return settle(new.withColumn("_p", part).join(F.broadcast(first), "_p").select(*cells)), base + n - 1
+
+    def _put(self, name: str, new: DataFrame) -> None:
+        if name in self.types and name in self._empty:
+            self._empty.discard(name)
+            both = self._like(self.types[name], new)
+        elif name in self.types:
             self._parts[name] = self._parts.get(name, 0) + 1
             both = self.types[name].unionByName(new, allowMissingColumns=True)
             if self._parts[name] % MERGE == 0:
@@ -100,12 +162,19 @@ class Memory:
         else:
             both = new
         self.types.put(name, both, lost=False)
-        return new
+
+    @staticmethod
+    def _like(known: DataFrame, new: DataFrame) -> DataFrame:
+        """``new`` with the columns of a type that has had no facts so far."""
+        more = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name not in new.columns]
+        order = [c for c in known.columns] + [c for c in new.columns if c not in known.columns]
+        return new.select("*", *more).select(*[F.col(f"`{c}`") for c in order])
 
     def declare(self, name: str, schema: T.StructType) -> None:
         if name not in self.types:
             fields = [f for f in schema.fields if f.name not in SYSTEM.names]
             self.types[name] = self.spark.createDataFrame([], T.StructType([*fields, *SYSTEM.fields]))
+            self._empty.add(name)
 
     def remove(self, name: str, ids: DataFrame) -> None:
         """Retracts the facts whose ids are in the one column of ``ids``."""

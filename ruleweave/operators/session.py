@@ -27,9 +27,11 @@ from ..functions.compiler import FID, Scope, conjuncts, mangled, variables
 from ..lang import syntax as S
 from ..lang.parser import AGGREGATES, parse
 from ..plans.match import ROUTE, VERSION, Match, Planner, PlanError, output, struct_type
-from .memory import Memory, settle
+from .memory import MERGE, Memory, measured, settle
 
 WHILE_CAP = 1000
+#: Turns of a loop of updates that one job makes.
+UNROLL = 8
 MAIN = "MAIN"
 DEFAULT_GLOBALS = {"List": list, "Set": set, "Map": dict}
 
@@ -133,8 +135,12 @@ class Session:
         self.functions, self.validation, self.now = functions or {}, validation, now
         self.globals = {n: next((make() for k, make in DEFAULT_GLOBALS.items() if t.split("<")[0].endswith(k)), None) for n, t in kb.program.globals.items()}
         self.listeners: list[Callable[[str, str, int], None]] = []
+        self.hooks: dict[str, list[Callable[[str, int], None]]] = {}
         self.stats, self.fired = Stats(), {}
         self.blocked: dict[str, DataFrame] = {}
+        self.checked: dict[tuple[str, int], tuple] = {}
+        self.lazy: set[str] = set()  # rules whose fired matches are a plan so far
+        self.parts: dict[tuple[int, str], int] = {}
         self.logical: list[tuple[str, str, int, DataFrame]] = []
         self.focus: list[str] = []
         self.outputs: dict[str, DataFrame] = {}
@@ -155,11 +161,7 @@ class Session:
         name = self.kb.resolve(name)
         want = self.kb.schemas.get(name)
         self._validate(name, df, want)
-        facts = self.memory.prepared(df, want, entry_point)
-        top = facts.agg(F.max(FID)).first()[0]
-        self.memory.next_id = max(self.memory.next_id, (top or 0) + 1)
-        known = self.memory.types.get(name)
-        self.memory.types.put(name, facts if known is None or known.isEmpty() else known.unionByName(facts), lost=False)
+        self.memory.register(name, self.memory.prepared(df, want, entry_point))
 
     def insert_rows(self, name: str, rows: list[dict], entry_point: str | None = None) -> DataFrame:
         want = self.kb.schemas[self.kb.resolve(name)]
@@ -219,9 +221,25 @@ class Session:
     def reload(self, kb: KnowledgeBase) -> None:
         """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
         self.kb = kb
+        self.checked = {}
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)
 
+    def listen(self, event: str, call: Callable[[str, int], None]) -> None:
+        """``call(rule, n)`` when n matches of a rule are created, before they fire, after, or when they are retracted.
+
+        Created are those that a round finds waiting; retracted those that are
+        cancelled by another of their activation group, or whose logical facts go
+        because they no longer hold.
+        """
+        if event not in ("created", "before", "after", "retracted"):
+            raise RuleError(f"no event {event!r}")
+        self.hooks.setdefault(event, []).append(call)
+
+    def _tell(self, event: str, rule: str, n: int) -> None:
+        for call in self.hooks.get(event, ()):
+            call(rule, n)
+
     def set_focus(self, group: str) -> None:
         self.focus.append(group)
 
@@ -318,6 +336,9 @@ class Session:
         """Matches that have not fired; of rules with several groups, those of the first that has any."""
         for i, m in enumerate(self._matches(r)):
             df = m.df.withColumn("_group", F.lit(i))
+            if r.name in self.lazy:
+                self.lazy.discard(r.name)
+                self.fired[r.name] = settle(self.fired[r.name])
             done = self.fired.get(r.name)
             if done is not None:
                 df = df.join(done, ["_key", "_vers", "_group"], "left_anti")
@@ -352,41 +373,73 @@ class Session:
         if m is None:
             return 0
         df = self._one_each(r, m, m.df)
-        whole = df is m.df and len(r.groups) == 1
-        if r.activation_group or exact or budget is not None:
-            whole = False
-        if r.activation_group or exact:
+        single = r.activation_group or exact or any(isinstance(a, (S.Halt, S.Focus)) for a in _actions(r.actions))
+        whole = df is m.df and len(r.groups) == 1 and not single
+        if single:
             df = df.orderBy(F.desc("_key")).limit(1)
-        elif any(isinstance(a, (S.Halt, S.Focus)) for a in _actions(r.actions)):
-            whole = False
-            df = df.orderBy(F.desc("_key")).limit(1)
-        elif budget is not None:
-            df = df.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))
-        taken = settle(df.select(*self._used(r, m, df)))
-        n = taken.count()
+        if whole and budget is None and not self.hooks and r.name not in self.fired and _plain_insert(r.actions):
+            return self._fire_insert(r, m, state)
+        taken, found = measured(df.select(*self._used(r, m, df)), n=F.count(F.lit(1)))
+        n = found["n"]
         if not n:
             return 0
-        if whole:  # all that it could do until what it reads changes
-            self.idle[r.name] = state
-        before = (dict(self.memory.types), self.memory.next_id, list(self.logical))
+        self._tell("created", r.name, n)
+        if budget is not None and n > budget:  # the latest matches; the others wait
+            taken, n, whole = settle(taken.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))), budget, False
+        self._tell("before", r.name, n)
+        before = self._saved()
         try:
             Effects(self, r, replace_df(m, taken)).run(r.actions)
         except Exception as e:
-            self.memory.types.restore(before[0])  # nothing of the round stays
-            self.memory.next_id, self.logical = before[1:]
+            self._restore(before)  # nothing of the round stays
             raise RuleError(f"rule {r.name!r}: {e}") from e
         keys = taken.select("_key", "_vers", "_group")
         self._remember(self.fired, r.name, keys)
+        if whole:  # all that it could do until what it reads changes
+            self.idle[r.name] = state
         if r.no_loop:
             self._remember(self.blocked, r.name, keys.select("_key", "_group"))
+        self._tell("after", r.name, n)
         if r.activation_group:
             for other in self.kb.rules:
                 if other.activation_group == r.activation_group:
                     left = self._pending(other)
                     if left is not None:  # what waits is cancelled for good
-                        self._remember(self.fired, other.name, settle(left.df.select("_key", "_vers", "_group")))
+                        gone, found = measured(left.df.select("_key", "_vers", "_group"), n=F.count(F.lit(1)))
+                        self._remember(self.fired, other.name, gone)
+                        if found["n"]:
+                            self._tell("retracted", other.name, found["n"])
+        return n
+
+    def _fire_insert(self, r: S.Rule, m: Match, state: tuple) -> int:
+        """All matches of a rule that only inserts one fact each, in one job: the matches themselves are not written.
+
+        Which have fired is remembered as the plan that found them, over tables that
+        do not change; it is written if the rule comes to be asked again.
+        """
+        before = self._saved()
+        try:
+            Effects(self, r, m).run(r.actions)
+        except Exception as e:
+            self._restore(before)
+            raise RuleError(f"rule {r.name!r}: {e}") from e
+        n = self.memory.added
+        if n:
+            keys = m.df.select("_key", "_vers", "_group")
+            self._remember(self.fired, r.name, keys)
+            self.lazy.add(r.name)
+            self.idle[r.name] = state
+            if r.no_loop:
+                self._remember(self.blocked, r.name, keys.select("_key", "_group"))
         return n
 
+    def _saved(self) -> tuple:
+        return dict(self.memory.types), self.memory.next_id, list(self.logical)
+
+    def _restore(self, saved: tuple) -> None:
+        self.memory.types.restore(saved[0])
+        self.memory.next_id, self.logical = saved[1:]
+
     def _used(self, r: S.Rule, m: Match, df: DataFrame) -> list[str]:
         """The columns of matches that the actions read: the others are not written."""
         keep, whole = {"_key", "_vers", "_group"}, set()
@@ -404,36 +457,73 @@ class Session:
                     keep |= {mangled(x.var, f) for f in x.fields}
         return [c for c in df.columns if c in keep or c in whole]
 
-    @staticmethod
-    def _remember(table: dict, name: str, keys: DataFrame) -> None:
-        table[name] = keys if name not in table or table[name] is None else table[name].unionByName(keys)
+    def _remember(self, table: dict, name: str, keys: DataFrame) -> None:
+        known = table.get(name)
+        if known is None:
+            table[name] = keys
+            return
+        place = (id(table), name)
+        self.parts[place] = self.parts.get(place, 1) + 1
+        table[name] = known.unionByName(keys)
+        if self.parts[place] % MERGE == 0:
+            table[name] = settle(table[name])  # many small parts become one table
 
     # --- truth maintenance
 
     def justify(self, r: S.Rule, kind: str, index: int, facts: DataFrame) -> None:
         """``facts``: (_fid, _key) of logical facts that a rule's matches support."""
+        for i, (name, k, x, known) in enumerate(self.logical):
+            if (name, k, x) == (r.name, kind, index):  # one table for each rule, type and group
+                self.logical[i] = (name, k, x, known.unionByName(facts))
+                return
         self.logical.append((r.name, kind, index, facts))
 
+    def _losses(self, r: S.Rule) -> tuple:
+        """What could take matches from a rule: losses of the types that it asks for, gains of those it denies."""
+        types, seen = self.memory.types, set()
+        for g in r.groups:
+            for p in g:
+                seen.update((self.kb.resolve(t), wants, denies) for t, wants, denies in self._reads(p))
+        return (self.now, *sorted((t, types.lost.get(t, 0) if wants else -1, types.gained.get(t, 0) if denies else -1) for t, wants, denies in seen))
+
     def _settle_logical(self) -> None:
-        """Retracts logical facts whose match is gone, until none is left to go."""
-        while self.logical:
+        """Retracts logical facts whose match is gone, until none is left to go.
+
+        A rule is asked again only if something that it reads has changed so that
+        matches can go.
+        """
+        changed = True
+        while changed and self.logical:
             changed, kept = False, []
             for name, kind, index, facts in self.logical:
-                holds = self._matches(self.kb.by_name[name])[index].df.select("_key").distinct()
-                gone = settle(facts.join(holds, "_key", "left_anti").select(FID))
-                if gone.isEmpty():
+                rule = self.kb.by_name.get(name)
+                if rule is None or index >= len(rule.groups):  # reloaded without it: its facts have no reason any more
+                    changed = True
+                    self.memory.remove(kind, facts.select(FID))
+                    continue
+                state = self._losses(rule)
+                if self.checked.get((name, kind, index)) == state:
+                    kept.append((name, kind, index, facts))
+                    continue
+                holds = self._matches(rule)[index].df.select("_key").distinct()
+                gone, found = measured(facts.join(holds, "_key", "left_anti").select(FID), n=F.count(F.lit(1)))
+                self.checked[name, kind, index] = state
+                if not found["n"]:
                     kept.append((name, kind, index, facts))
                     continue
                 changed = True
+                self._tell("retracted", name, found["n"])
                 self.memory.remove(kind, gone)
                 lost = gone.withColumnRenamed(FID, "_gone")
                 kept.append((name, kind, index, settle(facts.join(lost, facts[FID] == lost["_gone"], "left_anti"))))
-                done = self.fired.get(name)
-                if done is not None:  # a match that comes back fires anew
-                    self.fired[name] = settle(done.join(holds, "_key", "left_semi"))
+                if name in self.fired:  # a match that comes back fires anew
+                    self.fired[name] = settle(self.fired[name].join(holds, "_key", "left_semi"))
+                    self.lazy.discard(name)
             self.logical = kept
-            if not changed:
-                return
+
+
+def _plain_insert(actions: list) -> bool:
+    return len(actions) == 1 and isinstance(actions[0], S.Insert) and not actions[0].logical
 
 
 def replace_df(m: Match, df: DataFrame) -> Match:
@@ -518,7 +608,7 @@ class Effects:
         self.s.justify(self.rule, kind, self.m.index, new.select(FID, F.col("_just").alias("_key")))
         return df
 
-    def _update(self, a: S.Update, df: DataFrame, scope: Scope) -> DataFrame:
+    def _changes(self, a: S.Update, scope: Scope) -> dict[str, Column]:
         kind = self._type_of(a.var)
         schema, new = self.s.memory.types[kind].schema, {}
         for f, x in a.fields.items():
@@ -526,11 +616,19 @@ class Effects:
                 raise PlanError(f"{kind} has no field {f!r}")
             c, t = scope.compile(x)
             new[f] = _coerced(c, t, schema[f].dataType)
-        df = df.withColumns({mangled(a.var, f): c for f, c in new.items()})
-        fid = mangled(a.var, FID)
+        return new
+
+    def _write_back(self, var: str, fields: list[str], df: DataFrame) -> None:
+        """Of matches that changed one fact the latest counts."""
+        fid = mangled(var, FID)
         last = Window.partitionBy(fid).orderBy(F.desc("_key"))
         rows = df.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-        self.s.memory.update(kind, rows.select(F.col(fid).alias(FID), *[F.col(mangled(a.var, f)).alias(f) for f in new], *[F.lit(True).alias(f"_set_{f}") for f in new]))
+        self.s.memory.update(self._type_of(var), rows.select(F.col(fid).alias(FID), *[F.col(mangled(var, f)).alias(f) for f in fields], *[F.lit(True).alias(f"_set_{f}") for f in fields]))
+
+    def _update(self, a: S.Update, df: DataFrame, scope: Scope) -> DataFrame:
+        new = self._changes(a, scope)
+        df = df.withColumns({mangled(a.var, f): c for f, c in new.items()})
+        self._write_back(a.var, list(new), df)
         return settle(df)
 
     def _retract(self, a: S.Retract, df: DataFrame, scope: Scope) -> DataFrame:
@@ -620,6 +718,8 @@ class Effects:
         return df
 
     def _while(self, a: S.While, df: DataFrame, scope: Scope) -> DataFrame:
+        if a.body and all(isinstance(x, S.Update) for x in a.body):
+            return self._while_updates(a, df, scope)
         done = None
         for _ in range(WHILE_CAP + 1):
             df = settle(df.withColumn("_go", scalar.truthy(*scope.compile(a.test))))
@@ -630,6 +730,28 @@ class Effects:
             df = self._block(a.body, df, scope)
         raise RuleError(f"while ran more than {WHILE_CAP} times")
 
+    def _while_updates(self, a: S.While, df: DataFrame, scope: Scope) -> DataFrame:
+        """A loop of updates alone works on the matches' own columns, UNROLL turns a job; memory changes once, at its end."""
+        touched: dict[str, set[str]] = {}
+        turns = 0
+        while True:
+            for _ in range(min(UNROLL, WHILE_CAP + 1 - turns)):
+                turns += 1
+                df = df.withColumn("_go", scalar.truthy(*scope.compile(a.test)))
+                for x in a.body:
+                    new = self._changes(x, scope)
+                    touched.setdefault(x.var, set()).update(new)
+                    df = df.withColumns({mangled(x.var, f): F.when(F.col("_go"), c).otherwise(F.col(mangled(x.var, f))) for f, c in new.items()})
+            df, found = measured(df.withColumn("_go", scalar.truthy(*scope.compile(a.test))), n=F.count_if("_go"))
+            df = df.drop("_go")
+            if not found["n"]:
+                break
+            if turns > WHILE_CAP:
+                raise RuleError(f"while ran more than {WHILE_CAP} times")
+        for var, fields in touched.items():
+            self._write_back(var, sorted(fields), df)
+        return df
+
     def _call(self, a: S.Call, df: DataFrame, scope: Scope) -> DataFrame:
         if a.name not in self.s.functions:
             raise PlanError(f"no function {a.name!r}")

@@ -205,3 +205,60 @@ def test_hidden_type_names(spark):
     assert kb.resolve("Other") == "d.Other"
     with pytest.raises(PlanError, match="ambiguous"):
         kb.resolve("Thing")
+
+
+def test_hooks(spark):
+    text = 'rule "a" salience 2 activation-group "g" when $c: Customer() then insert Done { id = $c.id } end rule "b" activation-group "g" when $c: Customer() then insert Out { id = $c.id } end rule "l" when $o: Order(amount > 1) then insertLogical Total { result = 1.0 } end'
+    s = session(spark, text, {"Customer": [{"id": 1}], "Order": [{"id": 5, "amount": 2.0}]}, fire=False)
+    heard = []
+    for e in ("created", "before", "after", "retracted"):
+        s.listen(e, lambda rule, n, e=e: heard.append((e, rule, n)))
+    s.fire()
+    assert heard == [("created", "a", 1), ("before", "a", 1), ("after", "a", 1), ("retracted", "b", 1), ("created", "l", 1), ("before", "l", 1), ("after", "l", 1)]
+    s.retract("Order", F.col("id") == 5)
+    s.fire()
+    assert heard[-1] == ("retracted", "l", 1) and s.count("Total") == 0
+    with pytest.raises(RuleError):
+        s.listen("gone", print)
+
+
+def test_ids_without_gaps(spark, monkeypatch):
+    from ruleweave.operators import memory as M
+
+    monkeypatch.setattr(M, "SPARSE", 1 << 33)
+    s = Session(KnowledgeBase(TYPES), spark)
+    s.insert("Done", spark.range(20).toDF("id").repartition(3))
+    s.insert("Done", spark.range(20, 25).toDF("id").repartition(2))
+    assert sorted(r[0] for r in s.memory.types["Done"].select("_fid").collect()) == list(range(1, 26))
+    assert sorted(r.id for r in s.facts("Done").collect()) == list(range(25))
+
+
+def test_rules_that_only_insert_fire_once_for_each_match(spark):
+    """Their matches are remembered as a plan: new facts fire, old ones do not again."""
+    s = session(spark, 'rule "r" when $c: Customer(limit > 1) then insert Done { id = $c.id } end', {"Customer": [{"id": 1, "limit": 5}, {"id": 2, "limit": 0}]})
+    assert s.count_fired == 1 and s.fire() == 0
+    s.insert_rows("Customer", [{"id": 3, "limit": 9}])
+    assert s.fire() == 1 and s.fire() == 0
+    s.retract("Customer", F.col("id") == 1)
+    s.insert_rows("Customer", [{"id": 4, "limit": 9}])
+    assert s.fire() == 1 and sorted(r.id for r in s.facts("Done").collect()) == [1, 3, 4]
+
+
+def test_rules_that_leave_take_their_logical_facts(spark):
+    s = session(spark, 'rule "r" when $c: Customer() then insertLogical Done { id = $c.id } end', {"Customer": [{"id": 1}]})
+    assert s.count("Done") == 1
+    s.reload(KnowledgeBase(TYPES + 'rule "other" when $c: Customer() then insert Out { id = 9 } end'))
+    s.fire()
+    assert s.count("Done") == 0 and s.count("Out") == 1
+
+
+def test_loops_of_updates(spark):
+    text = 'rule "r" no-loop when $c: Customer() then while $c.limit > 1 { update $c { limit = $c.limit - 1, name = "down" } } end'
+    s = session(spark, text, {"Customer": [{"id": 1, "limit": 30, "name": "a"}, {"id": 2, "limit": 1, "name": "b"}]})
+    assert sorted((r.id, r.limit, r.name) for r in s.facts("Customer").collect()) == [(1, 1, "down"), (2, 1, "b")]
+
+
+def test_budget_takes_the_latest(spark):
+    s = session(spark, 'rule "r" when $c: Customer() then insert Done { id = $c.id } end', {"Customer": [{"id": i} for i in range(9)]}, fire=False)
+    assert s.fire(max_rules=4) == 4 and sorted(r.id for r in s.facts("Done").collect()) == [5, 6, 7, 8]
+    assert s.fire(max_rules=100) == 5

@@ -97,3 +97,89 @@ def test_failed_step_changes_nothing(spark):
         s.push("Event", events(spark, (1, 1, 9)))
     assert s.query("events").count() == 0 and s.metrics.failed_steps == 1
     s.push("Event", events(spark, (1, 1, 3)))
+
+
+def test_ids_and_results_are_bounded(spark):
+    s = ContinuousSession(KnowledgeBase(TEXT), spark, Config(max_dedup_ids=3, output_types=("Out",), max_results=2))
+    s.push("Event", events(spark, (1, 100, 9), (2, 110, 9)))
+    with pytest.raises(StepRejected, match="ids"):
+        s.push("Event", events(spark, (3, 120, 1), (4, 130, 1)))
+    with pytest.raises(StepRejected, match="results"):
+        s.push("Event", events(spark, (5, 140, 9)))
+    assert s.query("events").count() == 2 and s.metrics.over_limit == 2
+    s.acknowledge(1)
+    assert s.push("Event", events(spark, (5, 140, 9))).size == 1
+    assert (s.metrics.active_events, s.metrics.dedup_entries, s.metrics.pending, s.metrics.pending_results) == (3, 3, 1, 1)
+    with pytest.raises(StepRejected):
+        s.push("Event", events(spark))
+    with pytest.raises(ValueError):
+        Config(max_results=0)
+
+
+def test_gauges_follow_the_watermark(spark):
+    s = ContinuousSession(KnowledgeBase(TEXT), spark, Config(event_retention_ms=100, dedup_retention_ms=300))
+    s.push("Event", events(spark, (1, 100, 1), (2, 200, 1), (3, 300, 1)))
+    s.advance_watermark(310)
+    assert (s.metrics.active_events, s.metrics.expired, s.metrics.dedup_entries) == (1, 2, 3)
+    s.advance_watermark(420)
+    assert (s.metrics.active_events, s.metrics.expired, s.metrics.dedup_entries) == (0, 3, 2)
+    with pytest.raises(StepRejected, match="late|duplicate"):
+        s.push("Event", events(spark, (2, 420, 1)))
+    s.push("Event", events(spark, (1, 430, 1)))
+    s.advance_watermark(800)
+    assert (s.metrics.active_events, s.metrics.expired, s.metrics.dedup_entries) == (0, 4, 0) and not s.parts
+
+
+def test_a_lost_driver_is_replayed(spark, tmp_path):
+    config = Config(output_types=("Out",), allowed_lateness_ms=50, event_retention_ms=1000, max_rules_per_step=2)
+    log = f"file://{tmp_path}/log"
+    a = ContinuousSession(KnowledgeBase(TEXT), spark, config, log)
+    a.push("Event", events(spark, (1, 100, 9), (2, 110, 1)))
+    a.acknowledge(1)
+    a.push("Event", events(spark, (3, 900, 7), (4, 900, 8), (5, 900, 9)))
+    with pytest.raises(StepRejected):
+        a.push("Event", events(spark, (3, 900, 7)))
+    a.advance_watermark(1105)
+    want = {q: sorted(map(str, a.query(q).collect())) for q in ("events", "recent")}
+    with pytest.raises(ValueError, match="recover"):
+        ContinuousSession(KnowledgeBase(TEXT), spark, config, log)
+    b = ContinuousSession.recover(KnowledgeBase(TEXT), spark, log, config)
+    assert {q: sorted(map(str, b.query(q).collect())) for q in want} == want
+    assert [x.id for x in b.pending] == [x.id for x in a.pending] == [2, 3]
+    assert [[r.value for r in x.facts["Out"].collect()] for x in b.pending] == [[r.value for r in x.facts["Out"].collect()] for x in a.pending]
+    assert b.watermark == 1105 and b.metrics.replay_recoveries == 1 and b.metrics.expired == a.metrics.expired == 1
+    with pytest.raises(StepRejected, match="duplicate"):
+        b.push("Event", events(spark, (3, 1200, 7)))
+    assert b.push("Event", events(spark, (6, 1200, 6))).id == 4
+    small = Config(max_replay_steps=1)
+    c = ContinuousSession(KnowledgeBase(TEXT), spark, small, f"file://{tmp_path}/small")
+    c.push("Event", events(spark, (1, 1, 1)))
+    with pytest.raises(StepRejected, match="log"):
+        c.push("Event", events(spark, (2, 1, 1)))
+
+
+def test_a_failing_sink_loses_nothing(spark, tmp_path):
+    """The sink fails at each micro-batch once; the driver is lost between the tries."""
+    source = str(tmp_path / "in")
+    for i in range(3):
+        events(spark, (2 * i, 100 + i, 9 + i), (2 * i + 1, 100 + i, 1)).write.mode("append").parquet(source)
+    config = Config(output_types=("Out",), allowed_lateness_ms=1000)
+    log, got, failed = f"file://{tmp_path}/log", {}, set()
+
+    def sink(number, facts):
+        if number not in failed:
+            failed.add(number)
+            raise RuntimeError("the sink is away")
+        got[number] = sorted(r.value for r in facts["Out"].collect())
+
+    session = ContinuousSession(KnowledgeBase(TEXT), spark, config, log)
+    for _ in range(12):
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = session.attach(stream, "Event", "event_id", "event_time_ms", sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+            break
+        except Exception:
+            session = ContinuousSession.recover(KnowledgeBase(TEXT), spark, log, config)
+    assert sorted(v for x in got.values() for v in x) == [9, 10, 11]
+    assert session.query("events").count() == 6 and not session.pending
