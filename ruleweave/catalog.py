@@ -160,7 +160,7 @@ ask("A7_outer_binding", ORDER_LINES + "sum($l.l_extendedprice / $o.o_totalprice)
 ask("A8_having", "$o: Order() $r: Number(intValue >= 6 || doubleValue == 1) from accumulate(LineItem(l_orderkey == $o.o_orderkey), count(1))", "o__o_orderkey AS k; r__intValue AS v", "SELECT o_orderkey AS k, count(l_orderkey) AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(l_orderkey) >= 6 OR count(l_orderkey) = 1")
 ask("A9_or_source", '$c: Customer() $r: Number() from accumulate(Order(o_custkey == $c.c_custkey, (o_totalprice > 200000 || o_orderstatus == "P")), count())', "c__c_custkey AS k; r__intValue AS v", "SELECT c_custkey AS k, count(o_orderkey) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND (o_totalprice > 200000 OR o_orderstatus = 'P') GROUP BY 1")
 ask("A10_accessors", "$r: Number() from accumulate($o: Order(), average($o.o_totalprice))", "r__intValue AS i; r__longValue AS l; round(r__doubleValue, 4) AS d; round(r__floatValue, 4) AS f", "SELECT CAST(trunc(avg(o_totalprice)) AS BIGINT) AS i, CAST(trunc(avg(o_totalprice)) AS BIGINT) AS l, round(avg(o_totalprice), 4) AS d, round(avg(o_totalprice), 4) AS f FROM orders")
-ask("A11_custom", "$r: Region() $x: Number() from accumulate($n: Nation(n_regionkey == $r.r_regionkey), sum($n.n_nationkey * $n.n_nationkey))", "r__r_regionkey AS k; x__result AS v", "SELECT r_regionkey AS k, CAST(coalesce(sum(n_nationkey * n_nationkey), 0) AS BIGINT) AS v FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+ask("A11_custom", "$o: Order() $x: Number() from accumulate($l: LineItem(l_orderkey == $o.o_orderkey), distinctSuppliers($l.l_suppkey))", "o__o_orderkey AS k; x__longValue AS v", "SELECT o_orderkey AS k, count(DISTINCT l_suppkey) AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1", aggregates={"distinctSuppliers": lambda c: F.count_distinct(c).cast("double")})
 ask("A13_global", '$r: Number() from accumulate($l: LineItem(l_returnflag == "R"), max($l.l_extendedprice)) $n: Number() from accumulate(Region(), count())', "r__result AS top; n__intValue AS n", "SELECT (SELECT max(l_extendedprice) FROM lineitem WHERE l_returnflag = 'R') AS top, (SELECT count(*) FROM region) AS n")
 ask("A1_range_correlated", '$e: Event(event_type == "purchase") $n: Number(intValue >= 2) from accumulate(Event(user_id == $e.user_id, event_id != $e.event_id, timestamp > ($e.timestamp - 7200000), timestamp < $e.timestamp), count(1))', "e__event_id AS k; n__intValue AS v", "SELECT a.event_id AS k, count(b.event_id) AS v FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_id <> a.event_id AND epoch_ms(b.ts) > epoch_ms(a.ts) - 7200000 AND b.ts < a.ts WHERE a.event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 2")
 
@@ -198,29 +198,6 @@ QUERIES["W1_running_length_window"] = running_length
 SQL["W1_running_length_window"] = "SELECT event_id AS k, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS v FROM events"
 
 
-def or_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of a rule's condition, each with its own matches, none removed."""
-    from .plans.groups import union_of_groups
-
-    text = 'rule "r" when $p: Part(p_size > 40) or $p: Part(p_retailprice > 1800) then end'
-    return union_of_groups(planner(spark, sf_dir, text), "r").selectExpr("p__p_partkey AS k")
-
-
-def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule that starts from another's condition."""
-    from .plans.groups import union_of_groups
-
-    text = 'rule "base" when $c: Customer(c_acctbal > 8000) then end rule "r" extends "base" when $o: Order(o_custkey == $c.c_custkey) then end'
-    return union_of_groups(planner(spark, sf_dir, text), "r").selectExpr("c__c_custkey AS c", "o__o_orderkey AS o")
-
-
-QUERIES |= {"J10_or_groups": or_groups, "J12_extends": extended}
-SQL |= {
-    "J10_or_groups": "SELECT p_partkey AS k FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey AS k FROM part WHERE p_retailprice > 1800",
-    "J12_extends": "SELECT c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 8000",
-}
-
-
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: a query with a fact as its parameter."""
     p = planner(spark, sf_dir, 'query "of"(Nation $n) $c: Customer(c_nationkey == $n.n_nationkey) end')

@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lang.tables import to_rules
 from .operators.memory import shared_dir
-from .operators.session import KnowledgeBase, Session
+from .operators.session import KnowledgeBase, RuleError, Session
 from .sources import readers
 from .sources.tables import stream, table
 
@@ -86,7 +86,7 @@ rules("C4_auto_focus", 'rule "g" agenda-group "x" auto-focus true when $o: Order
 rules("C5_activation_group", 'rule "a" salience 5 activation-group "one" when $c: Customer(c_custkey == 3) then insert Signal { key = 1, kind = "a", score = 0 } end rule "b" activation-group "one" when $c: Customer(c_custkey == 3) then insert Signal { key = 2, kind = "b", score = 0 } end', ("Customer",), shown("Signal", "key", "kind"), "SELECT CAST(1 AS BIGINT) AS key, 'a' AS kind FROM customer WHERE c_custkey = 3")
 rules("C6_no_loop", 'rule "r" no-loop when $c: Customer(c_acctbal > 0) then update $c { c_acctbal = $c.c_acctbal * 0.9 } end', ("Customer",), lambda s: s.facts("Customer").selectExpr("c_custkey", "round(c_acctbal, 4) AS bal"), "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal * 0.9 ELSE c_acctbal END, 4) AS bal FROM customer")
 rules("C8_refraction", 'rule "r" when $c: Customer() then insert Signal { key = $c.c_custkey, kind = "seen", score = 1 } end', ("Customer",), lambda s: (s.fire(), s.facts("Signal").selectExpr("key", "score"))[1], "SELECT c_custkey AS key, CAST(1 AS BIGINT) AS score FROM customer")
-rules("C9_budget", 'rule "r" when $c: Customer() then insert Signal { key = $c.c_custkey, kind = "one", score = 1 } end', ("Customer",), lambda s: s.facts("Signal").agg(F.count("*").alias("n")), "SELECT CAST(7 AS BIGINT) AS n", fire={"max_rules": 7})
+rules("C9_budget", 'rule "r" when $c: Customer() then insert Signal { key = $c.c_custkey, kind = "one", score = 1 } end', ("Customer",), shown("Signal", "key"), "SELECT c_custkey AS key FROM customer ORDER BY c_custkey DESC LIMIT 7", fire={"max_rules": 7})
 rules("C12_no_condition", 'rule "r" when then insert Signal { key = 1, kind = "start", score = 5 } end', (), shown("Signal", "key", "kind", "score"), "SELECT CAST(1 AS BIGINT) AS key, 'start' AS kind, CAST(5 AS BIGINT) AS score")
 rules("M6_halt", 'rule "a" salience 5 when $c: Customer(c_custkey == 1) then insert Signal { key = 1, kind = "a", score = 0 } halt end rule "b" when $c: Customer() then insert Signal { key = 2, kind = "b", score = 0 } end', ("Customer",), shown("Signal", "key", "kind"), "SELECT CAST(1 AS BIGINT) AS key, 'a' AS kind")
 rules("P21_disabled", 'rule "a" enabled false when $c: Customer() then insert Signal { key = 1, kind = "a", score = 0 } end rule "b" when $c: Customer() then insert Signal { key = $c.c_custkey, kind = "b", score = 0 } end', ("Customer",), shown("Signal", "key", "kind"), "SELECT c_custkey AS key, 'b' AS kind FROM customer")
@@ -94,6 +94,51 @@ rules("M7_set_focus", 'rule "a" when $c: Customer(c_custkey == 1) then setFocus(
 rules("C7_lock_on_active", 'rule "a" salience 9 when $c: Customer(c_acctbal > -99999) then insert Signal { key = $c.c_custkey, kind = "new", score = 0 } end rule "b" lock-on-active when $s: Signal(kind == "new") then insert Alert { key = $s.key, total = 0, level = "x" } end', ("Customer",), lambda s: s.facts("Signal").selectExpr("key").unionAll(s.facts("Alert").selectExpr("key")), "SELECT c_custkey AS key FROM customer WHERE c_acctbal > -99999")
 rules("X3_custom_aggregate", 'rule "r" when $c: Customer() $n: Number() from accumulate($o: Order(o_custkey == $c.c_custkey), spread($o.o_totalprice)) then insert Tier { key = $c.c_custkey, name = "spread", price = $n.doubleValue } end', ("Order", "Customer"), shown("Tier", "key", "round(price, 4) AS price"), "SELECT c_custkey AS key, round(coalesce(max(o_totalprice) - min(o_totalprice), 0), 4) AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", kb={"aggregates": {"spread": lambda c: F.max(c) - F.min(c)}})
 
+rules("J10_or_groups", 'rule "r" when $o: Order(o_totalprice > 200000) or $o: Order(o_orderpriority == "1-URGENT") then insert Signal { key = $o.o_orderkey, kind = "either", score = 1 } end', ("Order",), shown("Signal", "key", "kind"), "SELECT o_orderkey AS key, 'either' AS kind FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'either' FROM orders WHERE o_orderpriority = '1-URGENT'")
+rules("J12_extends", 'rule "base" when $c: Customer(c_acctbal > 8000) then insert Signal { key = $c.c_custkey, kind = "rich", score = 1 } end rule "r" extends "base" when $o: Order(o_custkey == $c.c_custkey) then insert Signal { key = $o.o_orderkey, kind = "order of a rich one", score = 2 } end', ("Order", "Customer"), shown("Signal", "key", "kind", "score"), "SELECT c_custkey AS key, 'rich' AS kind, CAST(1 AS BIGINT) AS score FROM customer WHERE c_acctbal > 8000 UNION ALL SELECT o_orderkey, 'order of a rich one', 2 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 8000")
+rules("C13_annotations", '@role(event) @author("x") rule "r" when $c: Customer(c_acctbal < 0) then insert Signal { key = $c.c_custkey, kind = "r", score = 1 } end', ("Customer",), shown("Signal", "key"), "SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0")
+
+
+def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: facts, what has fired and globals go; the rules stay, and fire anew on what comes then."""
+    s = Session(KnowledgeBase(TYPES + 'rule "r" when $c: Customer(c_acctbal < 0) then insert Signal { key = $c.c_custkey, kind = "debt", score = 1 } end'), spark)
+    s.insert("Customer", table(spark, sf_dir, "Customer").drop("_fid"))
+    s.fire()
+    s.reset()
+    s.insert("Customer", table(spark, sf_dir, "Customer").drop("_fid").where("c_acctbal < -500"))
+    s.fire()
+    return s.facts("Signal").select("key")
+
+
+def rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round that fails for one match leaves nothing; what fired before stays."""
+    text = 'rule "a" salience 5 when $c: Customer(c_acctbal < 0) then insert Signal { key = $c.c_custkey, kind = "debt", score = 1 } end rule "b" when $c: Customer() then insert Tier { key = $c.c_custkey, name = "x", price = 1 / ($c.c_custkey - 7) } insert Signal { key = $c.c_custkey, kind = "b", score = 2 } end'
+    s = Session(KnowledgeBase(TYPES + text), spark)
+    want = s.kb.schemas["Customer"]
+    s.insert("Customer", table(spark, sf_dir, "Customer").select(*[F.col(f.name).cast(f.dataType) for f in want.fields]))
+    try:
+        s.fire()
+        raise AssertionError("1 / 0 did not fail")
+    except RuleError:
+        return s.facts("Signal").select("key", "kind").unionByName(s.facts("Tier").select("key", F.lit("tier").alias("kind")))
+
+
+def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single facts and batches of them; ids follow the order of arrival."""
+    s = Session(KnowledgeBase(TYPES), spark)
+    s.insert_rows("Signal", [{"key": -1, "kind": "one", "score": 5}, {"key": -2, "kind": "two"}])
+    s.insert("Signal", spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS key", "o_orderstatus AS kind"), order=["key"])
+    ids = s.memory.types["Signal"]
+    return ids.withColumn("_prev", F.lag("key").over(Window.orderBy("_fid"))).selectExpr("key", "kind", "coalesce(score, 0) AS score", "key < 0 OR key > _prev AS in_order")
+
+
+QUERIES |= {"C14_reset": reset, "M13_rollback": rolled_back, "S10_S11_inserts": inserted}
+SQL |= {
+    "C14_reset": "SELECT c_custkey AS key FROM customer WHERE c_acctbal < -500",
+    "M13_rollback": "SELECT c_custkey AS key, 'debt' AS kind FROM customer WHERE c_acctbal < 0",
+    "S10_S11_inserts": "SELECT o_orderkey AS key, o_orderstatus AS kind, CAST(0 AS BIGINT) AS score, true AS in_order FROM orders UNION ALL SELECT -1, 'one', 5, true UNION ALL SELECT -2, 'two', 0, true",
+}
+
 # --- decision tables
 
 DISCOUNTS = """RULE NAME,SALIENCE,CONDITION: $o: Order(o_totalprice >= $1),CONDITION: not Tier(key == $o.o_orderkey) eval($1),"ACTION: insert Tier { key = $o.o_orderkey, name = ""$1"", price = $o.o_totalprice }"
@@ -114,29 +159,105 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", "timestamp")
 
 
+BIG = 10**12
+#: No limit stands in the way of a whole table in one batch.
+OPEN = {"max_active_events": BIG, "max_dedup_ids": BIG, "max_results": BIG, "max_batch_size": BIG, "max_rules_per_step": BIG, "event_retention_ms": BIG, "dedup_retention_ms": BIG, "max_future_ms": BIG, "allowed_lateness_ms": BIG}
+
+
+def _continuous(spark: SparkSession, text: str = "", recovery: str | None = None, **limits):
+    from .streaming.continuous import Config, ContinuousSession
+
+    return ContinuousSession(KnowledgeBase(TYPES + text), spark, Config(**{**OPEN, **limits}), recovery)
+
+
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream in which events come twice, each kept once."""
+    """T2 as a stream operator: a stream in which events come twice, each kept once."""
     from .streaming.operators import collect_stream, once_each
 
     twice = stream(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return collect_stream(once_each(twice, "event_id", "ts", "40 days").select("event_id"))
 
 
+def dedup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch holds events twice, the next ones again; a strict push of known ones is turned away."""
+    from .streaming.continuous import StepRejected
+
+    s, e = _continuous(spark), _stamped(spark, sf_dir)
+    half = e.where("value < 20")
+    s.push("Event", half.unionAll(half), "event_id", "timestamp", strict=False)
+    s.push("Event", e, "event_id", "timestamp", strict=False)
+    try:
+        s.push("Event", half, "event_id", "timestamp")
+    except StepRejected as x:
+        return s.session.facts("Event").select("event_id", F.lit(x.reason).alias("again"))
+
+
 def lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Too late, too far ahead, and past retention."""
-    from .streaming.operators import in_time, retained
+    """Events too late or too far ahead are left out; what is past retention goes as time moves on."""
+    s = _continuous(spark, allowed_lateness_ms=3_600_000 * 24, max_future_ms=3_600_000 * 48, event_retention_ms=3_600_000 * 12)
+    s.advance_watermark(1705000000000)
+    s.push("Event", _stamped(spark, sf_dir), "event_id", "timestamp", strict=False)
+    s.advance_watermark(1705040000000)
+    return s.session.facts("Event").select("event_id")
+
+
+def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step stops at its budget; drains go on until nothing waits.  The batch that each fact came in."""
+    s = _continuous(spark, 'rule "r" when $e: Event(value > 60) then insert Signal { key = $e.event_id, kind = "high", score = 1 } end', max_rules_per_step=400, output_types=("Signal",))
+    step = s.push("Event", _stamped(spark, sf_dir), "event_id", "timestamp")
+    while step.drain_required:
+        step = s.drain()
+    out = None
+    for b in s.pending:
+        df = b.facts["Signal"].select("key", F.lit(b.size <= 400).alias("within_budget"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session is made again from its log, goes on, and turns away what it knew before."""
+    from .streaming.continuous import Config, ContinuousSession
+
+    text = 'rule "r" when $e: Event(event_type == "purchase") then insert Signal { key = $e.event_id, kind = "buy", score = 1 } end'
+    log = f"{shared_dir(spark)}/ruleweave-log-{uuid.uuid4().hex}"
+    first, e = _continuous(spark, text, log), _stamped(spark, sf_dir)
+    first.push("Event", e.where("value < 30"), "event_id", "timestamp")
+    first.advance_watermark(1704500000000)
+    second = ContinuousSession.recover(KnowledgeBase(TYPES + text), spark, log, Config(**OPEN))
+    second.push("Event", e, "event_id", "timestamp", strict=False)
+    return second.session.facts("Signal").select("key", F.lit(second.metrics.replay_recoveries).alias("recoveries"))
+
+
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session counts, and a limit that turns a batch away."""
+    from dataclasses import asdict
+
+    from .streaming.continuous import StepRejected
+
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    s, e = _continuous(spark, max_dedup_ids=n, event_retention_ms=3_600_000 * 24), _stamped(spark, sf_dir)
+    s.push("Event", e, "event_id", "timestamp")
+    try:
+        s.push("Event", e.limit(1).withColumn("event_id", F.lit(-1).cast("long")), "event_id", "timestamp")
+    except StepRejected:
+        s.advance_watermark(1705000000000)
+    m = asdict(s.metrics)
+    return spark.createDataFrame([tuple(m[k] for k in ("accepted", "active_events", "expired", "dedup_entries", "over_limit", "pending"))], "accepted long, active long, expired long, known long, over_limit long, pending long")
 
-    e = _stamped(spark, sf_dir)
-    return retained(in_time(e, "timestamp", 1705000000000, 3_600_000 * 24, 3_600_000 * 48), "timestamp", 1705000000000, 3_600_000 * 12).select("event_id")
+
+def named_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller names the columns of an event's id and time, here within a record."""
+    s, e = _continuous(spark), _stamped(spark, sf_dir)
+    packed = e.withColumn("head", F.struct(F.col("event_id").cast("string").alias("name"), F.col("timestamp").alias("at")))
+    s.push("Event", packed, "head.name", "head.at")
+    s.advance_watermark(1704500000000)
+    return s.session.facts("Event").select("event_id", "timestamp")
 
 
 def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushes and watermarks; alerts of users with two errors in a day."""
-    from .streaming.continuous import Config, ContinuousSession
-
-    text = TYPES + 'rule "r" when $a: Event(event_type == "error") $b: Event(event_type == "error", user_id == $a.user_id, timestamp after $a.timestamp, within 24h of $a) then insert Signal { key = $b.event_id, kind = "pair", score = $a.event_id } end'
-    big = 10**12
-    s = ContinuousSession(KnowledgeBase(text), spark, Config(max_active_events=big, max_batch_size=big, max_rules_per_step=big, event_retention_ms=big, dedup_retention_ms=big, max_future_ms=big, allowed_lateness_ms=big, output_types=("Signal",)))
+    text = 'rule "r" when $a: Event(event_type == "error") $b: Event(event_type == "error", user_id == $a.user_id, timestamp after $a.timestamp, within 24h of $a) then insert Signal { key = $b.event_id, kind = "pair", score = $a.event_id } end'
+    s = _continuous(spark, text, output_types=("Signal",))
     e = _stamped(spark, sf_dir)
     for i in range(2):
         s.push("Event", e.where(F.col("event_id") % 2 == i), "event_id", "timestamp")
@@ -149,21 +270,25 @@ def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 on a structured stream: a continuous session as its sink."""
-    from .streaming.continuous import Config, ContinuousSession
-
-    text = TYPES + 'rule "r" when $e: Event(event_type == "purchase", value > 40) then insert Signal { key = $e.event_id, kind = "buy", score = 1 } end'
-    big = 10**12
-    s = ContinuousSession(KnowledgeBase(text), spark, Config(max_active_events=big, max_batch_size=big, max_rules_per_step=big, event_retention_ms=big, max_future_ms=big, allowed_lateness_ms=big))
+    s = _continuous(spark, 'rule "r" when $e: Event(event_type == "purchase", value > 40) then insert Signal { key = $e.event_id, kind = "buy", score = 1 } end')
     events = stream(spark, sf_dir, "events").withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp"))).drop("ts", "props")
     q = s.attach(events, "Event", "event_id", "timestamp").option("checkpointLocation", f"{shared_dir(spark)}/ruleweave-stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.session.facts("Signal").select("key")
 
 
+QUERIES |= {"T2_dedup_session": dedup_session, "T7_drain": drained, "T9_recovery": recovered, "T10_T11_metrics_limits": gauges, "T12_named_columns": named_columns}
+SQL |= {
+    "T2_dedup_session": "SELECT event_id, 'duplicate' AS again FROM events",
+    "T7_drain": "SELECT event_id AS key, true AS within_budget FROM events WHERE value > 60",
+    "T9_recovery": "SELECT event_id AS key, CAST(1 AS INTEGER) AS recoveries FROM events WHERE event_type = 'purchase'",
+    "T10_T11_metrics_limits": "SELECT count(*) AS accepted, count(*) FILTER (epoch_ms(ts) > 1705000000000 - 86400000) AS active, count(*) FILTER (epoch_ms(ts) <= 1705000000000 - 86400000) AS expired, count(*) AS known, CAST(1 AS BIGINT) AS over_limit, CAST(2 AS BIGINT) AS pending FROM events",
+    "T12_named_columns": "SELECT event_id, epoch_us(ts) // 1000 AS timestamp FROM events",
+}
 QUERIES |= {"T2_dedup_stream": dedup_stream, "T4_T6_lateness_retention": lateness, "T1_T8_continuous": continuous, "T1_micro_batches": micro_batches}
 SQL |= {
     "T2_dedup_stream": "SELECT event_id FROM events",
-    "T4_T6_lateness_retention": "SELECT event_id FROM events WHERE epoch_ms(ts) > 1705000000000 - 43200000 AND epoch_ms(ts) <= 1705000000000 + 172800000",
+    "T4_T6_lateness_retention": "SELECT event_id FROM events WHERE epoch_ms(ts) BETWEEN 1705000000000 - 86400000 AND 1705000000000 + 172800000 AND epoch_ms(ts) > 1705040000000 - 43200000",
     "T1_T8_continuous": "SELECT b.event_id AS later, a.event_id AS earlier FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_ms(b.ts) > epoch_ms(a.ts) AND epoch_ms(b.ts) - epoch_ms(a.ts) <= 86400000 WHERE a.event_type = 'error' AND b.event_type = 'error'",
     "T1_micro_batches": "SELECT event_id AS key FROM events WHERE event_type = 'purchase' AND value > 40",
 }

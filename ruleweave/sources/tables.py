@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compiler import FID
-from ..lang.parser import parse
+from ..lang.parser import AGGREGATES, parse
 from ..plans.match import Match, Planner, output
 
 TABLES = {
@@ -43,7 +43,7 @@ def planner(spark: SparkSession, sf_dir: str, text: str, **options) -> Planner:
             raise ValueError(f"no entry point {entry_point!r} of {type_name}")
         return df.where(F.col("event_type") == entry_point)
 
-    return Planner(spark, parse(text), facts, **options)
+    return Planner(spark, parse(text, (*AGGREGATES, *options.get("aggregates", ()))), facts, **options)
 
 
 def ask(spark: SparkSession, sf_dir: str, text: str, query: str = "q", **options) -> Match:

@@ -10,7 +10,7 @@ from ruleweave import catalog, catalog_rules
 SF = "/root/testdata/sf0.001"
 ALL = {**catalog.QUERIES, **catalog_rules.QUERIES}
 SQL = {**catalog.SQL, **catalog_rules.SQL}
-SOME = sorted(catalog.QUERIES) + ["M1_insert", "M3_update", "M5_retract", "M8_if", "M11_while", "C1_C2_fixpoint_scoring", "M2_insert_logical", "DT1_decision_table", "T2_dedup_stream", "T1_micro_batches", "S4_json_path", "S5_yaml"]
+SOME = sorted(catalog.QUERIES) + ["M1_insert", "M3_update", "M5_retract", "M8_if", "M11_while", "C1_C2_fixpoint_scoring", "M2_insert_logical", "DT1_decision_table", "T2_dedup_stream", "T1_micro_batches", "S4_json_path", "S5_yaml", "J10_or_groups", "J12_extends", "C9_budget", "C14_reset", "M13_rollback", "S10_S11_inserts", "T2_dedup_session", "T4_T6_lateness_retention", "T7_drain", "T9_recovery", "T10_T11_metrics_limits", "T12_named_columns"]
 
 
 @pytest.fixture(scope="module")
