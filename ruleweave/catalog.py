@@ -174,16 +174,9 @@ ask("U1_unnest", "$e: Embedding() $v: Value(value > 0.2) from unnest($e.embeddin
 ask("U3_index_size", "$e: Embedding(embedding.size == 64, embedding[0] > 0, embedding[-1] < 0, embedding.isEmpty == 0)", "e__vec_id AS k", "SELECT vec_id AS k FROM embeddings WHERE len(embedding) = 64 AND embedding[1] > 0 AND embedding[-1] < 0")
 
 
-def running_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each event how many the same user had in the two hours before, with one sort and no self join."""
-    from .plans.windows import running_count
-
-    events = planner(spark, sf_dir, "").facts_of("Event", None)
-    return running_count(events, ["user_id"], "timestamp", 7_200_000, "n").select(F.col("event_id").alias("k"), "n")
-
-
-QUERIES["W4_running_time_window"] = running_window
-SQL["W4_running_time_window"] = "SELECT a.event_id AS k, count(b.event_id) AS n FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND epoch_ms(b.ts) >= epoch_ms(a.ts) - 7200000 AND epoch_ms(b.ts) < epoch_ms(a.ts) GROUP BY 1"
+ask("W4_running_time_window", "$e: Event() $n: Number() from accumulate(Event(user_id == $e.user_id, timestamp >= ($e.timestamp - 7200000), timestamp < $e.timestamp), count(1))", "e__event_id AS k; n__intValue AS n", "")
+ask("W4_running_max", '$e: Event() $n: Number() from accumulate($p: Event(user_id == $e.user_id, event_type == "purchase", timestamp >= ($e.timestamp - 86400000), timestamp <= ($e.timestamp + 3600000)), max($p.value))', "e__event_id AS k; n__doubleValue AS top", "SELECT a.event_id AS k, coalesce(max(b.value), 0) AS top FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND epoch_us(b.ts) // 1000 >= epoch_us(a.ts) // 1000 - 86400000 AND epoch_us(b.ts) // 1000 <= epoch_us(a.ts) // 1000 + 3600000 GROUP BY 1")
+SQL["W4_running_time_window"] = "SELECT a.event_id AS k, count(b.event_id) AS n FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) // 1000 >= epoch_us(a.ts) // 1000 - 7200000 AND epoch_us(b.ts) // 1000 < epoch_us(a.ts) // 1000 GROUP BY 1"
 
 
 def running_length(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ which the optimizer takes hash keys.
 
 pattern              plan
 -------------------  ---------------------------------------------------------
-fact                 scan, filter, inner join (cross product without conditions)
+fact                 scan, filter, inner join (cross product without conditions);
+                     ``within`` joins by buckets of time as well
 not / exists         left anti / left semi join
 forall(A, B)         left anti join with A and not B
 eval                 filter
-accumulate           aggregate by the correlation keys, then left join; where the
-                     correlation is no equality, left join, then aggregate
+accumulate           aggregate by the correlation keys, then left join; keys and a
+                     range of time: one sort and a window, in buckets of time;
+                     where the correlation is of another kind, left join, then
+                     aggregate
 unnest               explode
 query call           the query's patterns continue the plan, or a semi join
 """
@@ -23,7 +26,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +141,28 @@ class Planner:
         if binding in m.scope.bindings:
             raise PlanError(f"{binding} is bound twice")
         right, rest = self._scan(p, m.scope, binding)
-        return Match(self._join(m.df, right, rest, "inner"), m.scope, [*m.facts, binding], [*m.shown, binding] if p.binding else m.shown)
+        joined = self._join_within(p, m, right, rest, binding)
+        if joined is None:
+            joined = self._join(m.df, right, rest, "inner")
+        return Match(joined, m.scope, [*m.facts, binding], [*m.shown, binding] if p.binding else m.shown)
+
+    def _join_within(self, p: S.Pattern, m: Match, right: DataFrame, rest: list[Column], binding: str) -> DataFrame | None:
+        """A join of times at most ``ms`` apart: both sides fall into buckets of that length, the left one into three.
+
+        So a hot key is divided by time; a right fact meets each left one in one bucket at most.
+        """
+        near = next((x for x in conjuncts(p.test) if isinstance(x, S.Within) and x.ms > 0), None)
+        if near is None or m.df is None:
+            return None
+        m.scope.here = binding
+        (mine, kind), (other, other_kind) = m.scope.resolve(S.Ref(None, ("timestamp",))), m.scope.resolve(S.Ref(near.var, ("timestamp",)))
+        m.scope.here = None
+        if not (scalar.is_whole(kind) and scalar.is_whole(other_kind)):
+            return None
+        here = _bucket(other, near.ms)
+        left = m.df.withColumn("_span", F.explode(F.array(here - 1, here, here + 1)))
+        right = right.withColumn("_in", _bucket(mine, near.ms))
+        return self._join(left, right, [F.col("_span") == F.col("_in"), *rest], "inner").drop("_span", "_in")
 
     def _test(self, p: S.Pattern, m: Match, how: str) -> Match:
         inner = p.inner[0]
@@ -273,7 +297,10 @@ class Planner:
         keys = [scope.compile(part.a) for part in equal]
         tests = [scope.compile(part.b) for part in equal]
         present = F.lit(True)
-        if plain:
+        windowed = None if plain else self._windowed(m, scope, source, right, name, argument, outer, list(zip(keys, tests)), other)
+        if windowed is not None:
+            joined, kind = windowed
+        elif plain:
             value = self._value(scope, argument, name, source, right)
             aggs, kind = self._aggregate(name, value, present, source, right)
             named = [c.alias(f"_k{i}") for i, (c, _) in enumerate(keys)]
@@ -302,6 +329,68 @@ class Planner:
         m.scope.here = None
         return Match(df, m.scope, m.facts, [*m.shown, binding] if p.binding else m.shown)
 
+    def _windowed(self, m: Match, scope: Scope, source: str, right: DataFrame, name: str, argument, outer: set[str], pairs: list, other: list) -> tuple[DataFrame, T.DataType] | None:
+        """Equal keys and a range of a whole number (a time) about the outer fact's: a window, where a join would compare all pairs of a key.
+
+        Outer and inner facts stand side by side in one table, partitioned by the
+        keys and by buckets as long as the range (inner facts in two of them, so that
+        a hot key is divided), sorted by time.  ``field != outer value`` takes off what
+        has that value.  None if the condition is of another shape.
+        """
+        if m.df is None or name not in ("count", "sum", "average", "min", "max") or name in self.aggregates:
+            return None
+        if argument is not None and variables(argument) & outer:
+            return None
+        low = high = base = time = apart = None
+        for part in other:
+            if not (isinstance(part, S.Bin) and isinstance(part.a, S.Ref) and part.a.var is None and self._outer(part.b)):
+                return None
+            op = {"after": ">", "before": "<", "during": ">="}.get(part.op, part.op)
+            if op == "!=" and apart is None:
+                apart = part
+                continue
+            at, shift = _shifted(part.b)
+            if op not in ("<", "<=", ">", ">=") or shift is None or time not in (None, part.a) or base not in (None, at):
+                return None
+            time, base = part.a, at
+            if op[0] == ">" and low is None:
+                low = shift + (op == ">")
+            elif op[0] == "<" and high is None:
+                high = shift - (op == "<")
+            else:
+                return None
+        if low is None or high is None or high < low:
+            return None
+        value, kind = self._value(scope, argument, name, source, right)
+        aggs, agg_kind = self._aggregate(name, (None if value is None else F.col("_v"), kind), ~F.col("_asks"), source, right)
+        (t, t_kind), (b, b_kind) = scope.compile(time), scope.compile(base)
+        if apart is not None:
+            (x, x_kind), (y, y_kind) = scope.compile(apart.a), scope.compile(apart.b)
+            if type(x_kind) is not type(y_kind) or not (name == "count" or name == "sum" and scalar.is_whole(kind)):
+                return None
+        if not (scalar.is_whole(t_kind) and scalar.is_whole(b_kind)) or any(type(k[1]) is not type(o[1]) for k, o in pairs):
+            return None
+        span = high - low + 1
+        keys = [f"_k{i}" for i in range(len(pairs))]
+        at = F.col("_at")
+        asks = m.df.select("*", *[o[0].alias(k) for k, (_, o) in zip(keys, pairs)], b.cast("long").alias("_at"), (y if apart is not None else F.lit(0)).alias("_x"), F.lit(None).cast(kind if value is not None else "int").alias("_v"), F.lit(True).alias("_asks"))
+        asks = asks.withColumn("_b", _bucket(at + high, span))
+        given = right.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in m.df.schema.fields], *[k[0].alias(c) for c, (k, _) in zip(keys, pairs)], t.cast("long").alias("_at"), (x if apart is not None else F.lit(0)).alias("_x"), (value if value is not None else F.lit(None).cast("int")).alias("_v"), F.lit(False).alias("_asks"))
+        for c in [*keys, "_at", "_x"]:
+            given = given.where(F.col(c).isNotNull())
+        given = given.withColumn("_b", F.explode(F.array(_bucket(at, span), _bucket(at, span) + 1)))
+        frame = Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(low, high)
+        out = aggs.over(frame)
+        if apart is not None:
+            out = out - F.coalesce(aggs.over(Window.partitionBy(*keys, "_b", "_x").orderBy("_at").rangeBetween(low, high)), F.lit(0))
+            out = F.when(F.col("_x").isNotNull(), out)
+        # A null key or time equals nothing and lies in no range.
+        known = F.col("_at").isNotNull()
+        for c in keys:
+            known = known & F.col(c).isNotNull()
+        joined = asks.unionByName(given).withColumn("_agg", F.when(known, out)).where("_asks")
+        return joined.select(*m.df.columns, "_agg"), agg_kind
+
     def _value(self, scope: Scope, argument, name: str, source: str, right: DataFrame):
         if name in ("collect", "collectSet"):
             kind = T.StructType([T.StructField(FID, T.LongType()), *scope.bindings[source].fields])
@@ -392,6 +481,20 @@ class Planner:
         return self.match(q.patterns, m)
 
 
+def _bucket(time: Column, size: int) -> Column:
+    """The number of the interval of ``size`` that a whole number lies in."""
+    return F.call_function("div", time - F.pmod(time, F.lit(size)), F.lit(size))
+
+
+def _shifted(x) -> tuple:
+    """(base, whole shift) of ``base``, ``base + n`` or ``base - n``; the shift is None for other expressions."""
+    if isinstance(x, S.Ref):
+        return x, 0
+    if isinstance(x, S.Bin) and x.op in "+-" and isinstance(x.a, S.Ref) and isinstance(x.b, S.Lit) and isinstance(x.b.value, int):
+        return x.a, x.b.value if x.op == "+" else -x.b.value
+    return x, None
+
+
 def output(m: Match, ids: bool = False) -> DataFrame:
     """A struct for each binding, and a column for each named field."""
     cols = []

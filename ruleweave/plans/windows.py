@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_count(df: DataFrame, keys: list[str], time: str, span_ms: int, name: str) -> DataFrame:
-    """How many rows of the same keys lie in the ``span_ms`` before each, its own time left out."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-span_ms, -1)
-    return df.withColumn(name, F.count(F.lit(1)).over(w))
-
-
 def running_length(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, name: str) -> DataFrame:
     """The mean of the last ``size`` values of the same keys, each row's own included."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(size - 1), 0)

@@ -262,3 +262,49 @@ def test_budget_takes_the_latest(spark):
     s = session(spark, 'rule "r" when $c: Customer() then insert Done { id = $c.id } end', {"Customer": [{"id": i} for i in range(9)]}, fire=False)
     assert s.fire(max_rules=4) == 4 and sorted(r.id for r in s.facts("Done").collect()) == [5, 6, 7, 8]
     assert s.fire(max_rules=100) == 5
+
+
+RANGES = [
+    "count(1)",
+    "sum($p.value)",
+    "average($p.value)",
+    "min($p.value)",
+    "max($p.value)",
+    "count($p.value)",
+]
+
+
+@pytest.mark.parametrize("what", RANGES)
+@pytest.mark.parametrize("test", ["timestamp > ($e.timestamp - 50), timestamp < $e.timestamp", "timestamp after $e.timestamp, timestamp <= ($e.timestamp + 120)", "timestamp >= ($e.timestamp - 7), timestamp <= ($e.timestamp - 7), value != $e.value"])
+def test_ranges_of_time_by_windows_and_by_joins(spark, monkeypatch, what, test):
+    """The window gives what the join gives, on nulls, negative times and ties."""
+    import random
+
+    from ruleweave.plans.match import Planner
+
+    rng = random.Random(what + test)
+    some = lambda x: None if rng.random() < 0.1 else x
+    rows = [{"id": some(rng.randrange(3)), "value": some(rng.randrange(4)), "timestamp": some(rng.randrange(-150, 150))} for _ in range(150)]
+    s = session(spark, f'query "q" $e: Event() $n: Number() from accumulate($p: Event(id == $e.id, {test}), {what}) end', {"Event": rows})
+
+    def shown():
+        return sorted((str(r.e.id), str(r.e.value), str(r.e.timestamp), round(r.n.doubleValue, 9)) for r in s.query("q").collect())
+
+    by_window = shown()
+    windowed = "!=" not in test or what.startswith("count") or what.startswith("sum")
+    assert ("Window" in s.query("q")._jdf.queryExecution().executedPlan().toString()) == windowed
+    monkeypatch.setattr(Planner, "_windowed", lambda *a: None)
+    assert shown() == by_window and len(by_window) == 150 and any(x[3] for x in by_window)
+
+
+def test_within_by_buckets(spark, monkeypatch):
+    import random
+
+    from ruleweave.plans.match import Planner
+
+    rng = random.Random(5)
+    rows = [{"id": rng.randrange(3), "value": i, "timestamp": None if i % 17 == 0 else rng.randrange(-300, 300)} for i in range(120)]
+    s = session(spark, 'query "q" $a: Event() $b: Event(id == $a.id, within 40ms of $a, timestamp after $a.timestamp) end', {"Event": rows})
+    by_bucket = sorted((r.a.value, r.b.value) for r in s.query("q").collect())
+    monkeypatch.setattr(Planner, "_join_within", lambda *a: None)
+    assert sorted((r.a.value, r.b.value) for r in s.query("q").collect()) == by_bucket and len(by_bucket) > 50
