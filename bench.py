@@ -47,7 +47,7 @@ def insert_rule(spark):
 
 def continuous(spark):
     text = "declare Event event_id: long value: double timestamp: long end declare Hit key: long amount: double end " + 'rule "r" when $e: Event(value > 90) then insert Hit { key = $e.event_id, amount = $e.value } end'
-    s = ContinuousSession(KnowledgeBase(text), spark, Config(max_active_events=BIG, max_batch_size=BIG, max_rules_per_step=BIG, event_retention_ms=BIG, max_future_ms=BIG, allowed_lateness_ms=BIG))
+    s = ContinuousSession(KnowledgeBase(text), spark, Config(max_active_events=BIG, max_dedup_ids=BIG, max_batch_size=BIG, max_rules_per_step=BIG, event_retention_ms=BIG, max_future_ms=BIG, allowed_lateness_ms=BIG))
     s.push("Event", table(spark, SF, "Event").select("event_id", "value", "timestamp"), "event_id", "timestamp")
     s.advance_watermark(1_706_000_000_000)
     return s.session.facts("Hit")

@@ -141,6 +141,7 @@ class Session:
         self.checked: dict[tuple[str, int], tuple] = {}
         self.lazy: set[str] = set()  # rules whose fired matches are a plan so far
         self.parts: dict[tuple[int, str], int] = {}
+        self.idle: dict[str, tuple] = {}
         self.logical: list[tuple[str, str, int, DataFrame]] = []
         self.focus: list[str] = []
         self.outputs: dict[str, DataFrame] = {}
@@ -185,6 +186,7 @@ class Session:
     def set_global(self, name: str, value) -> None:
         if name not in self.kb.program.globals:
             raise RuleError(f"no global {name!r}")
+        self.idle, self.checked = {}, {}
         self.globals[name] = value
 
     def facts(self, name: str) -> DataFrame:
@@ -221,7 +223,7 @@ class Session:
     def reload(self, kb: KnowledgeBase) -> None:
         """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
         self.kb = kb
-        self.checked = {}
+        self.idle, self.checked = {}, {}
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)
 
@@ -246,7 +248,9 @@ class Session:
     def fire(self, max_rules: int = -1, exact: bool = False) -> int:
         """Fires to the fixpoint; gives the number of matches fired."""
         total, self.halted = 0, False
-        self.blocked, self.locked, self.idle = {}, {}, {}
+        self.blocked, self.locked = {}, {}
+        # What a rule may do again in another call: the others are idle until something that they read changes.
+        self.idle = {k: v for k, v in self.idle.items() if k in self.kb.by_name and not (self.kb.by_name[k].no_loop or self.kb.by_name[k].lock_on_active)}
         groups_now = {r.agenda_group or MAIN for r in self.kb.rules}
         self._lock(groups_now)
         while max_rules < 0 or total < max_rules:
@@ -297,7 +301,12 @@ class Session:
             for p in g:
                 seen.update((self.kb.resolve(t), wants, denies) for t, wants, denies in self._reads(p))
         types = self.memory.types
-        return (self.now, *sorted((t, types.gained.get(t, 0) if wants else -1, types.lost.get(t, 0) if denies else -1) for t, wants, denies in seen))
+        return (self._clock(r), *sorted((t, types.gained.get(t, 0) if wants else -1, types.lost.get(t, 0) if denies else -1) for t, wants, denies in seen))
+
+    def _clock(self, r: S.Rule):
+        """The time as far as a rule reads it: through windows of time, which without an event time follow the wall clock."""
+        timed = any(isinstance(x, S.Span) and x.kind == "time" for x in _parts([r.groups, [self.kb.program.queries[p.name] for g in r.groups for p in g if p.kind == "call"]]))
+        return None if not timed else self.now if self.now is not None else time.time()
 
     def _reads(self, p: S.Pattern, denied: bool = False):
         """(type, whether more facts of it, whether fewer may make matches)."""
@@ -353,36 +362,47 @@ class Session:
         return None
 
     def _one_each(self, r: S.Rule, m: Match, df: DataFrame) -> DataFrame:
-        """Of matches that would cancel each other, the latest."""
+        """Of matches that would cancel each other the latest has ``_nth`` 1; without such matches no column is added."""
         latest = [F.desc("_key")]
         inserts = {a.type for a in _actions(r.actions) if isinstance(a, S.Insert)}
+        groups = []
         for p in r.groups[m.index]:
             inner = p.inner[0] if p.kind == "not" else None
             if inner is not None and self.kb.resolve(inner.type) in {self.kb.resolve(t) for t in inserts}:
                 keys = [x.b for x in conjuncts(inner.test) if isinstance(x, S.Bin) and x.op == "==" and variables(x.b)]
-                cols = [m.scope.compile(k)[0] for k in keys] or [F.lit(1)]
-                df = df.withColumn("_n", F.row_number().over(Window.partitionBy(*cols).orderBy(*latest))).where("_n = 1").drop("_n")
+                groups.append([m.scope.compile(k)[0] for k in keys])
         for var in dict.fromkeys(a.var for a in _actions(r.actions) if isinstance(a, (S.Update, S.Retract))):
             if var in m.facts and len(m.facts) > 1:
-                fid = mangled(var, FID)
-                df = df.withColumn("_n", F.row_number().over(Window.partitionBy(fid).orderBy(*latest))).where("_n = 1").drop("_n")
-        return df
+                groups.append([F.col(mangled(var, FID))])
+        for i, cols in enumerate(groups):
+            if i:
+                df = df.where("_nth = 1").drop("_nth")
+            if cols:
+                df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*cols).orderBy(*latest)))
+            else:  # any of them cancels all others: the latest alone
+                df = df.orderBy(*latest).limit(1).withColumn("_nth", F.lit(1))
+        return df.withColumn("_cut", F.lit(True)) if len(groups) > 1 or any(not g for g in groups) else df
 
     def _fire_rule(self, r: S.Rule, budget: int | None, exact: bool) -> int:
         m, state = self._pending(r), self._state(r)
         if m is None:
             return 0
         df = self._one_each(r, m, m.df)
+        cut = "_cut" in df.columns
+        nth = F.col("_nth") == 1 if "_nth" in df.columns else F.lit(True)
         single = r.activation_group or exact or any(isinstance(a, (S.Halt, S.Focus)) for a in _actions(r.actions))
-        whole = df is m.df and len(r.groups) == 1 and not single
+        whole = not cut and len(r.groups) == 1 and not single
         if single:
-            df = df.orderBy(F.desc("_key")).limit(1)
-        if whole and budget is None and not self.hooks and r.name not in self.fired and _plain_insert(r.actions):
-            return self._fire_insert(r, m, state)
-        taken, found = measured(df.select(*self._used(r, m, df)), n=F.count(F.lit(1)))
-        n = found["n"]
+            df = df.where(nth).orderBy(F.desc("_key")).limit(1)
+        if whole and df is m.df and not self.hooks and r.name not in self.fired and _plain_insert(r.actions):
+            n = self._fire_insert(r, m, state, budget)
+            if n is not None:
+                return n
+        taken, found = measured(df.select(*self._used(r, m, df), nth.alias("_first")), n=F.count_if("_first"), all=F.count(F.lit(1)))
+        taken, n = taken.where("_first").drop("_first"), found["n"]
         if not n:
             return 0
+        whole = whole and n == found["all"]  # none waits for what these do
         self._tell("created", r.name, n)
         if budget is not None and n > budget:  # the latest matches; the others wait
             taken, n, whole = settle(taken.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))), budget, False
@@ -411,9 +431,10 @@ class Session:
                             self._tell("retracted", other.name, found["n"])
         return n
 
-    def _fire_insert(self, r: S.Rule, m: Match, state: tuple) -> int:
+    def _fire_insert(self, r: S.Rule, m: Match, state: tuple, budget: int | None) -> int | None:
         """All matches of a rule that only inserts one fact each, in one job: the matches themselves are not written.
 
+        None, and nothing changed, if they are more than the budget.
         Which have fired is remembered as the plan that found them, over tables that
         do not change; it is written if the rule comes to be asked again.
         """
@@ -424,6 +445,9 @@ class Session:
             self._restore(before)
             raise RuleError(f"rule {r.name!r}: {e}") from e
         n = self.memory.added
+        if budget is not None and n > budget:
+            self._restore(before)
+            return None
         if n:
             keys = m.df.select("_key", "_vers", "_group")
             self._remember(self.fired, r.name, keys)
@@ -484,7 +508,7 @@ class Session:
         for g in r.groups:
             for p in g:
                 seen.update((self.kb.resolve(t), wants, denies) for t, wants, denies in self._reads(p))
-        return (self.now, *sorted((t, types.lost.get(t, 0) if wants else -1, types.gained.get(t, 0) if denies else -1) for t, wants, denies in seen))
+        return (self._clock(r), *sorted((t, types.lost.get(t, 0) if wants else -1, types.gained.get(t, 0) if denies else -1) for t, wants, denies in seen))
 
     def _settle_logical(self) -> None:
         """Retracts logical facts whose match is gone, until none is left to go.
