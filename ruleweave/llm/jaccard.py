@@ -183,14 +183,15 @@ def sweep(k: np.ndarray, span: np.ndarray, node: np.ndarray) -> tuple[np.ndarray
     return opens, first, top - run
 
 
-def _prefixes(counts, sets_of: SetsOf):
+def _prefixes(counts, reps, sets_of: SetsOf):
     """Per batch and shingle: a row (k, span, a) for each segment of sizes, and edges (k = b, span = -1, a) to its classes."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, spans, nodes = [], [], []
-            for s in sets_of(batch.column(0)):
+            batch = batch.filter(pa.array(reps.value.test(batch.column(0).to_numpy())))
+            for s in sets_of(batch.column(1)):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 if len(seen) > SEEN:
@@ -352,9 +353,11 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows = profile.where("block is null").drop("block", "counts")
     counts = sc.broadcast(_table(spark, profile))  # of a fixed size: 2^SKETCH_LOG2 bytes
 
-    edges = docs.select("_text").mapInArrow(_prefixes(counts, sets_of), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
+    # One text speaks for each class; the bit table lets few others through.
+    classes = cut(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.min(F.struct(F.col("_key").isNull(), "_key", "_rid")).alias("_one"), F.first("n").alias("n")))
+    reps = sc.broadcast(bitset(classes, "_rep"))
+    edges = docs.select("_rid", "_text").mapInArrow(_prefixes(counts, reps, sets_of), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
     regions = components(edges)
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.min(F.struct(F.col("_key").isNull(), "_key", "_rid")).alias("_one"), F.first("n").alias("n"))
     members = cut(classes.join(regions, classes.d1 == regions.node).select("root", "_rep", "n"))
     links = region_links(docs, members, sets_of)
     roots = cut(components(links))
