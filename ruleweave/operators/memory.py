@@ -1,4 +1,9 @@
-"""Working memory: one immutable DataFrame for each fact type, replaced as a whole."""
+"""Working memory: one immutable DataFrame for each fact type.
+
+Inserted facts are a part of their own.  A change or retraction is written alone
+and joined as the type is read, while such changes are small and few; then, or if
+it is large, the type is written anew.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,8 @@ SYSTEM = T.StructType([T.StructField(FID, T.LongType()), T.StructField(VERSION,
 _own: list[str] = []
 #: Inserts after which a type's parts are written as one table.
 MERGE = 16
+#: Bytes of retracted ids or changed fields that are small enough to be sent to every task, and how many such changes a type takes.
+SMALL, DELTAS = 8 << 20, 6
 #: Ids that an insert may span before they are given anew without gaps: a partition's rows take 2^33 of them.
 SPARSE = 1 << 45
 
@@ -82,6 +89,7 @@ class Memory:
         self.spark, self.types, self.next_id, self._parts = spark, _Counted(), 1, {}
         self._unread: list[DataFrame] = []
         self._empty: set[str] = set()
+        self._changes: dict[str, int] = {}
         self.added = 0
 
     def schema_of(self, name: str) -> T.StructType | None:
@@ -178,9 +186,20 @@ class Memory:
 
     def remove(self, name: str, ids: DataFrame) -> None:
         """Retracts the facts whose ids are in the one column of ``ids``."""
-        gone = ids.toDF("_gone").distinct()
-        df = self.types[name]
-        self.types.put(name, settle(df.join(gone, df[FID] == F.col("_gone"), "left_anti")), gained=False)
+        gone, found = measured(ids.toDF("_gone").distinct(), n=F.count(F.lit(1)))
+        if not found["n"]:
+            return
+        df, small = self.types[name], found["n"] * 8 <= SMALL
+        left = df.join(F.broadcast(gone) if small else gone, df[FID] == F.col("_gone"), "left_anti")
+        self.types.put(name, self._later(name, left, small), gained=False)
+
+    def _later(self, name: str, df: DataFrame, small: bool) -> DataFrame:
+        """A type after a change: a few small ones are joined as it is read, then it is written anew."""
+        self._changes[name] = self._changes.get(name, 0) + 1
+        if small and self._changes[name] < DELTAS:
+            return df
+        self._changes[name] = 0
+        return settle(df)
 
     def update(self, name: str, changes: DataFrame) -> None:
         """``changes``: _fid, and for each changed field f a column f and a flag _set_f.
@@ -190,8 +209,11 @@ class Memory:
         """
         df = self.types[name]
         fields = [c for c in changes.columns if c != FID and not c.startswith("_set_")]
-        new = changes.select(F.col(FID).alias("_id"), *[F.col(f).alias(f"_new_{f}") for f in fields], *[F.col(f"_set_{f}") for f in fields])
-        both = df.join(new, df[FID] == F.col("_id"), "left")
+        new, found = measured(changes.select(F.col(FID).alias("_id"), *[F.col(f).alias(f"_new_{f}") for f in fields], *[F.col(f"_set_{f}") for f in fields]), n=F.count(F.lit(1)), size=F.sum(_weight(fields)))
+        if not found["n"]:
+            return
+        small = (found["size"] or 0) <= SMALL
+        both = df.join(F.broadcast(new) if small else new, df[FID] == F.col("_id"), "left")
         moved = F.lit(False)
         cols = []
         for f in df.schema.fields:
@@ -202,4 +224,12 @@ class Memory:
                 cols.append(F.when(given, value).otherwise(F.col(f.name)).alias(f.name))
             elif f.name != VERSION:
                 cols.append(F.col(f"`{f.name}`"))
-        self.types[name] = settle(both.select(*cols, (F.col(VERSION) + moved.cast("long")).alias(VERSION)))
+        self.types[name] = self._later(name, both.select(*cols, (F.col(VERSION) + moved.cast("long")).alias(VERSION)), small)
+
+
+def _weight(fields: list[str]) -> Column:
+    """About the bytes of a row of changes."""
+    out = F.lit(16)
+    for f in fields:
+        out = out + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"_new_{f}")))), F.lit(0))
+    return out

@@ -13,11 +13,14 @@ its facts changes.  Logical facts live as long as a match that justifies them.
 
 from __future__ import annotations
 
+import difflib
+import inspect
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, is_dataclass
 from dataclasses import fields as fields_of
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,8 @@ from ..plans.match import ROUTE, VERSION, Match, Planner, PlanError, output, str
 from .memory import MERGE, Memory, measured, settle
 
 WHILE_CAP = 1000
+# How many functions a session takes, and arguments a call.
+MAX_FUNCTIONS, MAX_ARGUMENTS = 256, 16
 #: Turns of a loop of updates that one job makes.
 UNROLL = 8
 MAIN = "MAIN"
@@ -83,6 +88,7 @@ class KnowledgeBase:
         self.rules = [r for r in self.program.rules if r.enabled]
         for q in [p for r in self.program.rules for g in r.groups for p in g] + [p for q in self.program.queries.values() for p in q.patterns]:
             self._known(q)
+            self._fields(q)
 
     def _inherit(self, r: S.Rule, seen: tuple[str, ...]) -> None:
         """Puts the parent's first group before each group of the child, once."""
@@ -107,6 +113,25 @@ class KnowledgeBase:
         if isinstance(p.source, S.Accumulate):
             self._known(p.source.source)
 
+    def _fields(self, p: S.Pattern) -> None:
+        """Fields that a pattern reads of its own fact must be declared, where its type is."""
+        for inner in [*p.inner, *([p.source.source] if isinstance(p.source, S.Accumulate) else [])]:
+            self._fields(inner)
+        want = self.schemas.get(self.resolve(p.type)) if p.type and p.source is None else None
+        if want is None:
+            return
+        for part in conjuncts(p.test):
+            for ref in (x for x in _parts(part) if isinstance(x, S.Ref) and x.var is None and x.steps):
+                name = ref.steps[0]
+                if name not in want.names and name != "this" and name not in self.program.globals and not any(name in v for v in self.program.enums.values()):
+                    near = difflib.get_close_matches(str(name), want.names, 1)
+                    raise scalar.ExpressionError(f"{p.type} has no field {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
+
+    def patterns(self) -> list[str]:
+        """The literal regular expressions of conditions."""
+        parts = _parts([[r.groups for r in self.program.rules], [q.patterns for q in self.program.queries.values()]])
+        return [x.b.value for x in parts if isinstance(x, S.Bin) and x.op.endswith("matches") and isinstance(x.b, S.Lit) and isinstance(x.b.value, str)]
+
     def resolve(self, name: str) -> str:
         """The type that a name stands for: itself, or the one that ends in it; more than one is an error."""
         if name in self.schemas:
@@ -146,9 +171,34 @@ class Session:
         self.focus: list[str] = []
         self.outputs: dict[str, DataFrame] = {}
         self.wall = True
+        self._check_bindings()
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)
 
+    def _check_bindings(self) -> None:
+        """What is wrong with patterns of ``matches`` and with the host's functions is said at once, not at the first run."""
+        for text in self.kb.patterns():
+            try:
+                self.spark._jvm.java.util.regex.Pattern.compile(text)
+            except Py4JJavaError as e:
+                raise PlanError(f"bad pattern {text!r}: {e.java_exception.getMessage()}") from None
+        if len(self.functions) > MAX_FUNCTIONS:
+            raise PlanError(f"more than {MAX_FUNCTIONS} functions")
+        for r in self.kb.program.rules:
+            for a in _actions(r.actions):
+                if isinstance(a, S.Call) and a.name in self.functions:
+                    self._check_call(r.name, a)
+
+    def _check_call(self, rule: str, a: S.Call) -> None:
+        if len(a.args) > MAX_ARGUMENTS:
+            raise PlanError(f"rule {rule!r}: {a.name} has more than {MAX_ARGUMENTS} arguments")
+        try:
+            inspect.signature(self.functions[a.name]).bind(*a.args)
+        except TypeError as e:
+            raise PlanError(f"rule {rule!r}: {a.name}: {e}") from None
+        except ValueError:
+            pass  # a built-in without a signature
+
     # --- facts
 
     def insert(self, name: str, df: DataFrame, entry_point: str | None = None, order: list[str] | None = None) -> DataFrame:
@@ -223,6 +273,7 @@ class Session:
     def reload(self, kb: KnowledgeBase) -> None:
         """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
         self.kb = kb
+        self._check_bindings()
         self.idle, self.checked = {}, {}
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)

@@ -308,3 +308,34 @@ def test_within_by_buckets(spark, monkeypatch):
     by_bucket = sorted((r.a.value, r.b.value) for r in s.query("q").collect())
     monkeypatch.setattr(Planner, "_join_within", lambda *a: None)
     assert sorted((r.a.value, r.b.value) for r in s.query("q").collect()) == by_bucket and len(by_bucket) > 50
+
+
+def test_faults_are_found_at_load(spark):
+    with pytest.raises(ExpressionError, match="no field 'nope'"):
+        KnowledgeBase(TYPES + 'rule "r" when not Customer(nope == 1) then end')
+    with pytest.raises(PlanError, match="bad pattern"):
+        Session(KnowledgeBase(TYPES + 'query "q" $c: Customer(name matches "(?P<a>x)") end'), spark)
+    kb = KnowledgeBase(TYPES + 'rule "r" when $c: Customer() then call "f"($c.id, $c.limit) into $x insert Done { id = 1 } end')
+    with pytest.raises(PlanError, match="f: "):
+        Session(kb, spark, {"f": lambda a: a})
+    with pytest.raises(PlanError, match="256"):
+        Session(kb, spark, {f"g{i}": abs for i in range(257)})
+
+
+def test_many_small_changes(spark):
+    """Changes that wait and changes that are written give the same facts."""
+    s = session(spark, "", {"Customer": [{"id": i, "limit": 0, "name": "n"} for i in range(20)]})
+    want = {i: 0 for i in range(20)}
+    for turn in range(9):
+        if turn % 3 == 2:
+            s.retract("Customer", F.col("id") == turn)
+            want.pop(turn)
+        else:
+            ids = s.memory.types["Customer"].where(F.col("id") % 4 == turn % 4).select("_fid", F.lit(turn).cast("long").alias("limit"), F.lit(True).alias("_set_limit"))
+            s.memory.update("Customer", ids)
+            want = {i: turn if i % 4 == turn % 4 else v for i, v in want.items()}
+        if turn == 4:
+            s.insert_rows("Customer", [{"id": 50, "limit": 7}])
+            want[50] = 7
+    assert {r.id: r.limit for r in s.facts("Customer").collect()} == want
+    assert s.count("Customer") == len(want)
