@@ -21,6 +21,7 @@ from dataclasses import dataclass, field, is_dataclass
 from dataclasses import fields as fields_of
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,8 +181,8 @@ class Session:
         for text in self.kb.patterns():
             try:
                 self.spark._jvm.java.util.regex.Pattern.compile(text)
-            except Py4JJavaError as e:
-                raise PlanError(f"bad pattern {text!r}: {e.java_exception.getMessage()}") from None
+            except (IllegalArgumentException, Py4JJavaError) as e:
+                raise PlanError(f"bad pattern {text!r}: {str(e).splitlines()[0]}") from None
         if len(self.functions) > MAX_FUNCTIONS:
             raise PlanError(f"more than {MAX_FUNCTIONS} functions")
         for r in self.kb.program.rules:
