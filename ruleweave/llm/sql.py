@@ -1,5 +1,25 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+#: CRC32 from its table of 256 entries, made by its polynomial; bytes come as hex digits.
+OP1 = """
+WITH RECURSIVE
+t(b, c, k) AS (
+  SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, size, CASE WHEN size = 16 THEN 0 ELSE xor(4294967295, list_reduce(
+      list_transform(range(size - 16), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)),
+      lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), CAST(4294967295 AS BIGINT))) END AS text_crc32
+  FROM d, tab),
+p AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM c),
+s AS (SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS DOUBLE) AS grown_shard
+FROM s
+"""
+
 OP4 = r"""
 WITH l AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
@@ -90,4 +110,4 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-SQL = {"op9_neighbours": OP9, "op6_jaccard": OP6, "op10_substrings": OP10, "op2_secrets": OP2, "op4_line_dedup": OP4}
+SQL = {"op1_shard": OP1, "op9_neighbours": OP9, "op6_jaccard": OP6, "op10_substrings": OP10, "op2_secrets": OP2, "op4_line_dedup": OP4}
