@@ -97,6 +97,7 @@ rules("X3_custom_aggregate", 'rule "r" when $c: Customer() $n: Number() from acc
 rules("J10_or_groups", 'rule "r" when $o: Order(o_totalprice > 200000) or $o: Order(o_orderpriority == "1-URGENT") then insert Signal { key = $o.o_orderkey, kind = "either", score = 1 } end', ("Order",), shown("Signal", "key", "kind"), "SELECT o_orderkey AS key, 'either' AS kind FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'either' FROM orders WHERE o_orderpriority = '1-URGENT'")
 rules("J12_extends", 'rule "base" when $c: Customer(c_acctbal > 8000) then insert Signal { key = $c.c_custkey, kind = "rich", score = 1 } end rule "r" extends "base" when $o: Order(o_custkey == $c.c_custkey) then insert Signal { key = $o.o_orderkey, kind = "order of a rich one", score = 2 } end', ("Order", "Customer"), shown("Signal", "key", "kind", "score"), "SELECT c_custkey AS key, 'rich' AS kind, CAST(1 AS BIGINT) AS score FROM customer WHERE c_acctbal > 8000 UNION ALL SELECT o_orderkey, 'order of a rich one', 2 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 8000")
 rules("C13_annotations", '@role(event) @author("x") rule "r" when $c: Customer(c_acctbal < 0) then insert Signal { key = $c.c_custkey, kind = "r", score = 1 } end', ("Customer",), shown("Signal", "key"), "SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0")
+rules("C10_duration", 'rule "r" duration 86400000 when $e: Event(event_type == "purchase") then insert Signal { key = $e.event_id, kind = "old", score = 1 } end', ("Event",), shown("Signal", "key"), "SELECT event_id AS key FROM events WHERE event_type = 'purchase' AND epoch_us(ts) // 1000 + 86400000 <= 1705500000000", now=1705500000000)
 
 
 def reset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ it is large, the type is written anew.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ from ..plans.match import ROUTE, VERSION
 
 SYSTEM = T.StructType([T.StructField(FID, T.LongType()), T.StructField(VERSION, T.LongType()), T.StructField(ROUTE, T.StringType())])
 _own: list[str] = []
+_written: list[str] = []
 #: Inserts after which a type's parts are written as one table.
 MERGE = 16
 #: Bytes of retracted ids or changed fields that are small enough to be sent to every task, and how many such changes a type takes.
@@ -34,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="ruleweave-wm-"))
+            folder = tempfile.mkdtemp(prefix="ruleweave-wm-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append("file://" + folder)
         found = _own[0]
     return found.rstrip("/")
 
@@ -43,9 +48,20 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that plans do not grow from round to round."""
     path = f"{shared_dir(df.sparkSession)}/ruleweave-wm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes every table that sessions of this driver have written; for when nothing reads their facts any more."""
+    jvm = spark.sparkContext._jvm
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def measured(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
     """``df`` settled, with aggregates over its rows from the same job."""
     seen = Observation()

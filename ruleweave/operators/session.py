@@ -357,7 +357,7 @@ class Session:
 
     def _clock(self, r: S.Rule):
         """The time as far as a rule reads it: through windows of time, which without an event time follow the wall clock."""
-        timed = any(isinstance(x, S.Span) and x.kind == "time" for x in _parts([r.groups, [self.kb.program.queries[p.name] for g in r.groups for p in g if p.kind == "call"]]))
+        timed = bool(r.duration) and self.now is not None or any(isinstance(x, S.Span) and x.kind == "time" for x in _parts([r.groups, [self.kb.program.queries[p.name] for g in r.groups for p in g if p.kind == "call"]]))
         return None if not timed else self.now if self.now is not None else time.time()
 
     def _reads(self, p: S.Pattern, denied: bool = False):
@@ -396,7 +396,7 @@ class Session:
     def _pending(self, r: S.Rule, index: int | None = None) -> Match | None:
         """Matches that have not fired; of rules with several groups, those of the first that has any."""
         for i, m in enumerate(self._matches(r)):
-            df = m.df.withColumn("_group", F.lit(i))
+            df = self._ripe(r, m, m.df.withColumn("_group", F.lit(i)))
             if r.name in self.lazy:
                 self.lazy.discard(r.name)
                 self.fired[r.name] = settle(self.fired[r.name])
@@ -413,6 +413,17 @@ class Session:
                 return m
         return None
 
+    def _ripe(self, r: S.Rule, m: Match, df: DataFrame) -> DataFrame:
+        """Of a rule with a duration the matches that are as old by event time: since the latest of their facts.
+
+        Without an event time, or facts with a timestamp, nothing is delayed.
+        """
+        stamps = [F.col(mangled(b, "timestamp")) for b in m.facts if mangled(b, "timestamp") in df.columns]
+        if not r.duration or self.now is None or not stamps:
+            return df
+        born = F.greatest(*stamps) if len(stamps) > 1 else stamps[0]
+        return df.where(born.isNull() | (born + r.duration <= self.now))
+
     def _one_each(self, r: S.Rule, m: Match, df: DataFrame) -> DataFrame:
         """Of matches that would cancel each other the latest has ``_nth`` 1; without such matches no column is added."""
         latest = [F.desc("_key")]

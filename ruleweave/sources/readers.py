@@ -6,6 +6,8 @@ a plan needs; columns of documents are parsed where they lie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +125,18 @@ def serialise(df: DataFrame, form: str, name: str = "document") -> DataFrame:
     raise ValueError(f"unknown form {form!r}")
 
 
+def chunks(df: DataFrame, form: str, size: int = 1 << 16) -> Iterator[bytes]:
+    """The rows' texts, a line each, in pieces of ``size`` bytes; the driver holds one partition and one piece at a time."""
+    held = bytearray()
+    for (text,) in serialise(df, form).toLocalIterator(prefetchPartitions=True):
+        held += (text or "").encode() + b"\n"
+        while len(held) >= size:
+            yield bytes(held[:size])
+            del held[:size]
+    if held:
+        yield bytes(held)
+
+
 def write(df: DataFrame, path: str, form: str, **options) -> None:
     writer = df.write.options(**options)
     writer.format(form).save(path)

@@ -339,3 +339,38 @@ def test_many_small_changes(spark):
             want[50] = 7
     assert {r.id: r.limit for r in s.facts("Customer").collect()} == want
     assert s.count("Customer") == len(want)
+
+
+def test_pool(spark):
+    from ruleweave.operators.pool import SessionPool
+
+    pool = SessionPool(KnowledgeBase(TYPES + 'rule "r" when $c: Customer() then insert Done { id = $c.id } end'), spark, 2)
+    with pool.session() as a, pool.session() as b:
+        a.insert_rows("Customer", [{"id": 1}])
+        assert a is not b and a.fire() == 1 and b.count() == 0 and pool.free == 0
+        with pytest.raises(TimeoutError):
+            pool.acquire(timeout=0.01)
+    assert pool.free == 2
+    with pool.session() as c:
+        assert c.count() == 0
+    with pytest.raises(ValueError):
+        pool.release(a)
+
+
+def test_duration_by_event_time(spark):
+    s = session(spark, 'rule "r" duration 100 when $e: Event() then insert Out { id = $e.id } end', {"Event": [{"id": 1, "timestamp": 1000}, {"id": 2, "timestamp": 1050}, {"id": 3}]}, now=1100)
+    ids = lambda: sorted(r.id for r in s.facts("Out").collect())
+    assert ids() == [1, 3]
+    s.now = 1149
+    assert s.fire() == 0
+    s.now = 1150
+    assert s.fire() == 1 and ids() == [1, 2, 3]
+
+
+def test_sweep(spark):
+    from ruleweave.operators import memory as M
+
+    s = session(spark, "", {"Done": [{"id": 1}]})
+    assert s.count("Done") == 1 and M.sweep(spark) > 0 and M.sweep(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|FAILED_READ_FILE"):
+        s.facts("Done").collect()

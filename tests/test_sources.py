@@ -115,3 +115,14 @@ def test_tables_in_place(spark):
     s.fire()
     assert sorted(r.id for r in s.facts("Item").collect()) == [1, 7]
     assert s.memory.types["Item"].agg(F.max("_fid")).first()[0] > 10
+
+
+def test_chunks(spark):
+    from ruleweave.sources.readers import chunks
+
+    df = spark.range(500).selectExpr("id", "concat('é', id) AS name").repartition(3)
+    pieces = list(chunks(df, "json", 100))
+    assert all(len(p) == 100 for p in pieces[:-1]) and 0 < len(pieces[-1]) <= 100
+    rows = [json.loads(line) for line in b"".join(pieces).decode().splitlines()]
+    assert sorted((r["id"], r["name"]) for r in rows) == [(i, f"é{i}") for i in range(500)]
+    assert list(chunks(df.limit(0), "json")) == []
