@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN_DIR.setdefault("dir", "")
         if not found:
-            found = _OWN_DIR["dir"] = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
+            folder = tempfile.mkdtemp(prefix="ruleweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = _OWN_DIR["dir"] = "file://" + folder
     return found.rstrip("/")
 
 
@@ -39,17 +44,32 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ruleweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/ruleweave-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def written() -> int:
+    """How many tables ``cut`` has written: a mark for ``drop_since``."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables written after a mark but the last one, which is the result that was made of them."""
+    for name in _WRITTEN[mark:-1]:
+        _delete(spark, name)
+    del _WRITTEN[mark:-1]
 
 
 def partitions(spark: SparkSession) -> int:
