@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import jaccard, lines, packing, secrets, toxicity
-from ruleweave.llm.common import cut, drop_cut, fresh, read
+from ruleweave.llm.common import cut, drop_since, fresh, read, written
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 1, 2048
 
@@ -70,10 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    before = None
+    mark = written()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
-        if before is not None:
-            drop_cut(before)  # only the newest stage's table is read from here on
-        before = docs
+        drop_since(spark, mark)  # only the newest stage's table is read from here on
     return STAGES[-1][1](spark, docs, sf_dir)
