@@ -74,16 +74,18 @@ def measured(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
 
 
 class _Counted(dict):
-    """Types by name; counts how often each may have gained facts and may have lost some."""
+    """Types by name; counts how often each may have gained facts, may have lost some, and may hold other facts under old ids."""
 
     def __init__(self, *args):
         super().__init__(*args)
         self.gained: dict[str, int] = {}
         self.lost: dict[str, int] = {}
+        self.edited: dict[str, int] = {}
 
     def put(self, name: str, df: DataFrame, gained: bool = True, lost: bool = True) -> None:
         self.gained[name] = self.gained.get(name, 0) + gained
         self.lost[name] = self.lost.get(name, 0) + lost
+        self.edited[name] = self.edited.get(name, 0) + (gained and lost)
         super().__setitem__(name, df)
 
     def __setitem__(self, name: str, df: DataFrame) -> None:
@@ -134,6 +136,7 @@ class Memory:
         """Facts with ids of their own that stay where they are; the ids are looked at when new ones are given out."""
         self._unread.append(facts.select(FID))
         self._put(name, facts)
+        self.types.edited[name] = self.types.edited.get(name, 0) + 1  # their ids may be below others'
 
     def read_ids(self) -> None:
         """Ids that are given out from now on follow those of registered facts."""

@@ -168,6 +168,7 @@ class Session:
         self.lazy: set[str] = set()  # rules whose fired matches are a plan so far
         self.parts: dict[tuple[int, str], int] = {}
         self.idle: dict[str, tuple] = {}
+        self.upto: dict[str, tuple] = {}
         self.logical: list[tuple[str, str, int, DataFrame]] = []
         self.focus: list[str] = []
         self.outputs: dict[str, DataFrame] = {}
@@ -237,7 +238,7 @@ class Session:
     def set_global(self, name: str, value) -> None:
         if name not in self.kb.program.globals:
             raise RuleError(f"no global {name!r}")
-        self.idle, self.checked = {}, {}
+        self.idle, self.checked, self.upto = {}, {}, {}
         self.globals[name] = value
 
     def facts(self, name: str) -> DataFrame:
@@ -275,7 +276,7 @@ class Session:
         """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
         self.kb = kb
         self._check_bindings()
-        self.idle, self.checked = {}, {}
+        self.idle, self.checked, self.upto = {}, {}, {}
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)
 
@@ -397,6 +398,12 @@ class Session:
         """Matches that have not fired; of rules with several groups, those of the first that has any."""
         for i, m in enumerate(self._matches(r)):
             df = self._ripe(r, m, m.df.withColumn("_group", F.lit(i)))
+            mark = self.upto.get(r.name)
+            if mark is not None and mark[1] == self._edits(r):
+                # All that earlier facts make has fired: a match of now has a later fact.
+                ids = [F.col(mangled(b, FID)) for b in m.facts]
+                m.df, m.index = df.where((F.greatest(*ids) if len(ids) > 1 else ids[0]) >= mark[0]), i
+                return m
             if r.name in self.lazy:
                 self.lazy.discard(r.name)
                 self.fired[r.name] = settle(self.fired[r.name])
@@ -413,6 +420,17 @@ class Session:
                 return m
         return None
 
+    def _edits(self, r: S.Rule) -> tuple | None:
+        """Of a rule whose matches only come with new facts: how often its facts were changed in place.  None for others.
+
+        Retractions take matches away and give none.
+        """
+        plain = all(p.kind == "eval" or p.kind == "fact" and p.source is None and p.window is None for g in r.groups for p in g)
+        if not plain or len(r.groups) != 1 or r.no_loop or r.lock_on_active or r.activation_group or r.duration:
+            return None
+        kinds = {self.kb.resolve(p.type) for p in r.groups[0] if p.kind == "fact"}
+        return tuple((k, self.memory.types.edited.get(k, 0)) for k in sorted(kinds)) or None
+
     def _ripe(self, r: S.Rule, m: Match, df: DataFrame) -> DataFrame:
         """Of a rule with a duration the matches that are as old by event time: since the latest of their facts.
 
@@ -447,6 +465,10 @@ class Session:
         return df.withColumn("_cut", F.lit(True)) if len(groups) > 1 or any(not g for g in groups) else df
 
     def _fire_rule(self, r: S.Rule, budget: int | None, exact: bool) -> int:
+        edits = self._edits(r)
+        if edits is not None:
+            self.memory.read_ids()
+        begin = self.memory.next_id, edits
         m, state = self._pending(r), self._state(r)
         if m is None:
             return 0
@@ -460,10 +482,13 @@ class Session:
         if whole and df is m.df and not self.hooks and r.name not in self.fired and _plain_insert(r.actions):
             n = self._fire_insert(r, m, state, budget)
             if n is not None:
+                self._all_fired(r, begin)
                 return n
         taken, found = measured(df.select(*self._used(r, m, df), nth.alias("_first")), n=F.count_if("_first"), all=F.count(F.lit(1)))
         taken, n = taken.where("_first").drop("_first"), found["n"]
         if not n:
+            if not single:
+                self._all_fired(r, begin)
             return 0
         whole = whole and n == found["all"]  # none waits for what these do
         self._tell("created", r.name, n)
@@ -480,6 +505,9 @@ class Session:
         self._remember(self.fired, r.name, keys)
         if whole:  # all that it could do until what it reads changes
             self.idle[r.name] = state
+            self._all_fired(r, begin)
+        else:
+            self.upto.pop(r.name, None)
         if r.no_loop:
             self._remember(self.blocked, r.name, keys.select("_key", "_group"))
         self._tell("after", r.name, n)
@@ -520,6 +548,11 @@ class Session:
                 self._remember(self.blocked, r.name, keys.select("_key", "_group"))
         return n
 
+    def _all_fired(self, r: S.Rule, begin: tuple) -> None:
+        """Nothing that the facts before ``begin`` make is left to fire."""
+        if begin[1] is not None:
+            self.upto[r.name] = begin
+
     def _saved(self) -> tuple:
         return dict(self.memory.types), self.memory.next_id, list(self.logical)
 

@@ -294,7 +294,7 @@ class ContinuousSession:
         if self.log is not None and self.log.size >= self.config.max_replay_steps:
             self._over("the log of operations is full")
         s = self.session
-        before = (dict(s.memory.types), s.memory.next_id, list(s.logical), dict(s.fired), set(s.lazy), list(self.parts))
+        before = (dict(s.memory.types), s.memory.next_id, list(s.logical), dict(s.fired), set(s.lazy), dict(s.idle), dict(s.upto), list(self.parts))
         try:
             active, known, expired = change()
             fired = s.fire(self.config.max_rules_per_step)
@@ -305,7 +305,7 @@ class ContinuousSession:
                 self.log.write(**operation)
         except Exception as e:
             s.memory.types.restore(before[0])
-            s.memory.next_id, s.logical, s.fired, s.lazy, self.parts = before[1:]
+            s.memory.next_id, s.logical, s.fired, s.lazy, s.idle, s.upto, self.parts = before[1:]
             if not isinstance(e, StepRejected):
                 self.metrics.failed_steps += 1
             raise

@@ -374,3 +374,29 @@ def test_sweep(spark):
     assert s.count("Done") == 1 and M.sweep(spark) > 0 and M.sweep(spark) == 0
     with pytest.raises(Exception, match="(?i)exist|FAILED_READ_FILE"):
         s.facts("Done").collect()
+
+
+@pytest.mark.parametrize("body", ["$o: Order(amount > 3)", "$c: Customer(limit > 2) $o: Order(customerId == $c.id)", "$o: Order() eval($o.amount > 4)"])
+def test_later_facts_alone_are_matched(spark, monkeypatch, body):
+    """With and without the mark up to which all has fired, inserts, changes, retractions and budgets fire the same."""
+    import random
+
+    def run():
+        rng = random.Random(body)
+        s = session(spark, f'rule "r" when {body} then insert Out {{ id = $o.id, number = $o.amount }} end', {"Customer": [{"id": i, "limit": i} for i in range(5)]}, fire=False)
+        fired = []
+        for turn in range(7):
+            s.insert_rows("Order", [{"id": 10 * turn + i, "customerId": rng.randrange(6), "amount": float(rng.randrange(9))} for i in range(4)])
+            if turn == 2:
+                s.insert_rows("Customer", [{"id": 5, "limit": 9}])
+            if turn == 3:
+                s.retract("Order", F.col("id") < 12)
+            if turn == 4:
+                ids = s.memory.types["Order"].where("id % 2 = 0").select("_fid", (F.col("amount") + 5).alias("amount"), F.lit(True).alias("_set_amount"))
+                s.memory.update("Order", ids)
+            fired.append(s.fire(max_rules=2 if turn in (1, 5) else -1))
+        return fired, sorted((r.id, r.number) for r in s.facts("Out").collect())
+
+    marked = run()
+    monkeypatch.setattr(Session, "_all_fired", lambda *a: None)
+    assert run() == marked and sum(marked[0]) == len(marked[1]) > 10

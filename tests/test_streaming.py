@@ -183,3 +183,14 @@ def test_a_failing_sink_loses_nothing(spark, tmp_path):
             session = ContinuousSession.recover(KnowledgeBase(TEXT), spark, log, config)
     assert sorted(v for x in got.values() for v in x) == [9, 10, 11]
     assert session.query("events").count() == 6 and not session.pending
+
+
+def test_a_failed_step_is_made_up_for(spark):
+    """What fired in a step that fails fires again, also on facts that were there before."""
+    text = TEXT + 'rule "s" salience -1 when $o: Out(value == 9) then insert Out { value = 1 / ($o.value - 9) } end'
+    s = ContinuousSession(KnowledgeBase(text), spark, Config(output_types=("Out",)))
+    s.session.insert_rows("Event", [{"value": 6, "timestamp": 1}])
+    with pytest.raises(Exception):
+        s.push("Event", events(spark, (1, 1, 9)))
+    b = s.push("Event", events(spark, (2, 2, 7)))
+    assert sorted(r.value for r in b.facts["Out"].collect()) == [6, 7]
