@@ -586,7 +586,15 @@ class Session:
         self.parts[place] = self.parts.get(place, 1) + 1
         table[name] = known.unionByName(keys)
         if self.parts[place] % MERGE == 0:
-            table[name] = settle(table[name])  # many small parts become one table
+            table[name] = settle(self._alive(name, table[name]))  # many small parts become one table
+
+    def _alive(self, name: str, keys: DataFrame) -> DataFrame:
+        """Without matches of facts that are gone for good, as far as ids tell: those below every id that is left."""
+        kinds = {self.kb.resolve(p.type) for g in self.kb.by_name[name].groups for p in g if p.kind == "fact" and p.source is None}
+        lows = [self.memory.types[k].agg(F.min(FID)).first()[0] for k in sorted(kinds)]  # one row for each type of the rule
+        if not lows or any(x is None for x in lows):
+            return keys
+        return keys.where(F.coalesce(F.array_min("_key") >= min(lows), F.lit(True)))
 
     # --- truth maintenance
 

@@ -17,7 +17,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compiler import FID
@@ -175,9 +175,11 @@ class ContinuousSession:
         fields = [(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(want[n].dataType if want is not None else df.schema[n].dataType).alias(n) for n in names]
         system = [(F.monotonically_increasing_id() + F.lit(memory.next_id)).alias(FID), F.lit(0).cast("long").alias(VERSION), F.lit(entry_point).cast("string").alias(ROUTE)]
         facts = df.select(*fields, *system, F.col(event_id).cast("string").alias("_event"), F.col(event_time).cast("long").alias("_time"))
-        new, found = measured(self._flagged(facts), total=F.count(F.lit(1)), duplicate=F.count_if(F.col("_bad") == "duplicate"), late=F.count_if(F.col("_bad") == "late"), future=F.count_if(F.col("_bad") == "future"), low=F.min(F.when(F.col("_bad").isNull(), F.col("_time"))), high=F.max(F.when(F.col("_bad").isNull(), F.col("_time"))), top=F.max(FID))
+        copies = F.col("_copies")
+        twice = F.when(F.col("_bad") == "duplicate", copies).otherwise(copies - 1)
+        new, found = measured(self._flagged(facts), total=F.coalesce(F.sum(copies), F.lit(0)), duplicate=F.coalesce(F.sum(twice), F.lit(0)), late=F.count_if(F.col("_bad") == "late"), future=F.count_if(F.col("_bad") == "future"), low=F.min(F.when(F.col("_bad").isNull(), F.col("_time"))), high=F.max(F.when(F.col("_bad").isNull(), F.col("_time"))), top=F.max(FID))
         n = self._admitted(found, strict)
-        good = new.where("_bad IS NULL").drop("_bad")
+        good = new.where("_bad IS NULL").drop("_bad", "_copies")
 
         def change():
             memory.take(name, good.drop("_event", "_time"), n, found["top"])
@@ -194,11 +196,11 @@ class ContinuousSession:
         return batch
 
     def _flagged(self, facts: DataFrame) -> DataFrame:
-        """With ``_bad``: what is wrong with an event, if anything is."""
+        """The first event of each id, with ``_copies``, how many there are, and ``_bad``: what is wrong with it, if anything is."""
         c = self.config
-        # The first of an id is kept; the window's partial limit bounds what a repeated id sends, and counts the rest.
-        order = Window.partitionBy("_event").orderBy(FID)
-        out = facts.withColumn("_bad", F.when(F.row_number().over(order) > 1, "duplicate"))
+        # Combined before the shuffle: an id that a third of the rows have sends one row from each task.
+        first = facts.groupBy("_event").agg(F.min_by(F.struct(*[F.col(f"`{x}`") for x in facts.columns]), FID).alias("_row"), F.count(F.lit(1)).alias("_copies"))
+        out = first.select("_row.*", "_copies").withColumn("_bad", F.lit(None).cast("string"))
         known = self._known()
         if known is not None:
             mark = known.select(F.col("_event").alias("_seen")).distinct()

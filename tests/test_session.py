@@ -400,3 +400,15 @@ def test_later_facts_alone_are_matched(spark, monkeypatch, body):
     marked = run()
     monkeypatch.setattr(Session, "_all_fired", lambda *a: None)
     assert run() == marked and sum(marked[0]) == len(marked[1]) > 10
+
+
+def test_fired_matches_of_lost_facts_are_forgotten(spark, monkeypatch):
+    import ruleweave.operators.session as M
+
+    monkeypatch.setattr(M, "MERGE", 2)
+    s = session(spark, 'rule "r" no-loop when $c: Customer() then insert Done { id = $c.id } end', {"Customer": [{"id": 1}]})
+    for i in range(2, 6):
+        s.retract("Customer", F.col("id") < i)
+        s.insert_rows("Customer", [{"id": i}])
+        assert s.fire() == 1 and s.fire() == 0
+    assert s.fired["r"].count() <= 2 and sorted(r.id for r in s.facts("Done").collect()) == [1, 2, 3, 4, 5]
