@@ -153,8 +153,8 @@ class Memory:
         new, found = measured(plan, n=F.count(F.lit(1)), top=F.max(FID))
         return self.take(name, new, found["n"], found["top"])
 
-    def take(self, name: str, new: DataFrame, n: int, top: int | None) -> DataFrame:
-        """Inserts facts that are settled already: n of them, the greatest id ``top``."""
+    def take(self, name: str, new: DataFrame, n: int, top: int | None, *aside: str) -> DataFrame:
+        """Inserts facts that are settled already: n of them, the greatest id ``top``; columns ``aside`` are not theirs."""
         self.added = n
         if not n and name in self.types:
             return new
@@ -162,7 +162,7 @@ class Memory:
             new, top = self._dense(new, n)
         if top is not None:
             self.next_id = max(self.next_id, top + 1)
-        self._put(name, new)
+        self._put(name, new.drop(*aside))
         return new
 
     def _dense(self, new: DataFrame, n: int) -> tuple[DataFrame, int]:

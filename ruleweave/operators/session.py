@@ -731,8 +731,9 @@ class Effects:
         if not a.logical:
             self.s.memory.add(kind, rows.drop("_just"), None, want)
             return df
-        new = settle(self.s.memory.prepared(rows.withColumn(FID, F.monotonically_increasing_id() + self.s.memory.next_id), T.StructType([*want.fields, T.StructField("_just", T.ArrayType(T.LongType()))]), None))
-        self.s.memory.add(kind, new.drop("_just", VERSION, ROUTE), None, want)
+        plan = self.s.memory.prepared(rows, T.StructType([*want.fields, T.StructField("_just", T.ArrayType(T.LongType()))]), None)
+        new, found = measured(plan, n=F.count(F.lit(1)), top=F.max(FID))
+        new = self.s.memory.take(kind, new, found["n"], found["top"], "_just")
         self.s.justify(self.rule, kind, self.m.index, new.select(FID, F.col("_just").alias("_key")))
         return df
 
