@@ -124,6 +124,15 @@ def rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.facts("Signal").select("key", "kind").unionByName(s.facts("Tier").select("key", F.lit("tier").alias("kind")))
 
 
+def rolled_back_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13, a match at a time: the matches that fail leave nothing, the others all that they do."""
+    text = 'rule "b" when $n: Nation() then insert Signal { key = $n.n_nationkey, kind = "before", score = 2 } insert Tier { key = $n.n_nationkey, name = "x", price = 60 / ($n.n_nationkey - 7) } end'
+    s = Session(KnowledgeBase(TYPES + "declare Nation n_nationkey: long n_regionkey: long end " + text), spark)
+    s.insert("Nation", table(spark, sf_dir, "Nation").selectExpr("CAST(n_nationkey AS BIGINT) AS n_nationkey", "CAST(n_regionkey AS BIGINT) AS n_regionkey"))
+    s.fire(isolate=True)
+    return s.facts("Signal").select("key", "kind").unionByName(s.facts("Tier").selectExpr("key", "CAST(CAST(price AS BIGINT) AS STRING) AS kind")).withColumn("failed", F.lit(len(s.failures)))
+
+
 def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single facts and batches of them; ids follow the order of arrival."""
     s = Session(KnowledgeBase(TYPES), spark)
@@ -133,10 +142,11 @@ def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.withColumn("_prev", F.lag("key").over(Window.orderBy("_fid"))).selectExpr("key", "kind", "coalesce(score, 0) AS score", "key < 0 OR key > _prev AS in_order")
 
 
-QUERIES |= {"C14_reset": reset, "M13_rollback": rolled_back, "S10_S11_inserts": inserted}
+QUERIES |= {"C14_reset": reset, "M13_rollback": rolled_back, "M13_isolated": rolled_back_alone, "S10_S11_inserts": inserted}
 SQL |= {
     "C14_reset": "SELECT c_custkey AS key FROM customer WHERE c_acctbal < -500",
     "M13_rollback": "SELECT c_custkey AS key, 'debt' AS kind FROM customer WHERE c_acctbal < 0",
+    "M13_isolated": "SELECT CAST(n_nationkey AS BIGINT) AS key, 'before' AS kind, CAST(1 AS INTEGER) AS failed FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT n_nationkey, CAST(CAST(trunc(60 / (n_nationkey - 7)) AS BIGINT) AS VARCHAR), 1 FROM nation WHERE n_nationkey <> 7",
     "S10_S11_inserts": "SELECT o_orderkey AS key, o_orderstatus AS kind, CAST(0 AS BIGINT) AS score, true AS in_order FROM orders UNION ALL SELECT -1, 'one', 5, true UNION ALL SELECT -2, 'two', 0, true",
 }
 

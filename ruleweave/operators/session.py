@@ -169,6 +169,7 @@ class Session:
         self.parts: dict[tuple[int, str], int] = {}
         self.idle: dict[str, tuple] = {}
         self.upto: dict[str, tuple] = {}
+        self.isolate, self.failures = False, []
         self.logical: list[tuple[str, str, int, DataFrame]] = []
         self.focus: list[str] = []
         self.outputs: dict[str, DataFrame] = {}
@@ -298,9 +299,13 @@ class Session:
     def set_focus(self, group: str) -> None:
         self.focus.append(group)
 
-    def fire(self, max_rules: int = -1, exact: bool = False) -> int:
-        """Fires to the fixpoint; gives the number of matches fired."""
-        total, self.halted = 0, False
+    def fire(self, max_rules: int = -1, exact: bool = False, isolate: bool = False) -> int:
+        """Fires to the fixpoint; gives the number of matches fired.
+
+        A match whose actions fail undoes its round and raises; with ``isolate`` it
+        alone is undone, told in ``failures`` and done with, and the others go on.
+        """
+        total, self.halted, self.isolate = 0, False, isolate
         self.blocked, self.locked = {}, {}
         # What a rule may do again in another call: the others are idle until something that they read changes.
         self.idle = {k: v for k, v in self.idle.items() if k in self.kb.by_name and not (self.kb.by_name[k].no_loop or self.kb.by_name[k].lock_on_active)}
@@ -495,12 +500,7 @@ class Session:
         if budget is not None and n > budget:  # the latest matches; the others wait
             taken, n, whole = settle(taken.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))), budget, False
         self._tell("before", r.name, n)
-        before = self._saved()
-        try:
-            Effects(self, r, replace_df(m, taken)).run(r.actions)
-        except Exception as e:
-            self._restore(before)  # nothing of the round stays
-            raise RuleError(f"rule {r.name!r}: {e}") from e
+        self._apply(r, m, taken, n)
         keys = taken.select("_key", "_vers", "_group")
         self._remember(self.fired, r.name, keys)
         if whole:  # all that it could do until what it reads changes
@@ -522,6 +522,23 @@ class Session:
                             self._tell("retracted", other.name, found["n"])
         return n
 
+    def _apply(self, r: S.Rule, m: Match, taken: DataFrame, n: int, depth: int = 0) -> None:
+        """Runs the actions on n matches, all of them or, if one fails, none; to isolate that one the rest is tried by halves."""
+        before = self._saved()
+        try:
+            Effects(self, r, replace_df(m, taken)).run(r.actions)
+        except Exception as e:
+            self._restore(before)  # nothing of the round stays
+            if not self.isolate or isinstance(e, (PlanError, scalar.ExpressionError)):
+                raise RuleError(f"rule {r.name!r}: {e}") from e
+            if n == 1:
+                self.failures.append((r.name, str(e).splitlines()[0]))
+                return
+            for side in (0, 1):
+                half, found = measured(taken.where(F.pmod(F.xxhash64("_key", "_group", F.lit(depth)), F.lit(2)) == side), n=F.count(F.lit(1)))
+                if found["n"]:
+                    self._apply(r, m, half, found["n"], depth + 1)
+
     def _fire_insert(self, r: S.Rule, m: Match, state: tuple, budget: int | None) -> int | None:
         """All matches of a rule that only inserts one fact each, in one job: the matches themselves are not written.
 
@@ -534,6 +551,8 @@ class Session:
             Effects(self, r, m).run(r.actions)
         except Exception as e:
             self._restore(before)
+            if self.isolate and not isinstance(e, (PlanError, scalar.ExpressionError)):
+                return None  # the way that writes the matches finds the one that fails
             raise RuleError(f"rule {r.name!r}: {e}") from e
         n = self.memory.added
         if budget is not None and n > budget:

@@ -412,3 +412,16 @@ def test_fired_matches_of_lost_facts_are_forgotten(spark, monkeypatch):
         s.insert_rows("Customer", [{"id": i}])
         assert s.fire() == 1 and s.fire() == 0
     assert s.fired["r"].count() <= 2 and sorted(r.id for r in s.facts("Done").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_matches_that_fail_are_undone_alone(spark):
+    text = 'rule "r" when $c: Customer() then insert Done { id = $c.id } insert Out { id = $c.id, number = 1 / ($c.limit - 3) } end rule "s" when $o: Out() then insert Total { result = $o.number } end'
+    s = session(spark, text, {"Customer": [{"id": i, "limit": i % 8} for i in range(40)]}, fire=False)
+    s.fire(isolate=True)
+    good = [i for i in range(40) if i % 8 != 3]
+    assert sorted(r.id for r in s.facts("Done").collect()) == sorted(r.id for r in s.facts("Out").collect()) == good
+    assert s.count("Total") == len(good) and [r for r, _ in s.failures] == ["r"] * 5
+    assert s.fire(isolate=True) == 0
+    one = session(spark, 'rule "r" when $c: Customer() then insert Out { id = $c.id, number = 1 / $c.limit } end', {"Customer": [{"id": 1, "limit": 0}, {"id": 2, "limit": 2}]}, fire=False)
+    one.fire(isolate=True)
+    assert [r.id for r in one.facts("Out").collect()] == [2] and len(one.failures) == 1
