@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[str] = []
+#: Else Spark keeps shuffle files until the driver's garbage collector comes by.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     Executors that are lost afterwards cost a reread, not a recomputation, and
     values that depend on the run (partition ids, row ids) are fixed from then on.
+    What the write shuffled is deleted with it: no later plan can read that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ruleweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, was)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

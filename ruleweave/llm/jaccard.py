@@ -8,6 +8,15 @@ side's ``prefix`` shingles, its rarest (a quarter of the set).  Rarity is read
 off a count of all shingles in a table of fixed size; any order is exact, and
 rare ones first keep common passages out.  Documents joined by shared prefix
 shingles form a region; most documents have a region of their own.
+Prefix shingles travel packed (see ``pack_prefixes``): what is rounded there only
+joins regions.
+
+*Sketches.*  In a large corpus many rows of the count table are full of chance, and
+regions join documents that have little in common.  So before any set is sent, the
+parities of the shingles in a few hundred bits (a 32nd of the set or less) split the
+regions: where two sketches differ, the sets differ too, and a pair whose sketches
+differ in more places than a link admits is none.  What the other pairs connect are
+the regions from then on.
 
 *Near.*  Within a region pivots create Voronoi cells.  A document within R of
 the pivot belongs to its cell and links to it.  By the triangle inequality only
@@ -60,6 +69,12 @@ REGION_BYTES = 16 << 20
 NUM, DEN = 75, 100
 
 
+#: Rows of prefixes that a task sorts at once, on average.
+BUCKET_ROWS = 1 << 19
+#: Sketches of a region that meet in one task; of larger regions all pairs of such parts meet.
+SKETCHES = 1 << 15
+
+
 SetsOf = Callable[[pa.Array], Iterator[np.ndarray]]
 
 
@@ -102,8 +117,28 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each of M bits, M = 2^i, between the set's size and twice that, 64 at least.
+
+    Half as many bits are the exclusive or of the two halves.
+    """
+    log2 = max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64((1 << log2) - 1)).astype(np.int64), minlength=1 << log2) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def halved(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def may_link(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b that differ in so many shingles at least can link."""
+    return ((NUM + DEN) * differ <= (DEN - NUM) * (a + b)) & (NUM * a <= DEN * b) & (NUM * b <= DEN * a)
+
+
 def _profile(sets_of: SetsOf):
-    """For each document its digest; for each task its shingle counts, in blocks."""
+    """For each document its digest and sketch; for each task its shingle counts, in blocks."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_LOG2, np.uint16)
@@ -115,9 +150,10 @@ def _profile(sets_of: SetsOf):
 
         for batch in batches:
             kind = batch.schema.field(1).type
-            ds, ns, many, held = [], [], [], 0
+            ds, ns, many, held, sketches = [], [], [], 0, []
             for s in sets_of(batch.column(2)):
                 ds.append(digest(s))
+                sketches.append(sketch(s).tobytes() if len(s) else None)
                 ns.append(len(s))
                 many.append(s)
                 held += len(s)
@@ -127,16 +163,16 @@ def _profile(sets_of: SetsOf):
             if many:
                 add(many)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
         if kind is not None:
             blocks = range(len(counts) // BLOCK)
             none = pa.nulls(len(blocks), pa.int64())
             packed = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), kind), none, none, none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], PROFILE)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), kind), none, none, none, pa.nulls(len(blocks), pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], PROFILE)
 
     return run
 
-PROFILE = ["_rid", "_key", "n", "d1", "d2", "block", "counts"]
+PROFILE = ["_rid", "_key", "n", "d1", "d2", "sketch", "block", "counts"]
 
 
 def _add(batches):
@@ -183,15 +219,61 @@ def sweep(k: np.ndarray, span: np.ndarray, node: np.ndarray) -> tuple[np.ndarray
     return opens, first, top - run
 
 
-def _prefixes(counts, reps, sets_of: SetsOf):
-    """Per batch and shingle: a row (k, span, a) for each segment of sizes, and edges (k = b, span = -1, a) to its classes."""
+def rounded(x: np.ndarray, up: bool) -> np.ndarray:
+    """Numbers in 16 bits, 11 of them digits: exact below 2,048, rounded up or down beyond."""
+    e = np.maximum(np.frexp(x.astype(np.float64))[1] - 11, 0)
+    m = (x + ((1 << e) - 1 if up else 0)) >> e
+    over = m >> 11
+    return ((e + over) << 11 | m >> over).astype(np.uint16)
+
+
+def unrounded(c: np.ndarray) -> np.ndarray:
+    return (c & 2047).astype(np.int64) << (c >> 11).astype(np.int64)
+
+
+def pack_prefixes(k: np.ndarray, span: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, least node, rows, packed rows): rows in the order of nodes, in columns, about 7 bytes each.
+
+    The bucket and 32 bits stand for the shingle, which at worst joins regions; so
+    do sizes, rounded down, and partners, rounded up.  However many buckets there
+    are, a row takes as much: in rows of their own the columns would repeat their
+    node, and the less of one node a bucket holds, the worse these pack.
+    """
+    u = k.view(np.uint64)
+    bucket = ((u >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+    order = np.lexsort((node, bucket))
+    u, span, node, bucket = u[order], span[order], node[order], bucket[order]
+    least = rounded(span >> 32, False)
+    partner = rounded((span & 0xFFFFFFFF) + 1 - unrounded(least), True)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(u))):
+        steps = np.diff(node[lo:hi], prepend=node[lo]).astype(np.uint64)
+        columns = (steps, least[lo:hi], partner[lo:hi])
+        planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(hi - lo, -1).T).tobytes() for c in columns)
+        yield int(bucket[lo]), int(node[lo]), int(hi - lo), u[lo:hi].astype(np.uint32).tobytes() + zlib.compress(planes, 1)
+
+
+def unpack_prefixes(base: int, rows: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = np.frombuffer(packed, np.uint32, rows).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(memoryview(packed)[4 * rows :]), np.uint8).reshape(-1, rows)
+    steps, least, partner = (np.ascontiguousarray(planes[a:b].T).view(kind).reshape(-1) for a, b, kind in ((0, 8, np.uint64), (8, 10, np.uint16), (10, 12, np.uint16)))
+    n = unrounded(least)
+    return k, (n << 32) + n - 1 + unrounded(partner), base + np.cumsum(steps.astype(np.int64))
+
+
+PACKED = ["bucket", "base", "rows", "packed"]
+
+
+def _prefixes(counts, reps, sets_of: SetsOf, buckets: int):
+    """Per batch and bucket: its prefix rows (k, span, a), one for each segment of sizes; as bucket -1 or less, edges from these to the segment's classes."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, spans, nodes = [], [], []
             batch = batch.filter(pa.array(reps.value.test(batch.column(0).to_numpy())))
-            for s in sets_of(batch.column(1)):
+            # The first of a class in a task is its least row, and so the one that speaks for it, if that is here.
+            for rid, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1))):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 if len(seen) > SEEN:
@@ -200,46 +282,142 @@ def _prefixes(counts, reps, sets_of: SetsOf):
                 p = prefix(s, counts.value)
                 keys.append(p)
                 spans.append((len(s) << 32) + reach(len(s), np.arange(len(p))))
-                # Half of the digest names the class here: should two classes share it, their regions become one.
-                nodes.append(np.full(len(p), d[0], np.int64))
+                nodes.append(np.full(len(p), rid, np.int64))
             if not keys:
                 continue
             k, span, node = np.concatenate(keys).view(np.int64), np.concatenate(spans), np.concatenate(nodes)
+            del keys, spans, nodes
             order = np.lexsort((span, k))
             k, span, node = k[order], span[order], node[order]
             opens, first, top = sweep(k, span, node)
+            pairs = np.unique(np.stack([node[first], node], 1)[node[first] != node], axis=0)
             at = np.flatnonzero(opens)
             ends = np.append(at[1:], len(k)) - 1
-            wide = (span[at] >> 32 << 32) + top[ends]
-            # Sent in the order of classes: what a class repeats then packs well.
-            order = np.lexsort((k[at], node[at]))
-            at, wide = at[order], wide[order]
-            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(wide), pa.array(node[at])], ["k", "span", "a"])
-            pairs = np.unique(np.stack([node[first], node], 1)[node[first] != node], axis=0)
+            k, span, node = k[at], (span[at] >> 32 << 32) + top[ends], node[at]
+            del order, opens, first, top, at, ends
+            bucket, base, rows, packed = zip(*pack_prefixes(k, span, node, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(base, pa.int64()), pa.array(rows, pa.int32()), pa.array(packed, pa.binary())], PACKED)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), -1)), pa.array(pairs[:, 0])], ["k", "span", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(pairs[0, 0]) >> 33)], pa.int32()), pa.array([0]), pa.array([len(pairs)], pa.int32()), pa.array([zlib.compress(pairs.tobytes(), 1)], pa.binary())], PACKED)
 
     return run
 
 
 def _stars(batches):
-    """Rows by (k, span): links each segment's classes to its first; passes edges on."""
-    carry = None
+    """Packed rows by bucket: links each segment's classes to its first; passes edges on."""
+
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def done(parts):
+        k, span, a = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((span, k))
+        k, span, a = k[order], span[order], a[order]
+        _, first, _ = sweep(k, span, a)
+        return batch_of(np.unique(np.stack([a[first], a], 1)[a[first] != a], axis=0))
+
+    at, parts = None, []
+    for batch in batches:
+        for bucket, base, rows, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket < 0:
+                yield batch_of(np.frombuffer(zlib.decompress(packed), np.int64).reshape(-1, 2))
+                continue
+            if bucket != at:
+                if parts:
+                    yield done(parts)
+                at, parts = bucket, []
+            parts.append(unpack_prefixes(base, rows, packed))
+    if parts:
+        yield done(parts)
+
+
+def sketch_links(sketches: list[np.ndarray], n: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what pairs of sets whose sketches let them link connect: each set asks those that are left."""
+    level = np.array([len(x) for x in sketches])
+    groups = {}
+    for m in np.unique(level):
+        own = np.flatnonzero(level == m)
+        groups[int(m)] = (own, np.stack([sketches[i] for i in own]))
+    #: For each length of sketch the sets that are left, and their sketches in that length: its own and, halved, those of the next.
+    left = {}
+    for m in groups:
+        own, rows = groups[m]
+        more = groups.get(2 * m)
+        left[m] = (own, rows) if more is None else (np.concatenate([own, more[0]]), np.concatenate([rows, halved(more[1])]))
+    new, links = np.ones(len(n), bool), []
+    stale = {m: 0 for m in left}
+
+    def asked(x: int, m: int, mine: np.ndarray) -> np.ndarray:
+        if m not in left:
+            return np.zeros(0, np.int64)
+        who, rows = left[m]
+        if stale[m] > len(who) // 4:
+            keep = new[who]
+            left[m] = who, rows = who[keep], rows[keep]
+            stale[m] = 0
+        near = new[who] & (NUM * n[who] <= DEN * n[x]) & (NUM * n[x] <= DEN * n[who])
+        if m < level[x]:
+            near &= level[who] == m  # those of its own length were asked in that length
+        near = np.flatnonzero(near)
+        differ = np.bitwise_count(rows[near] ^ mine).sum(1, dtype=np.int64)
+        return who[near[may_link(differ, n[who[near]], n[x])]]
+
+    def take(x: int) -> None:
+        new[x] = False
+        for m in (int(level[x]), int(level[x]) // 2):
+            if m in stale:
+                stale[m] += 1
+
+    for start in range(len(n)):
+        if not new[start]:
+            continue
+        take(start)
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            m, mine = int(level[x]), sketches[x]
+            found = [asked(x, m, mine)]
+            if m > 1:
+                found.append(asked(x, m // 2, halved(mine)))
+            for y in np.unique(np.concatenate(found)).tolist():
+                take(y)
+                links.append((x, y))
+                todo.append(y)
+    return links
+
+
+def _split(batches):
+    """Rows (root, _i, _j, rid, n, sketch) by the first three: the pairs that connect what sketches let link."""
+
+    def done(rids, n, sketches):
+        pairs = sketch_links(sketches, np.array(n, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([rids[a] for a, _ in pairs], pa.int64()), pa.array([rids[b] for _, b in pairs], pa.int64())], ["a", "b"])
+
+    at, rids, ns, sketches = None, [], [], []
     for batch in batches:
-        k, span, a = (batch.column(i).to_numpy() for i in range(3))
-        edge = span == -1
-        out = [np.stack([a[edge], k[edge]], 1)]
-        k, span, a = k[~edge], span[~edge], a[~edge]
-        if carry is not None and len(k):
-            k, span, a = (np.concatenate([[c], x]) for c, x in zip(carry, (k, span, a)))
-        if len(k):
-            _, first, top = sweep(k, span, a)
-            out.append(np.stack([a[first], a], 1)[a[first] != a])
-            f = first[-1]
-            carry = (k[f], (span[f] >> 32 << 32) + top[-1], a[f])
-        pairs = np.unique(np.concatenate(out), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        for *key, rid, n, x in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if key != at:
+                if len(rids) > 1:
+                    yield done(rids, ns, sketches)
+                at, rids, ns, sketches = key, [], [], []
+            rids.append(rid)
+            ns.append(n)
+            sketches.append(np.frombuffer(x, np.uint64))
+    if len(rids) > 1:
+        yield done(rids, ns, sketches)
+
+
+def split_regions(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``members`` (root, _rep, n) in the smaller regions that sketches (_rid, sketch) leave; whoever is alone there goes."""
+    parts = members.groupBy("root").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("_parts")).where("_parts > 0")
+    rows = members.join(sketches, members["_rep"] == sketches["_rid"]).drop("_rid").join(parts, "root").withColumn("_c", F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int"))
+    # A region of one part meets itself; of several, each pair of parts meets.
+    other = F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: (F.col("_parts") == 1) | (j != F.col("_c")))
+    rows = rows.withColumn("_o", F.explode(other)).select("root", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_rep", "n", "sketch")
+    key = ["root", "_i", "_j"]
+    pairs = rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "_rep").mapInArrow(_split, "a long, b long")
+    found = components(pairs)
+    return members.drop("root").join(found, members["_rep"] == found["node"]).select("root", "_rep", "n")
 
 
 class Region:
@@ -349,16 +527,21 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     kind = docs.schema["_key"].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    profile = cut(docs.select("_rid", "_key", "_text").mapInArrow(_profile(sets_of), f"_rid long, _key {kind}, n long, d1 long, d2 long, block int, counts binary"))
-    rows = profile.where("block is null").drop("block", "counts")
+    profile = cut(docs.select("_rid", "_key", "_text").mapInArrow(_profile(sets_of), f"_rid long, _key {kind}, n long, d1 long, d2 long, sketch binary, block int, counts binary"))
     counts = sc.broadcast(_table(spark, profile))  # of a fixed size: 2^SKETCH_LOG2 bytes
+    # The tasks' counts are most of the profile, and done with.
+    whole, profile = profile, cut(profile.where("block is null").drop("block", "counts"))
+    drop_cut(whole)
+    rows = profile.drop("sketch")
 
     # One text speaks for each class; the bit table lets few others through.
     classes = cut(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rep"), F.min("_key").alias("_least"), F.min(F.struct(F.col("_key").isNull(), "_key", "_rid")).alias("_one"), F.first("n").alias("n")))
     reps = sc.broadcast(bitset(classes, "_rep"))
-    edges = docs.select("_rid", "_text").mapInArrow(_prefixes(counts, reps, sets_of), "k long, span long, a long").repartition(n_parts, "k").sortWithinPartitions("k", "span").mapInArrow(_stars, "a long, b long")
+    buckets = 1 + (classes.agg(F.sum("n")).first()[0] or 0) * (DEN - NUM) // DEN // BUCKET_ROWS
+    edges = docs.select("_rid", "_text").mapInArrow(_prefixes(counts, reps, sets_of, buckets), "bucket int, base long, rows int, packed binary").repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long")
     regions = components(edges)
-    members = cut(classes.join(regions, classes.d1 == regions.node).select("root", "_rep", "n"))
+    members = cut(classes.join(regions, classes["_rep"] == regions.node).select("root", "_rep", "n"))
+    members = cut(split_regions(members, profile.where("n > 0").select("_rid", "sketch")))
     links = region_links(docs, members, sets_of)
     roots = cut(components(links))
 

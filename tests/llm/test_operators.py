@@ -281,6 +281,78 @@ def test_cells_of_a_large_region(spark, tmp_path, monkeypatch, splits):
     assert got == want and len(want) > 100
 
 
+def shuffled(spark):
+    """Bytes that have been written to shuffles in this application."""
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_chained_documents_send_no_sets(spark, tmp_path):
+    """Each text shares a half with the next, so all form one region; none link, and no set needs to be sent."""
+    from ruleweave.llm import jaccard
+
+    rng = random.Random(21)
+    halves = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(100)) for _ in range(1001)]
+    made = [(i, halves[i] + " " + halves[i + 1]) for i in range(1000)] + [(2000, halves[7] + " " + halves[8] + " end")]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        before = shuffled(spark)
+        got = {r.doc_id: r.component_id for r in jaccard.similarity_components(spark.read.parquet(str(tmp_path / "d"))).collect()}
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == {i: 7 if i == 2000 else i for i, _ in made}
+    assert sent < sum(len(t) for _, t in made), sent
+
+
+def test_prefixes_packed():
+    from ruleweave.llm import jaccard as J
+
+    rng = np.random.default_rng(3)
+    n = np.where(rng.random(9000) < 0.5, rng.integers(1, 2048, 9000), rng.integers(1, 1 << 30, 9000))
+    top = n - 1 + rng.integers(0, 2, 9000) * rng.integers(0, 1 << 20, 9000)
+    k, node = rng.integers(-(2**63), 2**63 - 1, 9000), 2**33 + rng.integers(0, 9000, 9000)
+    want = {(int(a), int(c) & 0xFFFFFFFF): (int(x), int(y)) for a, c, x, y in zip(node, k, n, top)}
+    for buckets in (1, 40):
+        seen = 0
+        for _, base, rows_, packed in J.pack_prefixes(k, (n << 32) + top, node, buckets):
+            assert len(packed) <= 11 * rows_ + 100
+            for c, span, a in zip(*J.unpack_prefixes(base, rows_, packed)):
+                least, most = want[int(a), int(c)]
+                lo, hi = int(span) >> 32, int(span) & 0xFFFFFFFF
+                # Rounded outwards only, and small sizes not at all.
+                assert lo <= least and hi >= most and (least >= 2048 or lo == least)
+                seen += 1
+        assert seen == 9000
+
+
+@pytest.mark.parametrize("part", [1 << 15, 40])
+def test_regions_split_by_sketches(spark, monkeypatch, part):
+    """Sets that link stay in one region, also where a region's sketches do not meet in one task; far ones leave."""
+    from ruleweave.llm import jaccard as J
+
+    monkeypatch.setattr(J, "SKETCHES", part)
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(25):
+        base = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64))
+        for _ in range(int(rng.integers(1, 10))):
+            some = np.union1d(base[rng.random(len(base)) < rng.uniform(0.8, 1)], rng.integers(0, 2**64, int(len(base) * rng.uniform(0, 0.2)), dtype=np.uint64))
+            sets += [some] if len(some) else []
+    rows_ = [(5, i, len(s), bytearray(J.sketch(s).tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows_, "root long, _rep long, n long, sketch binary")
+    got = {r._rep: r.root for r in J.split_regions(df.drop("sketch"), df.select(df["_rep"].alias("_rid"), "sketch")).collect()}
+    links = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            links += 1
+            assert got[i] == got[j]
+    assert links > 20 and len(set(got.values())) > 5
+
+
 def test_substrings(docs, empty):
     from ruleweave.llm.substrings import WIDTH, remove_repeats
 
