@@ -558,9 +558,12 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, a table as it is read, with one document of each component; those without words all stay."""
     docs = stable(docs)  # both sides of the join then number its rows alike
-    stays = similarity_components(docs, key, text).where("_stays").select("_rid")
-    boxes = boxed(docs, text)
-    out = boxes.join(stays, "_rid", "left_semi")
+    gone = cut(similarity_components(docs, key, text).where("NOT coalesce(_stays, false)").select("_rid"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitset(gone, "_rid"))
+    maybe = F.arrow_udf(lambda rid: pa.array(bits.value.test(rid.to_numpy())), "boolean")
+    # Few texts pass the bit table and are joined: all others stay where they are.
+    boxes = boxed(docs, text).withColumn("_maybe", maybe("_rid"))
+    out = boxes.where("NOT _maybe").unionByName(boxes.where("_maybe").join(gone, "_rid", "left_anti"))
     return out.select(*unboxed(out, docs.columns))
 
 

@@ -353,6 +353,22 @@ def test_regions_split_by_sketches(spark, monkeypatch, part):
     assert links > 20 and len(set(got.values())) > 5
 
 
+def test_kept_texts_are_not_shuffled(spark, tmp_path):
+    """Where one of each component stays, only texts that may go are sent."""
+    from ruleweave.llm import jaccard
+
+    rng = random.Random(22)
+    made = [(i, " ".join(f"{rng.getrandbits(20000):x}" for _ in range(3))) for i in range(300)]
+    made += [(1000 + i, made[i][1]) for i in range(10)]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    before = shuffled(spark)
+    kept = jaccard.one_of_each(df).collect()
+    sent = shuffled(spark) - before
+    assert sorted((r.doc_id, r.text) for r in kept) == made[:300]
+    assert sent < sum(len(t) for _, t in made) / 4, sent
+
+
 def test_substrings(docs, empty):
     from ruleweave.llm.substrings import WIDTH, remove_repeats
 
