@@ -129,9 +129,9 @@ ask("J5_exists", "$o: Order() exists LineItem(l_orderkey == $o.o_orderkey, l_qua
 ask("J6_forall", '$o: Order() forall($l: LineItem(l_orderkey == $o.o_orderkey), LineItem(l_linestatus == "F"))', "o__o_orderkey AS k", "SELECT o_orderkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F')")
 ask("J6_forall_several", '$o: Order() forall($l: LineItem(l_orderkey == $o.o_orderkey), LineItem(l_quantity > 10), LineItem(l_discount < 0.1))', "o__o_orderkey AS k", "SELECT o_orderkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT (l_quantity > 10 AND l_discount < 0.1))")
 ask("J7_first_not", "not Order(o_totalprice < 0) $r: Region()", "r__r_regionkey AS k", "SELECT r_regionkey AS k FROM region WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0)")
-ask("J8_after_within", '$a: Event(event_type == "click") $b: Event(user_id == $a.user_id, timestamp after $a.timestamp, within 1h of $a)', "a__event_id AS a; b__event_id AS b", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts > a.ts AND abs(epoch_ms(b.ts) - epoch_ms(a.ts)) <= 3600000 WHERE a.event_type = 'click'")
-ask("J8_temporal", '$a: Event(event_type == "signup") $b: Event(event_type == "error", user_id == $a.user_id, timestamp before $a.timestamp) $c: Event(user_id == $b.user_id, event_type == "purchase", timestamp during $a.timestamp)', "a__event_id AS a; b__event_id AS b; c__event_id AS c", "SELECT a.event_id AS a, b.event_id AS b, c.event_id AS c FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_ms(b.ts) < epoch_ms(a.ts) JOIN events c ON c.user_id = b.user_id AND epoch_ms(c.ts) >= epoch_ms(a.ts) WHERE a.event_type = 'signup' AND b.event_type = 'error' AND c.event_type = 'purchase'")
-ask("J8_coincides", "$a: Event() $b: Event(timestamp coincides $a.timestamp)", "a__event_id AS a; b__event_id AS b", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON epoch_ms(a.ts) = epoch_ms(b.ts)")
+ask("J8_after_within", '$a: Event(event_type == "click") $b: Event(user_id == $a.user_id, ts after $a.ts, within 1h of $a)', "a__event_id AS a; b__event_id AS b", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts > a.ts AND abs(epoch_ms(b.ts) - epoch_ms(a.ts)) <= 3600000 WHERE a.event_type = 'click'", nearest=True)
+ask("J8_temporal", '$a: Event(event_type == "signup") $b: Event(event_type == "error", user_id == $a.user_id, timestamp before $a.timestamp) $c: Event(user_id == $b.user_id, event_type == "purchase", timestamp during $a.timestamp)', "a__event_id AS a; b__event_id AS b; c__event_id AS c", "SELECT a.event_id AS a, b.event_id AS b, c.event_id AS c FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_ms(b.ts) < epoch_ms(a.ts) JOIN events c ON c.user_id = b.user_id AND epoch_ms(c.ts) >= epoch_ms(a.ts) WHERE a.event_type = 'signup' AND b.event_type = 'error' AND c.event_type = 'purchase'", nearest=True)
+ask("J8_coincides", "$a: Event() $b: Event(timestamp coincides $a.timestamp)", "a__event_id AS a; b__event_id AS b", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON epoch_ms(a.ts) = epoch_ms(b.ts)", nearest=True)
 ask("J13_argmin", "$p: Part() not Part(p_brand == $p.p_brand, p_retailprice < $p.p_retailprice)", "p__p_partkey AS k; p__p_brand AS brand; p__p_retailprice AS price", "SELECT p_partkey AS k, p_brand AS brand, p_retailprice AS price FROM part WHERE p_retailprice = (SELECT min(p_retailprice) FROM part q WHERE q.p_brand = part.p_brand)")
 ask("J14_as_of", "$l: Label() $p: Part(p_size <= $l.doc_id) not Part(p_brand == $p.p_brand, p_size > $p.p_size, p_size <= $l.doc_id)", "l__doc_id AS d; p__p_partkey AS p", "SELECT l.doc_id AS d, p.p_partkey AS p FROM labels l JOIN part p ON p.p_size <= l.doc_id WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_size > p.p_size AND q.p_size <= l.doc_id)")
 CALLS = 'query "rich"(Customer $x) $n: Nation(n_nationkey == $x.c_nationkey, n_regionkey == 2) end query "q" '
@@ -162,13 +162,13 @@ ask("A9_or_source", '$c: Customer() $r: Number() from accumulate(Order(o_custkey
 ask("A10_accessors", "$r: Number() from accumulate($o: Order(), average($o.o_totalprice))", "r__intValue AS i; r__longValue AS l; round(r__doubleValue, 4) AS d; round(r__floatValue, 4) AS f", "SELECT CAST(trunc(avg(o_totalprice)) AS BIGINT) AS i, CAST(trunc(avg(o_totalprice)) AS BIGINT) AS l, round(avg(o_totalprice), 4) AS d, round(avg(o_totalprice), 4) AS f FROM orders")
 ask("A11_custom", "$o: Order() $x: Number() from accumulate($l: LineItem(l_orderkey == $o.o_orderkey), distinctSuppliers($l.l_suppkey))", "o__o_orderkey AS k; x__longValue AS v", "SELECT o_orderkey AS k, count(DISTINCT l_suppkey) AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1", aggregates={"distinctSuppliers": lambda c: F.count_distinct(c).cast("double")})
 ask("A13_global", '$r: Number() from accumulate($l: LineItem(l_returnflag == "R"), max($l.l_extendedprice)) $n: Number() from accumulate(Region(), count())', "r__result AS top; n__intValue AS n", "SELECT (SELECT max(l_extendedprice) FROM lineitem WHERE l_returnflag = 'R') AS top, (SELECT count(*) FROM region) AS n")
-ask("A1_range_correlated", '$e: Event(event_type == "purchase") $n: Number(intValue >= 2) from accumulate(Event(user_id == $e.user_id, event_id != $e.event_id, timestamp > ($e.timestamp - 7200000), timestamp < $e.timestamp), count(1))', "e__event_id AS k; n__intValue AS v", "SELECT a.event_id AS k, count(b.event_id) AS v FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_id <> a.event_id AND epoch_ms(b.ts) > epoch_ms(a.ts) - 7200000 AND b.ts < a.ts WHERE a.event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 2")
+ask("A1_range_correlated", '$e: Event(event_type == "purchase") $n: Number(intValue >= 2) from accumulate(Event(user_id == $e.user_id, event_id != $e.event_id, timestamp > ($e.timestamp - 7200000), timestamp < $e.timestamp), count(1))', "e__event_id AS k; n__intValue AS v", "SELECT a.event_id AS k, count(b.event_id) AS v FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_id <> a.event_id AND epoch_ms(b.ts) > epoch_ms(a.ts) - 7200000 AND b.ts < a.ts WHERE a.event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 2", nearest=True)
 
 # --- windows, unnesting, nested access
 
 ask("W1_length_window", '$r: Number() from accumulate($e: Event(event_type == "purchase") over window:length(25), sum($e.value))', "round(r__doubleValue, 4) AS v", "SELECT round(sum(value), 4) AS v FROM (SELECT value FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 25)")
 ask("W1_window_before_join", '$t: Region() $r: Number() from accumulate($e: Event(event_type == "error", user_id > $t.r_regionkey) over window:length(40), count())', "t__r_regionkey AS k; r__intValue AS v", "SELECT r_regionkey AS k, count(event_id) AS v FROM region LEFT JOIN (SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 40) ON user_id > r_regionkey GROUP BY 1")
-ask("W2_time_window", "$r: Number() from accumulate($e: Event() over window:time(48h), count())", "r__intValue AS v", "SELECT count(*) AS v FROM events WHERE epoch_ms(ts) >= 1706572800000 - 172800000", now=1706572800000)
+ask("W2_time_window", "$r: Number() from accumulate($e: Event() over window:time(48h), count())", "r__intValue AS v", "SELECT count(*) AS v FROM events WHERE epoch_ms(ts) >= 1706572800000 - 172800000", now=1706572800000, nearest=True)
 ask("W3_window_pattern", '$e: Event(event_type == "signup") over window:length(10) $u: Event(user_id == $e.user_id, event_type == "error")', "e__event_id AS e; u__event_id AS u", "SELECT e.event_id AS e, u.event_id AS u FROM (SELECT * FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 10) e JOIN events u ON u.user_id = e.user_id AND u.event_type = 'error'")
 ask("U1_unnest", "$e: Embedding() $v: Value(value > 0.2) from unnest($e.embedding)", "e__vec_id AS k; round(v__value, 5) AS v", "SELECT vec_id AS k, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) WHERE v > 0.2::FLOAT")
 ask("U3_index_size", "$e: Embedding(embedding.size == 64, embedding[0] > 0, embedding[-1] < 0, embedding.isEmpty == 0)", "e__vec_id AS k", "SELECT vec_id AS k FROM embeddings WHERE len(embedding) = 64 AND embedding[1] > 0 AND embedding[-1] < 0")

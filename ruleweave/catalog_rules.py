@@ -37,7 +37,7 @@ def rules(name: str, text: str, facts: tuple[str, ...], show: Callable[[Session]
         for t in facts:
             kind, _, entry_point = t.partition("@")
             want = s.kb.schemas[kind]
-            df = table(spark, sf_dir, kind)
+            df = table(spark, sf_dir, kind, options.get("nearest", False))
             s.register(kind, df.select("_fid", *[F.col(f.name).cast(f.dataType) for f in want.fields]), entry_point or None)
         s.fire(**options.get("fire", {}))
         return show(s)
@@ -162,11 +162,11 @@ rules("DT1_decision_table", to_rules(DISCOUNTS).replace('$o: Order(o_totalprice
 # --- events
 
 rules("S2_routed_events", 'rule "r" when $e: Event(value > 50) from entry-point "in" then insert Signal { key = $e.event_id, kind = "in", score = 0 } end rule "d" when $e: Event() then insert Signal { key = $e.event_id, kind = "default", score = 0 } end', ("Event@in",), shown("Signal", "key", "kind"), "SELECT event_id AS key, 'in' AS kind FROM events WHERE value > 50")
-rules("W2_session_window", 'rule "r" when $n: Number() from accumulate($e: Event() over window:time(24h), count()) then insert Signal { key = 1, kind = "n", score = $n.intValue } end', ("Event",), shown("Signal", "score"), "SELECT count(*) AS score FROM events WHERE epoch_ms(ts) >= 1706400000000 - 86400000", now=1706400000000)
+rules("W2_session_window", 'rule "r" when $n: Number() from accumulate($e: Event() over window:time(24h), count()) then insert Signal { key = 1, kind = "n", score = $n.intValue } end', ("Event",), shown("Signal", "score"), "SELECT count(*) AS score FROM events WHERE epoch_ms(ts) >= 1706400000000 - 86400000", now=1706400000000, nearest=True)
 
 
-def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "Event")
+def _stamped(spark: SparkSession, sf_dir: str, nearest: bool = False) -> DataFrame:
+    e = table(spark, sf_dir, "Event", nearest)
     return e.select("event_id", "user_id", "event_type", "value", "timestamp")
 
 
@@ -207,7 +207,7 @@ def lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events too late or too far ahead are left out; what is past retention goes as time moves on."""
     s = _continuous(spark, allowed_lateness_ms=3_600_000 * 24, max_future_ms=3_600_000 * 48, event_retention_ms=3_600_000 * 12)
     s.advance_watermark(1705000000000)
-    s.push("Event", _stamped(spark, sf_dir), "event_id", "timestamp", strict=False)
+    s.push("Event", _stamped(spark, sf_dir, nearest=True), "event_id", "timestamp", strict=False)
     s.advance_watermark(1705040000000)
     return s.session.facts("Event").select("event_id")
 
@@ -246,7 +246,7 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.continuous import StepRejected
 
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    s, e = _continuous(spark, max_dedup_ids=n, event_retention_ms=3_600_000 * 24), _stamped(spark, sf_dir)
+    s, e = _continuous(spark, max_dedup_ids=n, event_retention_ms=3_600_000 * 24), _stamped(spark, sf_dir, nearest=True)
     s.push("Event", e, "event_id", "timestamp")
     try:
         s.push("Event", e.limit(1).withColumn("event_id", F.lit(-1).cast("long")), "event_id", "timestamp")
@@ -269,7 +269,7 @@ def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushes and watermarks; alerts of users with two errors in a day."""
     text = 'rule "r" when $a: Event(event_type == "error") $b: Event(event_type == "error", user_id == $a.user_id, timestamp after $a.timestamp, within 24h of $a) then insert Signal { key = $b.event_id, kind = "pair", score = $a.event_id } end'
     s = _continuous(spark, text, output_types=("Signal",))
-    e = _stamped(spark, sf_dir)
+    e = _stamped(spark, sf_dir, nearest=True)
     for i in range(2):
         s.push("Event", e.where(F.col("event_id") % 2 == i), "event_id", "timestamp")
         s.advance_watermark(1706000000000 + i)

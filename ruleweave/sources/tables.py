@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compiler import FID
@@ -16,12 +16,20 @@ TABLES = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, type_name: str) -> DataFrame:
+def milliseconds(time: Column, nearest: bool = False) -> Column:
+    """A time in whole milliseconds: those that are over, or the nearest ones (halves away from 0), as ``epoch_ms`` of the SQL has it."""
+    if not nearest:
+        return F.unix_millis(time)
+    micros = F.unix_micros(time)
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
+
+
+def table(spark: SparkSession, sf_dir: str, type_name: str, nearest: bool = False) -> DataFrame:
     """The facts of a type; events have their time in milliseconds, and their kind as the entry point."""
     name, key = TABLES[type_name]
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name == "events":
-        df = df.withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp")))
+        df = df.withColumn("timestamp", milliseconds(F.col("ts").cast("timestamp"), nearest))
     return df.withColumn(FID, F.col(key).cast("long")) if key else df
 
 
@@ -34,9 +42,9 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def planner(spark: SparkSession, sf_dir: str, text: str, **options) -> Planner:
+def planner(spark: SparkSession, sf_dir: str, text: str, nearest: bool = False, **options) -> Planner:
     def facts(type_name: str, entry_point: str | None) -> DataFrame:
-        df = table(spark, sf_dir, type_name)
+        df = table(spark, sf_dir, type_name, nearest)
         if entry_point is None:
             return df
         if type_name != "Event":
