@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lang.tables import to_rules
 from .operators.memory import shared_dir
 from .operators.session import KnowledgeBase, RuleError, Session
+from .plans.windows import previous
 from .sources import readers
 from .sources.tables import stream, table
 
@@ -139,7 +140,7 @@ def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.insert_rows("Signal", [{"key": -1, "kind": "one", "score": 5}, {"key": -2, "kind": "two"}])
     s.insert("Signal", spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS key", "o_orderstatus AS kind"), order=["key"])
     ids = s.memory.types["Signal"]
-    return ids.withColumn("_prev", F.lag("key").over(Window.orderBy("_fid"))).selectExpr("key", "kind", "coalesce(score, 0) AS score", "key < 0 OR key > _prev AS in_order")
+    return previous(ids, "_fid", "key", "_prev").selectExpr("key", "kind", "coalesce(score, 0) AS score", "key < 0 OR key > _prev AS in_order")
 
 
 QUERIES |= {"C14_reset": reset, "M13_rollback": rolled_back, "M13_isolated": rolled_back_alone, "S10_S11_inserts": inserted}

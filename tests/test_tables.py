@@ -28,3 +28,21 @@ EVENTS = f"SELECT i::BIGINT AS event_id, t::TIMESTAMP AS ts, 1::BIGINT AS user_i
 def test_times_within_a_millisecond(spark, tmp_path, name):
     got, want = against_sql(spark, tmp_path, name, events=EVENTS)
     assert got == want and want
+
+
+def test_the_row_before_is_found_without_one_window_over_all(spark, monkeypatch):
+    from ruleweave.plans import windows
+
+    monkeypatch.setattr(windows, "STRETCH", 16)
+    ids = [1, 2, *range(3, 40, 3), *range(1 << 33, (1 << 33) + 50), (5 << 33) + 7]
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else -i) for i in ids], "id long, v long").repartition(5)
+    got = {r.id: r.p for r in windows.previous(df, "id", "v", "p").collect()}
+    assert got == {i: None if not n or ids[n - 1] % 7 == 0 else -ids[n - 1] for n, i in enumerate(ids)}
+
+
+def test_inserted_facts_are_not_sorted_by_one_task(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT i AS o_orderkey, 'O' AS o_orderstatus FROM range(600000) r(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    df = ALL["S10_S11_inserts"](spark, str(tmp_path))
+    assert df.where("in_order").count() == 600002
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(_fid" not in plan and "windowspecdefinition(_run" in plan
