@@ -46,3 +46,21 @@ def test_inserted_facts_are_not_sorted_by_one_task(spark, tmp_path):
     assert df.where("in_order").count() == 600002
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(_fid" not in plan and "windowspecdefinition(_run" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_shared_out_and_functions_of_one_fact_computed_once(spark, tmp_path, monkeypatch):
+    from ruleweave.plans import match
+
+    monkeypatch.setattr(match, "PAIRS", 1 << 16, raising=False)
+    customers = "SELECT i AS c_custkey, (i % 25)::INTEGER AS c_nationkey FROM range(700) r(i)"
+    suppliers = "SELECT i AS s_suppkey, (i % 7)::INTEGER AS s_nationkey FROM range(90) r(i)"
+    got, want = against_sql(spark, tmp_path, "F9_F10_haversine", customer=customers, supplier=suppliers)
+    assert got == want and want
+    df = ALL["F9_F10_haversine"](spark, str(tmp_path))
+    join = next(x for x in plan_of(df).splitlines() if "NestedLoopJoin" in x or "CartesianProduct" in x)
+    assert "SIN(" not in join and "COS(" in join
+    assert df.rdd.getNumPartitions() > 1
