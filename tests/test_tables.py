@@ -64,3 +64,22 @@ def test_pairs_are_shared_out_and_functions_of_one_fact_computed_once(spark, tmp
     join = next(x for x in plan_of(df).splitlines() if "NestedLoopJoin" in x or "CartesianProduct" in x)
     assert "SIN(" not in join and "COS(" in join
     assert df.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("extra", ["", "p_type == 'A', "])
+def test_the_latest_below_a_bound_needs_no_join_of_all_of_a_key(spark, tmp_path, extra):
+    from ruleweave.sources.tables import rows
+
+    labels = "SELECT CASE WHEN i % 9 = 8 THEN NULL ELSE i END::BIGINT AS doc_id, 0 AS quality, 0 AS toxic FROM range(40) r(i)"
+    parts = "SELECT i AS p_partkey, CASE WHEN i % 11 = 10 THEN NULL ELSE 'B' || (i % 4) END AS p_brand, CASE WHEN i % 13 = 12 THEN NULL ELSE i * 7 % 31 END::INTEGER AS p_size, CASE WHEN i % 3 = 0 THEN 'A' ELSE 'B' END AS p_type FROM range(150) r(i)"
+    got, want = against_sql(spark, tmp_path, "J14_as_of", labels=labels, part=parts)
+    assert got == want and want
+    plan = plan_of(ALL["J14_as_of"](spark, str(tmp_path)))
+    assert "LeftAnti" not in plan and "_next" in plan
+    text = f"$l: Label() $p: Part(p_size < $l.doc_id) not Part({extra}p_brand == $p.p_brand, p_size < $p.p_size, p_size >= $l.quality)".replace("'", '"')
+    sql = f"SELECT l.doc_id, p.p_partkey FROM labels l JOIN part p ON p.p_size < l.doc_id WHERE NOT EXISTS (SELECT 1 FROM part q WHERE {extra.replace('==', '=').replace(', ', ' AND ')} q.p_brand = p.p_brand AND q.p_size < p.p_size AND q.p_size >= l.quality)"
+    con = duckdb.connect()
+    for t in ("labels", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    mine = rows(spark, str(tmp_path), text, "l__doc_id AS d", "p__p_partkey AS p")
+    assert sorted(map(tuple, mine.collect())) == sorted(con.execute(sql).fetchall())
