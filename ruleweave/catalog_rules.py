@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lang.tables import to_rules
@@ -217,13 +217,14 @@ def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step stops at its budget; drains go on until nothing waits.  The batch that each fact came in."""
     s = _continuous(spark, 'rule "r" when $e: Event(value > 60) then insert Signal { key = $e.event_id, kind = "high", score = 1 } end', max_rules_per_step=400, output_types=("Signal",))
     step = s.push("Event", _stamped(spark, sf_dir), "event_id", "timestamp")
+    out = step.facts["Signal"].select("key", F.lit(step.id).alias("_batch"))
+    s.acknowledge(step.id)
     while step.drain_required:
-        step = s.drain()
-    out = None
-    for b in s.pending:
-        df = b.facts["Signal"].select("key", F.lit(b.size <= 400).alias("within_budget"))
-        out = df if out is None else out.unionByName(df)
-    return out
+        steps, facts = s.drain_on()
+        for step in steps:
+            s.acknowledge(step.id)
+        out = out.unionByName(facts["Signal"].select("key", "_batch"))
+    return out.select("key", (F.count(F.lit(1)).over(Window.partitionBy("_batch")) <= 400).alias("within_budget"))
 
 
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:

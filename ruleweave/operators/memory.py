@@ -52,6 +52,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: Column) -> DataFrame:
+    """``df`` settled in this order, with ``_turn``: each row's place in it, from 0 without gaps."""
+    marked = settle(df.orderBy(order).withColumn("_turn", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_turn"), 33)
+    starts, at = [], 0
+    for p, k in sorted((r[0], r[1]) for r in marked.groupBy(part.alias("_p")).count().collect()):  # a row for each partition
+        starts.append((p, at))
+        at += k
+    first = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    turn = (F.col("_start") + F.pmod(F.col("_turn"), F.lit(1 << 33))).alias("_turn")
+    return settle(marked.withColumn("_p", part).join(F.broadcast(first), "_p").select(*df.columns, turn))
+
+
 def sweep(spark: SparkSession) -> int:
     """Deletes every table that sessions of this driver have written; for when nothing reads their facts any more."""
     jvm = spark.sparkContext._jvm

@@ -17,7 +17,7 @@ import difflib
 import inspect
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field, is_dataclass
+from dataclasses import dataclass, field, is_dataclass, replace
 from dataclasses import fields as fields_of
 
 from py4j.protocol import Py4JJavaError
@@ -31,7 +31,7 @@ from ..functions.compiler import FID, Scope, conjuncts, mangled, variables
 from ..lang import syntax as S
 from ..lang.parser import AGGREGATES, parse
 from ..plans.match import ROUTE, VERSION, Match, Planner, PlanError, output, struct_type
-from .memory import MERGE, Memory, measured, settle
+from .memory import MERGE, Memory, measured, ranked, settle
 
 WHILE_CAP = 1000
 # How many functions a session takes, and arguments a call.
@@ -143,6 +143,22 @@ class KnowledgeBase:
         return short[0] if short else name
 
 
+@dataclass(frozen=True)
+class Queue:
+    """Matches of a rule that wait for a budget, in their order (``_turn``): those before ``at`` of ``n`` have fired, and ``before`` them others."""
+
+    mark: tuple
+    match: Match
+    df: DataFrame
+    at: int
+    n: int
+    before: DataFrame | None
+
+    def fired(self) -> DataFrame:
+        done = self.df.where(F.col("_turn") < self.at).select("_key", "_vers", "_group")
+        return done if self.before is None else self.before.unionByName(done)
+
+
 @dataclass
 class Stats:
     fired: dict[str, int] = field(default_factory=dict)
@@ -169,6 +185,7 @@ class Session:
         self.parts: dict[tuple[int, str], int] = {}
         self.idle: dict[str, tuple] = {}
         self.upto: dict[str, tuple] = {}
+        self.waiting: dict[str, Queue] = {}
         self.isolate, self.failures = False, []
         self.logical: list[tuple[str, str, int, DataFrame]] = []
         self.focus: list[str] = []
@@ -239,7 +256,7 @@ class Session:
     def set_global(self, name: str, value) -> None:
         if name not in self.kb.program.globals:
             raise RuleError(f"no global {name!r}")
-        self.idle, self.checked, self.upto = {}, {}, {}
+        self.idle, self.checked, self.upto, self.waiting = {}, {}, {}, {}
         self.globals[name] = value
 
     def facts(self, name: str) -> DataFrame:
@@ -277,7 +294,7 @@ class Session:
         """Other rules over the facts that are there; matches of rules that kept their name stay fired."""
         self.kb = kb
         self._check_bindings()
-        self.idle, self.checked, self.upto = {}, {}, {}
+        self.idle, self.checked, self.upto, self.waiting = {}, {}, {}, {}
         for name, schema in kb.schemas.items():
             self.memory.declare(name, schema)
 
@@ -469,7 +486,67 @@ class Session:
                 df = df.orderBy(*latest).limit(1).withColumn("_nth", F.lit(1))
         return df.withColumn("_cut", F.lit(True)) if len(groups) > 1 or any(not g for g in groups) else df
 
+    def _mark(self, r: S.Rule) -> tuple:
+        """Changes with whatever could give a rule matches or take them."""
+        return self._state(r), self._losses(r)
+
+    def _next_turns(self, r: S.Rule, budget: int) -> int:
+        """Fires the next of the matches that wait for a budget, which nothing has changed since they were put in order."""
+        q, state = self.waiting[r.name], self._state(r)
+        n = min(budget, q.n - q.at)
+        taken = q.df.where(F.col("_turn").between(q.at, q.at + n - 1)).withColumn("_turn", F.col("_turn") - q.at)
+        self._apply(r, q.match, taken, n)
+        self._turned(r, q, n, state)
+        return n
+
+    def _turned(self, r: S.Rule, q: Queue, n: int, state: tuple) -> None:
+        q = replace(q, at=q.at + n)
+        self.fired[r.name] = q.fired()
+        self.upto.pop(r.name, None)
+        if q.at < q.n:
+            self.waiting[r.name] = q
+            return
+        del self.waiting[r.name]
+        self.fired[r.name] = settle(self.fired[r.name])
+        self.idle[r.name] = state
+
+    def fire_slices(self, budget: int, most: int) -> tuple[str, int, int] | None:
+        """What ``fire(budget)`` would do up to ``most`` times, in one job: the type of the new facts, the first one's id, how many budgets.
+
+        Only where each of those calls would fire the next ``budget`` matches that
+        wait for one rule, and nothing else: the rule only inserts, no rule reads the
+        type, those before it have nothing to do.  The ids of new facts follow the
+        order of their matches, without gaps.  None, and nothing done, otherwise.
+        """
+        rules = self._order()
+        r = next((x for x in rules if self.idle.get(x.name) != self._state(x)), None)
+        q = self.waiting.get(r.name) if r is not None else None
+        if q is None or q.mark != self._mark(r) or self.hooks or self.listeners or self.logical or self.focus:
+            return None
+        if any(x.no_loop or x.lock_on_active or x.auto_focus or x.agenda_group for x in rules):
+            return None
+        kind = self.kb.resolve(r.actions[0].type)
+        if kind in {self.kb.resolve(t) for x in rules for g in x.groups for p in g for t, _, _ in self._reads(p)}:
+            return None
+        times, begin = min(most, (q.n - q.at) // budget), time.time()
+        if times < 2:
+            return None
+        state = self._state(r)
+        taken = q.df.where(F.col("_turn").between(q.at, q.at + times * budget - 1)).withColumn("_turn", F.col("_turn") - q.at)
+        self.memory.read_ids()
+        first = self.memory.next_id
+        self.isolate = False
+        self._apply(r, q.match, taken, times * budget)
+        self._turned(r, q, times * budget, state)
+        self.stats.add(r.name, times * budget, time.time() - begin)
+        return kind, first, times
+
     def _fire_rule(self, r: S.Rule, budget: int | None, exact: bool) -> int:
+        queue = self.waiting.get(r.name)
+        if queue is not None:
+            if budget is not None and not exact and not self.hooks and queue.mark == self._mark(r):
+                return self._next_turns(r, budget)
+            del self.waiting[r.name]
         edits = self._edits(r)
         if edits is not None:
             self.memory.read_ids()
@@ -497,6 +574,10 @@ class Session:
             return 0
         whole = whole and n == found["all"]  # none waits for what these do
         self._tell("created", r.name, n)
+        if budget is not None and n > budget and whole and edits is not None and not self.hooks and _plain_insert(r.actions):
+            # Put in order once: what waits is not found again for each budget.
+            self.waiting[r.name] = Queue((state, self._losses(r)), m, ranked(taken, F.desc("_key")), 0, n, self.fired.get(r.name))
+            return self._next_turns(r, budget)
         if budget is not None and n > budget:  # the latest matches; the others wait
             taken, n, whole = settle(taken.orderBy(F.desc("_key")).limit(min(budget, 2**31 - 1))), budget, False
         self._tell("before", r.name, n)
@@ -746,6 +827,9 @@ class Effects:
         extra = set(a.fields) - set(want.names)
         if extra:
             raise PlanError(f"{a.type} has no field {', '.join(sorted(extra))}")
+        if "_turn" in df.columns:
+            self.s.memory.read_ids()
+            cols.append((F.col("_turn") + self.s.memory.next_id).alias(FID))
         rows = df.select(*cols, F.col("_key").alias("_just"))
         if not a.logical:
             self.s.memory.add(kind, rows.drop("_just"), None, want)

@@ -290,13 +290,46 @@ class ContinuousSession:
         """Goes on where a step stopped at its budget."""
         return self._step(lambda: (0, 0, 0), lambda: {"op": "drain"})
 
+    def drain_on(self) -> tuple[list[Batch], dict[str, DataFrame]]:
+        """The batches of as many drains as may wait to be acknowledged, and their facts of the output types with the batch's number, ``_batch``.
+
+        Where each drain would only fire the next matches that wait for a rule, all
+        are one job; else, and with a recovery log, it is one drain.
+        """
+        c, s = self.config, self.session
+        budget = c.max_rules_per_step
+        room = min(c.max_pending_batches - len(self.pending), (c.max_results - sum(b.size for b in self.pending)) // budget)
+        try:
+            found = s.fire_slices(budget, room) if self.log is None and room > 1 else None
+        except Exception:
+            self.metrics.failed_steps += 1
+            raise
+        if found is None:
+            b = self.drain()
+            return [b], {k: df.withColumn("_batch", F.lit(b.id)) for k, df in b.facts.items()}
+        kind, first, times = found
+        names = {t: s.kb.resolve(t) for t in c.output_types}
+        new = {t: s.memory.types[k].where(F.col(FID).between(first, first + times * budget - 1) if k == kind else F.lit(False)).drop(VERSION, ROUTE) for t, k in names.items()}
+        slices = F.call_function("div", F.col(FID) - first, F.lit(budget))
+        made = []
+        for i in range(times):
+            mine = {t: df.where(F.col(FID).between(first + i * budget, first + (i + 1) * budget - 1)).orderBy(FID) for t, df in new.items()}
+            made.append(Batch(self.next_batch + i, mine, True, sum(budget for k in names.values() if k == kind)))
+        facts = {t: df.withColumn("_batch", (slices + self.next_batch).cast("int")) for t, df in new.items()}
+        self.metrics.fired += times * budget
+        self.shown = s.memory.next_id - 1
+        self.next_batch += times
+        self.pending += made
+        self._gauges()
+        return made, facts
+
     def _step(self, change, logged) -> Batch:
         if len(self.pending) >= self.config.max_pending_batches:
             self._over("too many batches wait to be acknowledged")
         if self.log is not None and self.log.size >= self.config.max_replay_steps:
             self._over("the log of operations is full")
         s = self.session
-        before = (dict(s.memory.types), s.memory.next_id, list(s.logical), dict(s.fired), set(s.lazy), dict(s.idle), dict(s.upto), list(self.parts))
+        before = (dict(s.memory.types), s.memory.next_id, list(s.logical), dict(s.fired), set(s.lazy), dict(s.idle), dict(s.upto), dict(s.waiting), list(self.parts))
         try:
             active, known, expired = change()
             fired = s.fire(self.config.max_rules_per_step)
@@ -307,7 +340,7 @@ class ContinuousSession:
                 self.log.write(**operation)
         except Exception as e:
             s.memory.types.restore(before[0])
-            s.memory.next_id, s.logical, s.fired, s.lazy, s.idle, s.upto, self.parts = before[1:]
+            s.memory.next_id, s.logical, s.fired, s.lazy, s.idle, s.upto, s.waiting, self.parts = before[1:]
             if not isinstance(e, StepRejected):
                 self.metrics.failed_steps += 1
             raise

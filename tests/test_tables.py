@@ -83,3 +83,46 @@ def test_the_latest_below_a_bound_needs_no_join_of_all_of_a_key(spark, tmp_path,
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     mine = rows(spark, str(tmp_path), text, "l__doc_id AS d", "p__p_partkey AS p")
     assert sorted(map(tuple, mine.collect())) == sorted(con.execute(sql).fetchall())
+
+
+DRAINED = "declare E id: long v: long end declare S id: long end declare T id: long end"
+TAKE = ' rule "r" when $e: E(v > 0) then insert S { id = $e.id } end'
+AFTER = ' rule "s" salience 5 when $s: S(id < 40) then insert T { id = $s.id } end'
+
+
+def drained(spark, text, rows, on, **limits):
+    """(Ids of S in each batch, metrics) of a session that drains to the end, acknowledging as it goes."""
+    from ruleweave.operators.session import KnowledgeBase
+    from ruleweave.streaming.continuous import Config, ContinuousSession
+
+    s = ContinuousSession(KnowledgeBase(DRAINED + text), spark, Config(output_types=("S",), **limits))
+    step, out = s.push("E", spark.range(rows).selectExpr("id", "id % 5 AS v", "id AS at"), "id", "at"), []
+    while True:
+        batches = [step] if not out else s.drain_on()[0] if on else [s.drain()]
+        for step in batches:
+            out.append(sorted(r.id for r in step.facts["S"].collect()))
+            assert step.size == len(out[-1])
+            s.acknowledge(step.id)
+        if not step.drain_required:
+            return out, s
+
+
+def test_drains_in_one_job_are_drains_one_by_one(spark):
+    one, a = drained(spark, TAKE, 60, False, max_rules_per_step=7)
+    many, b = drained(spark, TAKE, 60, True, max_rules_per_step=7)
+    assert one == many and [len(x) for x in many] == [7, 7, 7, 7, 7, 7, 6]
+    assert a.metrics == b.metrics and many[0] == sorted((i for i in range(60) if i % 5), reverse=True)[:7][::-1]
+    fids = b.session.memory.types["S"].select("_fid").distinct().count()
+    assert fids == 48
+
+
+def test_a_rule_that_reads_what_is_inserted_fires_between_drains(spark):
+    one, a = drained(spark, TAKE + AFTER, 25, False, max_rules_per_step=6)
+    many, b = drained(spark, TAKE + AFTER, 25, True, max_rules_per_step=6)
+    assert one == many and a.metrics == b.metrics and b.session.facts("T").count() == 20
+
+
+def test_drains_of_more_batches_than_may_wait(spark, tmp_path):
+    events = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, i % 9 AS user_id, 'x' AS event_type, 61.0::DOUBLE AS value, '{}' AS props FROM range(52500) r(i)"
+    got, want = against_sql(spark, tmp_path, "T7_drain", events=events)
+    assert got == want and len(want) == 52500
